@@ -1,2 +1,154 @@
+"""Split, baselines, ridge, likelihood and tree models, search, importance."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ...functions.numbers import log_target
+from ...operators import evaluate, learn
+from ..training import encode_split
+from .base import STAY_SQL, rounded, stays
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def register(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = sql
+        return fn
+    return register
+
+
+# Trees per model here; the learner's own default is the full number.
+TREES = 5
+
+
+@query(f"""WITH {STAY_SQL}
+SELECT stay_id, CASE WHEN subject_id % 10 < 8 THEN 'train' ELSE 'test' END AS side FROM stays""")
+def split_by_subject(spark, d):
+    train, test = learn.split_by_subject(stays(spark, d).select("subject_id", "stay_id"), "subject_id")
+    return train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test"))).drop("subject_id")
+
+
+def _labelled(spark, d):
+    return stays(spark, d).withColumn("label", log_target(F.col("los"), learn.TARGET_CAP_DAYS))
+
+
+METRICS = ["r2_log", "mae_log", "rmse_log", "r2", "mae", "rmse", "mape", "median_ae"]
+METRICS_SQL = """
+SELECT round(1 - sum((y - p) ^ 2) / (var_pop(y) * count(*)), 9) AS r2_log, round(avg(abs(y - p)), 9) AS mae_log,
+       round(sqrt(avg((y - p) ^ 2)), 9) AS rmse_log, count(*) AS n,
+       round(1 - sum(e ^ 2) / (var_pop(yd) * count(*)), 9) AS r2, round(avg(abs(e)), 9) AS mae,
+       round(sqrt(avg(e ^ 2)), 9) AS rmse, round(avg(abs(e / CASE WHEN yd = 0 THEN 1 ELSE yd END)) * 100, 6) AS mape,
+       round(median(abs(e)), 9) AS median_ae, {name} AS model
+FROM (SELECT y, p, exp(y) - 1 AS yd, (exp(y) - 1) - (exp(greatest(p, 0)) - 1) AS e FROM scored)"""
+
+
+def _rounded_metrics(table):
+    return rounded(rounded(table, 9, *[m for m in METRICS if m != "mape"]), 6, "mape")
+
+
+@query(f"""WITH {STAY_SQL},
+labelled AS (SELECT *, ln(1 + least(los, 30)) AS y FROM stays),
+scored AS (SELECT y, (SELECT quantile_cont(y, 0.5) FROM labelled WHERE subject_id % 10 < 8) AS p
+           FROM labelled WHERE subject_id % 10 >= 8)
+{METRICS_SQL.format(name="'median'")}""")
+def baseline_metrics(spark, d):
+    """Error measures of the constant training median."""
+    train, test = learn.split_by_subject(_labelled(spark, d), "subject_id")
+    return _rounded_metrics(evaluate.metrics(learn.median_baseline(train, test), "median"))
+
+
+# Ridge with two columns has a closed form: centred sums, penalty on the diagonal, free intercept.
+RIDGE_SQL = f"""{STAY_SQL},
+labelled AS (SELECT *, ln(1 + least(los, 30)) AS y, avg_price AS a, avg_discount AS b FROM stays),
+m AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(y) AS my, count(*) AS n, var_pop(a) * count(*) + 1 AS saa,
+             var_pop(b) * count(*) + 1 AS sbb, covar_pop(a, b) * count(*) AS sab,
+             covar_pop(a, y) * count(*) AS say, covar_pop(b, y) * count(*) AS sby
+      FROM labelled WHERE subject_id % 10 < 8),
+w AS (SELECT (say * sbb - sby * sab) / (saa * sbb - sab * sab) AS wa,
+             (sby * saa - say * sab) / (saa * sbb - sab * sab) AS wb, ma, mb, my FROM m),
+scored AS (SELECT y, my + wa * (a - ma) + wb * (b - mb) AS p FROM labelled, w WHERE subject_id % 10 >= 8)
+"""
+
+
+@query(f"""WITH {RIDGE_SQL}
+{METRICS_SQL.format(name="'ridge'").replace(', 9)', ', 5)').replace(', 6)', ', 4)')}""")
+def ridge_metrics(spark, d):
+    train, test = learn.split_by_subject(_labelled(spark, d), "subject_id")
+    encoder = learn.encoder(["avg_price", "avg_discount"], []).fit(train)
+    model = learn.ridge(encoder.transform(train))
+    table = evaluate.metrics(model.transform(encoder.transform(test)), "ridge")
+    return rounded(rounded(table, 5, *[m for m in METRICS if m != "mape"]), 4, "mape")
+
+
+def _fitted(spark, d):
+    df = stays(spark, d).withColumnsRenamed(
+        {"subject_id": "SUBJECT_ID", "admission_type": "ADMISSION_TYPE", "gender": "GENDER", "los": "LOS",
+         "avg_qty": "heart_rate_avg", "avg_price": "systolic_bp_avg", "avg_discount": "diastolic_bp_avg"})
+    return encode_split(df, keep=["stay_id"])
+
+
+@query()
+def gbt_metrics(spark, d):
+    """Boosted trees on the log target with the encoded categories and derived columns."""
+    f = _fitted(spark, d)
+    model = learn.boosted_trees(TREES, 0.1, 4).fit(f.train)
+    return evaluate.metrics(model.transform(f.test), "trees")
+
+
+@query()
+def tweedie_metrics(spark, d):
+    f = _fitted(spark, d)
+    model = learn.tweedie(regularisation=0.01).fit(f.train)
+    return evaluate.metrics(model.transform(f.test), "tweedie")
+
+
+@query()
+def grid_search(spark, d):
+    """Settings by validation error, chosen without the test side."""
+    f = _fitted(spark, d)
+    train, validation = learn.validation_split(f.train)
+    estimator = learn.tweedie()
+    table, _ = learn.search(estimator, learn.tweedie_grid(estimator), train, validation)
+    return table
+
+
+@query()
+def model_comparison(spark, d):
+    f = _fitted(spark, d)
+    scored = [learn.median_baseline(f.train, f.test), learn.ridge(f.train).transform(f.test)]
+    return evaluate.comparison([evaluate.metrics(s, n) for s, n in zip(scored, ("median", "ridge"))])
+
+
+@query()
+def residual_table(spark, d):
+    f = _fitted(spark, d)
+    return evaluate.residuals(learn.ridge(f.train).transform(f.test))
+
+
+@query()
+def native_importance(spark, d):
+    f = _fitted(spark, d)
+    return learn.native_importance(learn.boosted_trees(TREES, 0.1, 4).fit(f.train), f.names, spark)
+
+
+@query()
+def permutation_importance(spark, d):
+    """Increase of the error when one column is shuffled, five repeats."""
+    f = _fitted(spark, d)
+    model = learn.ridge(f.train)
+    return learn.permutation_importance(model, f.test, "stay_id", f.names)
+
+
+@query()
+def refit_selected(spark, d):
+    """Error after a refit on the features with positive importance."""
+    f = _fitted(spark, d)
+    model = learn.ridge(f.train)
+    kept = learn.kept_features(learn.permutation_importance(model, f.test, "stay_id", f.names))
+    train, test = (learn.select_slots(x, f.names, kept) for x in (f.train, f.test))
+    return evaluate.metrics(learn.ridge(train).transform(test), "selected")
