@@ -130,10 +130,15 @@ def lab_course(labs: DataFrame, key: str, value: str = "VALUENUM", hours: str =
 
 
 def active_at(stays: DataFrame, prescriptions: DataFrame, key: str = "HADM_ID", stay: str = "ICUSTAY_ID",
-              at: str = "INTIME", start: str = "STARTDATE", end: str = "ENDDATE") -> DataFrame:
-    """Prescriptions running at the start of each stay; stays without any have 0."""
+              at: str = "INTIME", start: str = "STARTDATE", end: str = "ENDDATE",
+              bucket_days: int = 7) -> DataFrame:
+    """Prescriptions running at the start of each stay; stays without any have 0.
+
+    ``bucket_days`` should be near the usual length of a prescription.
+    """
     windows = prescriptions.select(key, start, end).dropna()
-    hits = filter_by_windows(stays.select(key, stay, at), windows, key, at, start, end)
+    hits = filter_by_windows(stays.select(key, stay, at), windows, key, at, start, end,
+                             bucket_seconds=bucket_days * 86_400)
     counts = hits.groupBy(stay).agg(F.count(F.lit(1)).alias("n_active"))
     return stays.select(stay).join(counts, stay, "left").fillna(0, subset=["n_active"])
 

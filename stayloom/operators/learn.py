@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ranks import dense_index, quantile_values
+from .skew import spread
 
 # Split rule, target cap, learner settings and search grid of the original models.
 SPLIT_BUCKETS = 10
@@ -175,7 +176,7 @@ def permutation_importance(
     ])
     rows = indexed.select("__i", label, vector_to_array(features).alias("own"), F.explode(moves).alias("m"))
     partner = indexed.select(F.col("__i").alias("__j"), vector_to_array(features).alias("other"))
-    paired = rows.select(label, "own", "m.repeat", "m.__j").join(partner, "__j")
+    paired = spread(rows.select(label, "own", "m.repeat", "m.__j"), "__j").join(spread(partner, "__j"), "__j")
     slots = F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("slot")
     swapped = paired.select(label, "repeat", "own", "other", slots).select(
         label, "repeat", "slot",

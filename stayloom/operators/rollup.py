@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import hours_between, ratio
-from .ranks import grouped_quantiles
+from .ranks import BUILTIN_GROUP_ROWS, grouped_quantiles, largest_group
 from .skew import lookup_join
 
 
@@ -38,7 +38,7 @@ def dose_stats_stay(events: DataFrame, c: DoseColumns = DoseColumns()) -> DataFr
     keys = [c.subject, c.admission, c.stay, c.item, c.label]
     rows = events.dropna(subset=keys)
     a = F.col(c.amount)
-    stats = rows.groupBy(*keys).agg(
+    stats = [
         F.coalesce(F.sum(a), F.lit(0.0)).alias("Total_Amount"),
         F.avg(a).alias("Mean_Dose"),
         F.stddev_samp(a).alias("Std_Dose"),
@@ -47,12 +47,13 @@ def dose_stats_stay(events: DataFrame, c: DoseColumns = DoseColumns()) -> DataFr
         F.count(a).alias("Event_Count"),
         # One stay has one length, so any non-null value is the first.
         F.max("LOS_hours").alias("LOS_hours"),
-    )
-    medians = grouped_quantiles(rows, keys, c.amount, {"Median_Dose": 0.5})
-    return (
-        stats.join(medians, keys, "left")
-        .withColumn("Amount_per_LOS_hour", ratio(F.col("Total_Amount"), F.col("LOS_hours")))
-    )
+    ]
+    if largest_group(rows, [c.stay, c.item]) <= BUILTIN_GROUP_ROWS:
+        table = rows.groupBy(*keys).agg(*stats, F.percentile(a, F.lit(0.5)).alias("Median_Dose"))
+    else:
+        medians = grouped_quantiles(rows, keys, c.amount, {"Median_Dose": 0.5})
+        table = rows.groupBy(*keys).agg(*stats).join(medians, keys, "left")
+    return table.withColumn("Amount_per_LOS_hour", ratio(F.col("Total_Amount"), F.col("LOS_hours")))
 
 
 def dose_stats_admission(stay_stats: DataFrame, c: DoseColumns = DoseColumns()) -> DataFrame:

@@ -92,3 +92,14 @@ def lookup_join(
     if rows <= (HOT_ROWS if hot_rows is None else hot_rows):
         return big.join(small, keys, how)
     return split_join(big, small, keys, hot_keys(big, keys, rows), how)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Partition by keys into at least one task per core.
+
+    For model and Python work, whose cost per byte is high: the size-based merging of small
+    partitions would leave it to a few tasks. A following group-by or join on the keys reuses it.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys)

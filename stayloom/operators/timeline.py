@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import DAY_SECONDS, days_between
-from .skew import lookup_join
+from .skew import lookup_join, spread
 
 # Share of neighbours for the trend and for the resampled trends, resamples, seed, band.
 TREND_FRACTION = 0.35
@@ -19,9 +22,14 @@ BAND = (0.05, 0.95)
 
 # The span is a grid of this many steps; for one day a step is one second, the resolution of the source.
 STEPS = DAY_SECONDS
-DRAWS_PER_GROUP = 20
+# Stays up to this many steps are refitted in one run, others in blocks of draws.
+WHOLE_STEPS = 8_640
+DRAWS_PER_BLOCK = 20
+BATCH_ROWS = 5_000
 POISSON_LEVELS = 16
 MATRIX_CELLS = 4_000_000
+EXPANDED_ROWS = 100_000
+CACHE_CELLS = 12_000
 
 
 def relative_events(
@@ -51,69 +59,137 @@ def _positive(events: DataFrame, stay: str, amount: str, span_days: float) -> Da
         F.col(stay).alias("stay"), step.alias("step"), F.col(amount).cast("double").alias("amount"))
 
 
-def local_linear(x: np.ndarray, count: np.ndarray, y: np.ndarray, fraction: float) -> np.ndarray:
-    """Tricube-weighted local line at each x, over the ``fraction`` nearest observations.
-
-    ``x`` is sorted and distinct; ``count`` observations share each x and ``y`` is their mean. A line
-    depends on observations at one x only through these, so the fit equals that over single rows; a
-    tie cut by the neighbourhood counts in part.
-    """
-    ends = np.cumsum(count)
-    starts = ends - count
+def _neighbourhoods(x: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
+    """First row of the k nearest rows of each x: leftmost window whose middle is not left of x."""
     n = int(ends[-1])
-    k = int(fraction * n + 1e-10)
-    if k < 2:
-        return y.astype(float)
+    if n <= EXPANDED_ROWS:
+        rows = np.repeat(x, np.diff(ends, prepend=0))
+        return np.searchsorted((rows[:n - k] + rows[k:]) / 2.0, x)
     value_at = lambda row: x[np.searchsorted(ends, row, side="right")]
-    # Leftmost neighbourhood [left, left + k) whose middle is not left of the point.
     low, high = np.zeros(len(x), dtype=np.int64), np.full(len(x), n - k, dtype=np.int64)
     while np.any(low < high):
         mid = (low + high) // 2
-        inside = np.minimum(mid + k, n - 1)
-        move = (low < high) & (x > (value_at(mid) + value_at(inside)) / 2.0)
+        move = (low < high) & (x > (value_at(mid) + value_at(np.minimum(mid + k, n - 1))) / 2.0)
         low, high = np.where(move, mid + 1, low), np.where(move, high, np.minimum(high, mid))
-    first = np.searchsorted(ends, low, side="right")
-    last = np.searchsorted(ends, low + k - 1, side="right")
+    return low
+
+
+def local_lines(x: np.ndarray, counts: np.ndarray, means: np.ndarray, fraction: float) -> np.ndarray:
+    """Tricube-weighted local line at each x over the ``fraction`` nearest rows, for several samples.
+
+    ``x`` is sorted and distinct; in sample d, ``counts[d]`` rows share each x and ``means[d]`` is their
+    mean. A line depends on rows at one x only through these, so this equals a fit over single rows.
+    """
+    fits = np.empty(counts.shape)
+    # Small arrays stay in the processor cache: a few samples at a time.
+    some = max(1, CACHE_CELLS // len(x) ** 2)
+    for d in range(0, len(counts), some):
+        fits[d:d + some] = _lines(x, counts[d:d + some], means[d:d + some], fraction)
+    return fits
+
+
+def _lines(x: np.ndarray, counts: np.ndarray, means: np.ndarray, fraction: float) -> np.ndarray:
+    ends = np.cumsum(counts, axis=1)
+    starts = ends - counts
+    k = (fraction * ends[:, -1] + 1e-10).astype(np.int64)
+    left, first, last = (np.zeros(counts.shape, dtype=np.int64) for _ in range(3))
+    for d in np.flatnonzero(k >= 2):
+        left[d] = _neighbourhoods(x, ends[d], k[d])
+        first[d] = np.searchsorted(ends[d], left[d], side="right")
+        last[d] = np.searchsorted(ends[d], left[d] + k[d] - 1, side="right")
     radius = np.maximum(x - x[first], x[last] - x)
-    fit = np.empty(len(x))
-    chunk = max(1, MATRIX_CELLS // len(x))
+    fits = means.astype(float).copy()
+    chunk = max(1, MATRIX_CELLS // (len(x) * len(counts)))
     for a in range(0, len(x), chunk):
-        b = min(a + chunk, len(x))
-        js = slice(first[a], last[b - 1] + 1)
-        left = low[a:b, None]
-        used = np.minimum(ends[js], left + k) - np.maximum(starts[js], left)
-        r = radius[a:b, None]
+        at = slice(a, min(a + chunk, len(x)))
+        near = slice(first[:, at].min(), last[:, at].max() + 1)
+        row, r = left[:, at, None], radius[:, at, None]
+        used = np.minimum(ends[:, None, near], row + k[:, None, None]) - np.maximum(starts[:, None, near], row)
         with np.errstate(divide="ignore", invalid="ignore"):
-            distance = np.abs(x[js] - x[a:b, None]) / r
-            weight = np.clip(used, 0, None) * np.clip(1 - distance**3, 0, None) ** 3
-            total = weight.sum(axis=1)
-            mean_x = weight @ x[js] / total
-            mean_y = weight @ y[js] / total
-            off = x[js] - mean_x[:, None]
-            spread = (weight * off**2).sum(axis=1)
-            slope = (weight * off) @ y[js] / spread
-            line = mean_y + slope * (x[a:b] - mean_x)
-        flat = np.where(total > 0, mean_y, y[a:b])
-        fit[a:b] = np.where((total > 0) & (spread > 1e-12 * total * np.maximum(r[:, 0], 1e-300) ** 2), line, flat)
-        fit[a:b] = np.where(r[:, 0] > 0, fit[a:b], y[a:b])
-    return fit
+            gap = x[near] - x[at, None]
+            u = np.abs(gap) / r
+            t = np.maximum(1 - u * u * u, 0)
+            w = np.maximum(used, 0) * (t * t * t)
+            # Moments around the point itself.
+            y = means[:, near, None]
+            total, m1 = w.sum(axis=2), np.einsum("dps,ps->dp", w, gap)
+            m2, q = np.einsum("dps,ps->dp", w, gap * gap), w * gap
+            mean_x, mean_y = m1 / total, (w @ y)[:, :, 0] / total
+            spread_x = m2 - mean_x * m1
+            slope = ((q @ y)[:, :, 0] - m1 * mean_y) / spread_x
+            line = mean_y - slope * mean_x
+        r = r[:, :, 0]
+        line = np.where(spread_x > 1e-12 * total * r * r, line, mean_y)
+        fits[:, at] = np.where((k[:, None] >= 2) & (r > 0) & (total > 0), line, fits[:, at])
+    return fits
+
+
+def local_linear(x: np.ndarray, count: np.ndarray, y: np.ndarray, fraction: float) -> np.ndarray:
+    """The same for one sample."""
+    return local_lines(x, count[None, :], y[None, :], fraction)[0]
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of each run of equal keys in sorted batches; only one run is held at a time."""
+    held: list[dict[str, np.ndarray]] = []
+    current = None
+    for batch in batches:
+        columns = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names}
+        n = batch.num_rows
+        if n == 0:
+            continue
+        fresh = np.any([columns[k][1:] != columns[k][:-1] for k in keys], axis=0)
+        cuts = [0, *(np.flatnonzero(fresh) + 1).tolist(), n]
+        for a, b in zip(cuts, cuts[1:]):
+            key = tuple(columns[k][a] for k in keys)
+            if held and key != current:
+                yield {c: np.concatenate([h[c] for h in held]) for c in columns}
+                held = []
+            held.append({c: v[a:b] for c, v in columns.items()})
+            current = key
+    if held:
+        yield {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+
+
+def _gathered(parts: Iterator[dict[str, np.ndarray]], build) -> Iterator[pa.RecordBatch]:
+    """Small results together in one record batch."""
+    kept, rows = [], 0
+    for part in parts:
+        kept.append(part)
+        rows += len(part["stay"])
+        if rows >= BATCH_ROWS:
+            yield build({c: np.concatenate([k[c] for k in kept]) for c in part})
+            kept, rows = [], 0
+    if kept:
+        yield build({c: np.concatenate([k[c] for k in kept]) for c in kept[0]})
+
+
+def _by_run(df: DataFrame, keys: list[str], order: list[str], function, build, schema: str) -> DataFrame:
+    """Apply ``function`` to each run of keys, in Arrow batches; cheaper than a Python call per group."""
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _gathered((function(run) for run in _runs(source, keys)), build)
+
+    return spread(df, *keys).sortWithinPartitions(*keys, *order).mapInArrow(batches, schema)
 
 
 def trend(events: DataFrame, stay: str = "ICUSTAY_ID", amount: str = "AMOUNT",
           fraction: float = TREND_FRACTION, span_days: float = 1.0) -> DataFrame:
-    """``(stay, x, trend)`` of every stay. Rows are summed per grid step first, which bounds a group."""
+    """``(stay, x, trend)`` of every stay. Rows are summed per grid step first, which bounds a run."""
     points = _positive(events, stay, amount, span_days).groupBy("stay", "step").agg(
         F.count(F.lit(1)).alias("c"), F.avg("amount").alias("y"))
     stay_type = points.schema["stay"].dataType.simpleString()
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("step")
-        x = pdf["step"].to_numpy() * (span_days / STEPS)
-        ys = local_linear(x, pdf["c"].to_numpy(), pdf["y"].to_numpy(), fraction)
-        return pd.DataFrame({"stay": pdf["stay"].to_numpy(), "x": x, "trend": ys})
+    def fit(run: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        x = run["step"] * (span_days / STEPS)
+        return {"stay": run["stay"], "x": x, "trend": local_linear(x, run["c"], run["y"], fraction)}
+
+    def build(c: dict[str, np.ndarray]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c["stay"]), pa.array(c["x"]), pa.array(c["trend"])],
+                               names=["stay", "x", "trend"])
 
-    return points.groupBy("stay").applyInPandas(fit, f"stay {stay_type}, x double, trend double") \
-        .withColumnRenamed("stay", stay)
+    fitted = _by_run(points, ["stay"], ["step"], fit, build,
+                     f"stay {stay_type}, x double, trend double")
+    return fitted.withColumnRenamed("stay", stay)
 
 
 def poisson_one(u):
@@ -126,43 +202,79 @@ def poisson_one(u):
     return sum(((u >= F.lit(c)).cast("int") for c in levels[1:]), (u >= F.lit(levels[0])).cast("int"))
 
 
+def _middle(values, p: float):
+    """Interpolated quantile of a short sorted array column."""
+    position = (F.size(values) - 1) * F.lit(p)
+    low, part = F.floor(position).cast("int"), position - F.floor(position)
+    high = F.ceil(position).cast("int")
+    return F.get(values, low) * (1 - part) + F.get(values, high) * part
+
+
 def bootstrap_band(events: DataFrame, stay: str = "ICUSTAY_ID", amount: str = "AMOUNT",
                    draws: int = DRAWS, fraction: float = BAND_FRACTION, span_days: float = 1.0,
                    seed: int = SEED) -> DataFrame:
     """``(stay, x, lower, upper)``: percentiles of refits on resamples, on the trend's grid.
 
-    A resample gives each row a Poisson(1) count; counts and sums merge per (stay, draw, step) before
-    the shuffle, so a Python group holds at most DRAWS_PER_GROUP times the steps of the span.
+    A resample gives each row a Poisson(1) count. A grid step with one row is drawn where the line
+    is fitted; a step shared by several rows is drawn row by row and summed per (stay, step, draw)
+    before the shuffle. So one Python run, a stay and some of its draws, is bounded by the grid
+    however many rows the stay has; stays with many steps are cut into blocks of few draws.
     """
-    drawn = (
-        _positive(events, stay, amount, span_days)
+    rows = _positive(events, stay, amount, span_days)
+    width = F.when(F.count(F.lit(1)).over(Window.partitionBy("stay")) <= WHOLE_STEPS, F.lit(draws)).otherwise(
+        F.lit(min(draws, DRAWS_PER_BLOCK)))
+    # A stay has at most STEPS cells, which bounds the window.
+    cells = rows.groupBy("stay", "step").agg(
+        F.count(F.lit(1)).alias("n"), F.max("amount").alias("amount")).withColumn("width", width)
+    last_block = F.ceil(F.lit(draws) / F.col("width")).cast("int") - 1
+    single = cells.filter("n = 1").select(
+        "stay", F.explode(F.sequence(F.lit(0), last_block)).alias("block"), "step", "width",
+        F.lit(-1).alias("slot"), F.lit(0).cast("long").alias("c"), F.col("amount").alias("cy"))
+    shared = (
+        lookup_join(rows, cells.filter("n > 1").select("stay", "step", "width"), ["stay", "step"])
         .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
         .withColumn("u", F.rand(seed)).withColumn("c", poisson_one(F.col("u")))
-        .groupBy("stay", "draw", "step")
+        .groupBy("stay", F.floor(F.col("draw") / F.col("width")).cast("int").alias("block"), "step", "width",
+                 F.pmod("draw", "width").alias("slot"))
         .agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("amount")).alias("cy"))
-        .withColumn("block", F.floor(F.col("draw") / DRAWS_PER_GROUP).cast("int"))
     )
-    stay_type = drawn.schema["stay"].dataType.simpleString()
-
-    def refit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["draw", "step"], kind="stable")
-        draw, step = pdf["draw"].to_numpy(), pdf["step"].to_numpy()
-        c, cy = pdf["c"].to_numpy(), pdf["cy"].to_numpy()
-        grid = step * (span_days / STEPS)
-        fitted = np.full(len(pdf), np.nan)
-        cuts = np.flatnonzero(np.diff(draw)) + 1
-        for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(pdf)]):
-            hit = c[a:b] > 0
+    stay_type = rows.schema["stay"].dataType.simpleString()
+
+    def refit(run: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        who, block, width = run["stay"][0], int(run["block"][0]), int(run["width"][0])
+        rng = np.random.default_rng([seed, block, zlib.crc32(str(who).encode())])
+        step, at = np.unique(run["step"], return_inverse=True)
+        slot, y = run["slot"], run["cy"]
+        samples = min(width, draws - block * width)
+        count, total = np.zeros((2, samples, len(step)))
+        own = slot < 0
+        count[:, at[own]] = rng.poisson(1.0, (samples, int(own.sum())))
+        total[:, at[own]] = count[:, at[own]] * y[own]
+        count[slot[~own], at[~own]] = run["c"][~own]
+        total[slot[~own], at[~own]] = y[~own]
+        x = step * (span_days / STEPS)
+        lines = local_lines(x, count.astype(np.int64), total / np.maximum(count, 1), fraction)
+        fits = np.full((samples, len(step)), np.nan)
+        for i in range(samples):
+            hit = count[i] > 0
             if hit.any():
-                x = grid[a:b][hit]
-                ys = local_linear(x, c[a:b][hit], cy[a:b][hit] / c[a:b][hit], fraction)
-                fitted[a:b] = np.interp(grid[a:b], x, ys)
-        return pd.DataFrame({"stay": pdf["stay"].to_numpy(), "step": step, "fit": fitted})
+                fits[i] = np.interp(x, x[hit], lines[i, hit])
+        values = np.empty(len(step), dtype=object)
+        values[:] = list(fits.T)
+        return {"stay": np.repeat(run["stay"][:1], len(step)), "step": step, "fits": values}
+
+    def build(c: dict[str, np.ndarray]) -> pa.RecordBatch:
+        ends = np.cumsum([0, *map(len, c["fits"])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(list(c["fits"]))))
+        return pa.record_batch([pa.array(c["stay"]), pa.array(c["step"].astype(np.int32)), lists],
+                               names=["stay", "step", "fits"])
 
-    fits = drawn.groupBy("stay", "block").applyInPandas(refit, f"stay {stay_type}, step int, fit double")
-    # At most ``draws`` fits per (stay, step), so the built-in percentile is bounded.
+    fits = _by_run(single.unionByName(shared), ["stay", "block"], ["step", "slot"], refit, build,
+                   f"stay {stay_type}, step int, fits array<double>")
+    # One array per block: at most ``draws`` values per (stay, step).
+    values = F.array_sort(F.filter(F.flatten(F.collect_list("fits")), lambda v: ~F.isnan(v)))
     return (
-        fits.filter(~F.isnan("fit")).groupBy("stay", "step")
-        .agg(F.percentile("fit", F.lit(BAND[0])).alias("lower"), F.percentile("fit", F.lit(BAND[1])).alias("upper"))
-        .select(F.col("stay").alias(stay), (F.col("step") * (span_days / STEPS)).alias("x"), "lower", "upper")
+        fits.groupBy("stay", "step").agg(values.alias("v")).filter(F.size("v") > 0)
+        .select(F.col("stay").alias(stay), (F.col("step") * (span_days / STEPS)).alias("x"),
+                _middle(F.col("v"), BAND[0]).alias("lower"), _middle(F.col("v"), BAND[1]).alias("upper"))
     )

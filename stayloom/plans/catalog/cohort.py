@@ -334,7 +334,7 @@ def active_at_start(spark, d):
     ).select("o_custkey", F.least("o_orderdate", "l_shipdate").alias("STARTDATE"),
              F.greatest("o_orderdate", "l_shipdate").alias("ENDDATE"))
     stays = orders.withColumnsRenamed({"o_orderkey": "stay", "o_orderdate": "at"})
-    return clinical.active_at(stays, rx, "o_custkey", "stay", "at")
+    return clinical.active_at(stays, rx, "o_custkey", "stay", "at", bucket_days=120)
 
 
 @query("""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ...operators import assoc
 from ...operators.ranks import percent_rank_average
-from ...session import load
+from ...session import load, written
 from .base import STAY_SQL, rounded, stays
 
 QUERIES: dict = {}
@@ -33,11 +33,12 @@ gaps AS (SELECT stay_id, n_lines, sum_qty, CASE WHEN gender <> 'P' THEN avg_qty
 
 
 def _gaps(spark, d):
-    return stays(spark, d).withColumns({
+    """Stored once, as each test scans it several times."""
+    return written(stays(spark, d).withColumns({
         "avg_qty": F.when(F.col("gender") != "P", F.col("avg_qty")),
         "avg_discount": F.when(F.col("admission_type") != "5-LOW", F.col("avg_discount")),
         "gender": F.nullif("gender", F.lit("O")),
-    })
+    }), "associations")
 
 
 def _avg_rank(order: str, within: str) -> str:
