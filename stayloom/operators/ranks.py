@@ -36,7 +36,8 @@ def add_cells(df: DataFrame, columns: Sequence[str], cell_rows: int | None = Non
     names = {c: f"{c}__cell" for c in columns}
     if cells == 1:
         return df.withColumns({n: F.lit(0) for n in names.values()})
-    df = df.withColumns({c: F.col(c).cast("double") for c in columns})
+    # Adding zero makes -0.0 and 0.0 one value, as they are for grouping.
+    df = df.withColumns({c: F.col(c).cast("double") + F.lit(0.0) for c in columns})
     probabilities = [i / cells for i in range(1, cells)]
     found = df.approxQuantile(columns, probabilities, 1.0 / (2 * cells))
     cut, splits = [], []

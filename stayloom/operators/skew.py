@@ -34,8 +34,8 @@ def measured_bytes(df: DataFrame) -> int:
     return row["n"] * (fixed + 16) + (row["b"] or 0)
 
 
-def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
-    return measured_bytes(df) <= max_bytes
+def fits_broadcast(df: DataFrame, max_bytes: int | None = None) -> bool:
+    return measured_bytes(df) <= (BROADCAST_BYTES if max_bytes is None else max_bytes)
 
 
 def hot_threshold(rows: int) -> int:
@@ -78,8 +78,7 @@ def lookup_join(
     small: DataFrame,
     keys: Sequence[str],
     how: str = "inner",
-    max_bytes: int = BROADCAST_BYTES,
-    hot_rows: int | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Join a long table to a lookup side: broadcast if measured small, else shuffle with hot keys split.
 
@@ -89,7 +88,7 @@ def lookup_join(
     if fits_broadcast(small, max_bytes):
         return big.join(F.broadcast(small), keys, how)
     rows = big.count()
-    if rows <= (HOT_ROWS if hot_rows is None else hot_rows):
+    if rows <= HOT_ROWS:
         return big.join(small, keys, how)
     return split_join(big, small, keys, hot_keys(big, keys, rows), how)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .skew import BROADCAST_BYTES, lookup_join
+from .skew import lookup_join
 
 
 def add_window_end(df: DataFrame, start: str, hours: int = 24, name: str = "END_FIRST_24H") -> DataFrame:
@@ -33,7 +33,7 @@ def filter_by_window(
     end: str = "END_FIRST_24H",
     value: str | None = "VALUENUM",
     drop_null_values: bool = True,
-    max_bytes: int = BROADCAST_BYTES,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Inner join on ``key``, then ``start <= time <= end``; one window per key expected."""
     if drop_null_values and value:
@@ -54,7 +54,7 @@ def filter_by_windows(
     value: str | None = None,
     drop_null_values: bool = True,
     bucket_seconds: int = 86_400,
-    max_bytes: int = BROADCAST_BYTES,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """As ``filter_by_window`` for keys with many windows: an event counts once for each window it is in.
 
