@@ -68,6 +68,14 @@ def map_features(features: Mapping) -> list[str]:
     return list(dict.fromkeys(name for _, _, name in flatten_map(features) if name in kept))
 
 
+def resolved_map(spark: SparkSession, features) -> tuple[DataFrame, list[str]]:
+    """``(map table, feature columns)`` of a map given as a dict or as ``(map rows, feature names)``."""
+    if isinstance(features, Mapping):
+        return code_map(spark, features), map_features(features)
+    map_rows, names = features
+    return last_wins(map_rows), [feature_name(n) for n in names]
+
+
 def selected_codes(features: Mapping) -> list:
     return list(dict.fromkeys(code for _, code, _ in flatten_map(features)))
 
@@ -143,19 +151,25 @@ def keyword_map(
     )
 
 
-def code_lists(map_rows: DataFrame, search: Mapping[str, Sequence[str]]) -> DataFrame:
-    """One row per searched feature: sorted codes (empty if none) and their number."""
-    wanted = map_rows.sparkSession.createDataFrame(
-        [(name, order) for order, name in enumerate(search)], "feature_name string, map_order int")
-    found = map_rows.groupBy("feature_name").agg(F.array_sort(F.collect_set("code")).alias("codes"))
-    return (
-        F.broadcast(wanted).join(found, "feature_name", "left")
-        .withColumn("n_codes", F.coalesce(F.size("codes"), F.lit(0)))
-    )
+def feature_codes(map_rows: DataFrame) -> DataFrame:
+    """The code list of every feature as rows, in feature and code order: what a map file holds."""
+    return map_rows.select("map_order", "feature_name", "code").distinct().orderBy("map_order", "code")
+
+
+def code_counts(map_rows: DataFrame, search: Mapping[str, Sequence[str]]) -> DataFrame:
+    """One row per searched feature: number, sum, first and last of its codes; 0 where none is found.
+
+    Codes are unique in a dictionary, so the counts need no distinct pass.
+    """
+    wanted = map_rows.sparkSession.createDataFrame([(name,) for name in search], "feature_name string")
+    found = map_rows.groupBy("feature_name").agg(
+        F.count(F.lit(1)).alias("n_codes"), F.sum("code").alias("code_sum"),
+        F.min("code").alias("first_code"), F.max("code").alias("last_code"))
+    return wanted.join(found, "feature_name", "left").fillna(0, subset=["n_codes", "code_sum"])
 
 
-def coverage(lists: DataFrame) -> DataFrame:
-    return lists.agg(
+def coverage(counts: DataFrame) -> DataFrame:
+    return counts.agg(
         F.count_if(F.col("n_codes") > 0).alias("n_found"), F.count(F.lit(1)).alias("n_features"))
 
 

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CELL_ROWS = 1_000_000
-MAX_CELLS = 4096
+MAX_CELLS = 16_384
+MAX_HASH_CELLS = 200_000
 BUILTIN_GROUP_ROWS = 100_000
 
 
@@ -25,8 +26,8 @@ def present(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c)
 
 
-def cell_count(rows: int, cell_rows: int | None = None) -> int:
-    return max(1, min(MAX_CELLS, math.ceil(rows / (cell_rows or CELL_ROWS))))
+def cell_count(rows: int, cell_rows: int | None = None, most: int = MAX_CELLS) -> int:
+    return max(1, min(most, math.ceil(rows / (cell_rows or CELL_ROWS))))
 
 
 def add_cells(df: DataFrame, columns: Sequence[str], cell_rows: int | None = None) -> DataFrame:
@@ -178,9 +179,9 @@ def dense_index(df: DataFrame, keys: Sequence[str], name: str = "row_index",
                 cell_rows: int | None = None, seed: int = 0) -> DataFrame:
     """Number the rows 0, 1, 2, … in the order of a hash of ``keys`` (which must be unique).
 
-    Rows are numbered inside hash cells; the cells' offsets are a table of at most MAX_CELLS rows.
+    Rows are numbered inside hash cells; the cells' offsets are a table of at most MAX_HASH_CELLS rows.
     """
-    cells = cell_count(df.count(), cell_rows)
+    cells = cell_count(df.count(), cell_rows, MAX_HASH_CELLS)
     hashed = df.withColumn("__h", F.xxhash64(F.lit(seed), *keys)).withColumn(
         "__cell", F.pmod(F.col("__h"), F.lit(cells)).cast("int"))
     inside = F.row_number().over(Window.partitionBy("__cell").orderBy("__h", *keys)) - 1

@@ -9,14 +9,16 @@ keys is small by counting: at most ``MAX_HOT_KEYS`` keys can each hold more than
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 HOT_ROWS = 2_000_000
 MAX_HOT_KEYS = 100_000
+NULL_SPLITS = 1024
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -58,14 +60,13 @@ def split_join(
     """Equi-join in which each hot key of ``big`` is spread over ``__splits`` tasks.
 
     The split number is a seeded draw per scanned row, so that exact copies of a row also spread.
+    Rows with a NULL key match nothing and may go anywhere.
     """
     keys = list(keys)
     hot = F.broadcast(hot)
+    splits = F.when(_any_null(keys), F.lit(NULL_SPLITS)).otherwise(F.coalesce(F.col("__splits"), F.lit(1)))
     left = big.join(hot, keys, "left").withColumn(
-        "__salt",
-        F.when(F.col("__splits").isNotNull(), F.floor(F.rand(17) * F.col("__splits")))
-        .otherwise(F.lit(0)).cast("int"),
-    ).drop("__splits")
+        "__salt", F.floor(F.rand(17) * splits).cast("int")).drop("__splits")
     right = small.join(hot, keys, "left").withColumn(
         "__salt",
         F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__splits"), F.lit(1)) - 1)),
@@ -73,6 +74,18 @@ def split_join(
     return left.join(right, keys + ["__salt"], how).drop("__salt")
 
 
+def _any_null(keys: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+
+
+def nulls_apart(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """``left`` or ``left_anti`` join in which left rows without a key are spread, not sent to one task."""
+    keys = list(keys)
+    part = F.when(_any_null(keys), F.floor(F.rand(17) * NULL_SPLITS).cast("int")).otherwise(F.lit(-1))
+    return left.withColumn("__part", part).join(
+        right.withColumn("__part", F.lit(-1)), [*keys, "__part"], how).drop("__part")
+
+
 def lookup_join(
     big: DataFrame,
     small: DataFrame,
@@ -93,6 +106,19 @@ def lookup_join(
     return split_join(big, small, keys, hot_keys(big, keys, rows), how)
 
 
+def left_join_many(one: DataFrame, many: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join of a table with one row per key to one with many.
+
+    The many side is the one that may be hot, and a left join cannot split its right side: the
+    matches come from it by a lookup, and the rows of ``one`` without a match are added.
+    """
+    keys = list(keys)
+    matched = lookup_join(many, one, keys)
+    lonely = nulls_apart(one, many.select(*keys).distinct(), keys, "left_anti")
+    columns = [*one.columns, *[c for c in many.columns if c not in one.columns]]
+    return matched.unionByName(lonely, allowMissingColumns=True).select(*columns)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Partition by keys into at least one task per core.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ...functions.text import keyword_flags
 from ...operators import clinical, codemap, features, profile, windows
 from ...operators.codemap import normalised_dictionary
+from ...operators.skew import left_join_many
 from ...session import load
 from ...sources.writers import timestamps_as_text
 from .base import EVENT_FEATURES, EVENT_MAP, EVENTS_SQL, events, first_week, rounded
@@ -145,7 +146,7 @@ def base_left_chain(spark, d):
         F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderpriority", "o_orderdate")
     lines = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.count(F.lit(1)).alias("n_lines"))
-    base = features.left_join(features.left_join(customers, orders, "c_custkey"), lines, "o_orderkey")
+    base = features.left_join(left_join_many(customers, orders, ["c_custkey"]), lines, "o_orderkey")
     base = windows.add_window_end(base, "o_orderdate", 24, "window_end").drop("o_orderdate")
     return timestamps_as_text(base).select("c_custkey", "o_orderkey", "o_orderpriority", "n_lines", "window_end")
 
@@ -220,12 +221,16 @@ SELECT s.feature_name, count(m.code) AS n_codes, coalesce(sum(m.code), 0)::BIGIN
 FROM (VALUES ('widget'), ('bolt_or_gear'), ('small'), ('optional'), ('never')) AS s(feature_name)
 LEFT JOIN map m USING (feature_name) GROUP BY 1""")
 def code_map_keywords(spark, d):
-    """Sorted code list per searched feature, as size, sum and ends."""
-    lists = codemap.code_lists(_map(spark, d), SEARCH)
-    total = F.coalesce(F.aggregate("codes", F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))
-    return lists.select(
-        "feature_name", F.col("n_codes").cast("long").alias("n_codes"), total.alias("code_sum"),
-        F.get("codes", F.lit(0)).alias("first_code"), F.get("codes", F.size("codes") - 1).alias("last_code"))
+    """Codes per searched feature: number, sum and ends."""
+    return codemap.code_counts(_map(spark, d), SEARCH)
+
+
+@query(f"""
+WITH {MAP_SQL}
+SELECT DISTINCT CAST(map_order AS INTEGER) AS map_order, feature_name, code FROM map""")
+def code_map_rows(spark, d):
+    """The map as a table of (feature, code) rows."""
+    return codemap.feature_codes(_map(spark, d))
 
 
 @query(f"""
@@ -251,7 +256,7 @@ FROM (SELECT s.feature_name, count(m.code) AS n
       FROM (VALUES ('widget'), ('bolt_or_gear'), ('small'), ('optional'), ('never')) AS s(feature_name)
       LEFT JOIN map m USING (feature_name) GROUP BY 1)""")
 def code_map_coverage(spark, d):
-    return codemap.coverage(codemap.code_lists(_map(spark, d), SEARCH))
+    return codemap.coverage(codemap.code_counts(_map(spark, d), SEARCH))
 
 
 @query(f"""

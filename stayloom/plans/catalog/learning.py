@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ...functions.numbers import log_target
 from ...operators import evaluate, learn
+from ...session import written
 from ..training import encode_split
 from .base import STAY_SQL, rounded, stays
 
@@ -75,16 +76,45 @@ scored AS (SELECT y, my + wa * (a - ma) + wb * (b - mb) AS p FROM labelled, w WH
 """
 
 
-@query(f"""WITH {RIDGE_SQL}
-{METRICS_SQL.format(name="'ridge'").replace(', 9)', ', 5)').replace(', 6)', ', 4)')}""")
-def ridge_metrics(spark, d):
-    train, test = learn.split_by_subject(_labelled(spark, d), "subject_id")
+RIDGE_METRICS_SQL = METRICS_SQL.format(name="'ridge'").replace(", 9)", ", 5)").replace(", 6)", ", 4)")
+
+
+def _ridge_scored(spark, d):
+    train, test = learn.split_by_subject(written(_labelled(spark, d), "labelled"), "subject_id")
     encoder = learn.encoder(["avg_price", "avg_discount"], []).fit(train)
     model = learn.ridge(encoder.transform(train))
-    table = evaluate.metrics(model.transform(encoder.transform(test)), "ridge")
+    return train, model.transform(encoder.transform(test))
+
+
+def _coarse_metrics(table):
     return rounded(rounded(table, 5, *[m for m in METRICS if m != "mape"]), 4, "mape")
 
 
+@query(f"WITH {RIDGE_SQL} {RIDGE_METRICS_SQL}")
+def ridge_metrics(spark, d):
+    """Two columns, against the closed form."""
+    return _coarse_metrics(evaluate.metrics(_ridge_scored(spark, d)[1], "ridge"))
+
+
+@query(f"""WITH {RIDGE_SQL},
+base AS (SELECT y, (SELECT quantile_cont(y, 0.5) FROM labelled WHERE subject_id % 10 < 8) AS p
+         FROM labelled WHERE subject_id % 10 >= 8)
+{RIDGE_METRICS_SQL} UNION ALL BY NAME {RIDGE_METRICS_SQL.replace("'ridge'", "'median'").replace("FROM scored", "FROM base")}""")
+def model_comparison(spark, d):
+    train, scored = _ridge_scored(spark, d)
+    median = learn.median_baseline(train, scored.drop("prediction"))
+    return _coarse_metrics(evaluate.comparison([evaluate.metrics(median, "median"), evaluate.metrics(scored, "ridge")]))
+
+
+@query(f"""WITH {RIDGE_SQL}
+SELECT round(greatest(0, least(yd, 30)), 9) AS actual, round(greatest(0, least(pd, 30)), 5) AS predicted,
+       round(greatest(-30, least(yd - pd, 30)), 5) AS residual
+FROM (SELECT exp(y) - 1 AS yd, exp(greatest(p, 0)) - 1 AS pd FROM scored)""")
+def residual_table(spark, d):
+    table = evaluate.residuals(_ridge_scored(spark, d)[1])
+    return rounded(rounded(table, 9, "actual"), 5, "predicted", "residual")
+
+
 def _fitted(spark, d):
     df = stays(spark, d).withColumnsRenamed(
         {"subject_id": "SUBJECT_ID", "admission_type": "ADMISSION_TYPE", "gender": "GENDER", "los": "LOS",
@@ -117,19 +147,6 @@ def grid_search(spark, d):
     return table
 
 
-@query()
-def model_comparison(spark, d):
-    f = _fitted(spark, d)
-    scored = [learn.median_baseline(f.train, f.test), learn.ridge(f.train).transform(f.test)]
-    return evaluate.comparison([evaluate.metrics(s, n) for s, n in zip(scored, ("median", "ridge"))])
-
-
-@query()
-def residual_table(spark, d):
-    f = _fitted(spark, d)
-    return evaluate.residuals(learn.ridge(f.train).transform(f.test))
-
-
 @query()
 def native_importance(spark, d):
     f = _fitted(spark, d)

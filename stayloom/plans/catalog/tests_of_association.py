@@ -90,13 +90,18 @@ def mann_whitney_stat(spark, d):
     return assoc.rank_tests(_gaps(spark, d), ["gender"], "los").drop("p_value")
 
 
-@query(f"""WITH {TEST_SQL}
-SELECT feature, 'Kruskal-Wallis' AS test, CAST(max(n_groups) AS INTEGER) AS n_groups,
-       round((12 / (max(n) * (max(n) + 1)) * sum(rs * rs / ng) - 3 * (max(n) + 1))
-             / (1 - max(t) / (max(n)::DOUBLE * max(n) * max(n) - max(n))), 5) AS statistic
-FROM grp JOIN tot USING (feature) JOIN tie USING (feature) WHERE n_groups > 2 GROUP BY feature""")
+# Five groups are four degrees of freedom, for which the tail is exp(-h/2) (1 + h/2).
+@query(f"""WITH {TEST_SQL},
+kw AS (SELECT feature, CAST(max(n_groups) AS INTEGER) AS n_groups,
+       (12 / (max(n) * (max(n) + 1)) * sum((rs / ng - (n + 1) / 2.0) ^ 2 * ng))
+       / (1 - max(t) / (max(n)::DOUBLE * max(n) * max(n) - max(n))) AS h
+FROM grp JOIN tot USING (feature) JOIN tie USING (feature) WHERE n_groups = 5 GROUP BY feature)
+SELECT feature, 'Kruskal-Wallis' AS test, n_groups, round(h, 7) AS statistic,
+       round(exp(-h / 2) * (1 + h / 2), 8) AS p_value FROM kw""")
 def kruskal_stat(spark, d):
-    return rounded(assoc.rank_tests(_gaps(spark, d), ["admission_type"], "los").drop("p_value"), 5, "statistic")
+    """Statistic and tail probability over five groups."""
+    table = assoc.rank_tests(_gaps(spark, d), ["admission_type"], "los")
+    return rounded(rounded(table, 7, "statistic"), 8, "p_value")
 
 
 @query()

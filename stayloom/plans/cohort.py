@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import CHART_SEARCH, DATED_SEARCH, INPUT_SEARCH, LAB_SEARCH, OUTPUT_SEARCH
 from ..operators.codemap import keyword_map
-from ..operators.features import (
-    attach_feature_tables, left_join, numeric_feature_table, occurrence_feature_table)
+from ..operators.features import attach_feature_tables, numeric_feature_table, occurrence_feature_table
+from ..operators.skew import left_join_many
 from ..operators.windows import add_window_end, filter_by_window, filter_by_windows, time_reference
 
 REFERENCE_COLUMNS = ["SUBJECT_ID", "ICUSTAY_ID", "ADMITTIME", "INTIME", "END_FIRST_24H"]
@@ -49,7 +49,7 @@ def base_table(patients: DataFrame, admissions: DataFrame, stays: DataFrame, hou
     people = patients.select("SUBJECT_ID", "GENDER", "DOB", "EXPIRE_FLAG")
     visits = admissions.select("SUBJECT_ID", "HADM_ID", "ADMISSION_TYPE", "DIAGNOSIS", "ADMITTIME")
     icu = stays.select("HADM_ID", "ICUSTAY_ID", "INTIME", "LOS")
-    joined = left_join(left_join(people, visits, "SUBJECT_ID"), icu, "HADM_ID")
+    joined = left_join_many(left_join_many(people, visits, ["SUBJECT_ID"]), icu, ["HADM_ID"])
     return add_window_end(joined, "INTIME", hours)
 
 
@@ -65,15 +65,7 @@ def windowed_events(events: DataFrame, windows: DataFrame, value: str = "VALUENU
     return hits.select("ICUSTAY_ID", "ITEMID", "CHARTTIME", value)
 
 
-def codes_by_feature(dictionary: DataFrame, search: Mapping) -> dict[str, list]:
-    """Feature -> sorted codes from the dictionary (action; a dictionary row per code)."""
-    rows = keyword_map(dictionary, search).groupBy("feature_name").agg(
-        F.array_sort(F.collect_set("code")).alias("codes")).collect()
-    found = {r["feature_name"]: list(r["codes"]) for r in rows}
-    return {name: found[name] for name in search if name in found}
-
-
-def feature_table(events: DataFrame, preset: Preset, reference: DataFrame, features: Mapping) -> DataFrame:
+def feature_table(events: DataFrame, preset: Preset, reference: DataFrame, features) -> DataFrame:
     """Window filter, code map, aggregation and pivot of one event table; one row per stay."""
     columns = [c for c in dict.fromkeys([preset.key, "ITEMID", preset.time, preset.value])]
     select = filter_by_windows if preset.many_windows else filter_by_window
@@ -89,13 +81,15 @@ def build_cohort(tables: Mapping[str, DataFrame], maps: Mapping[str, Mapping] |
                  presets=DEFAULT_PRESETS, hours: int = 24) -> DataFrame:
     """Base table with every feature table attached: one lazy plan, so Spark runs its branches together.
 
-    ``maps`` gives feature -> codes per preset; without it the maps come from the dictionaries.
+    ``maps`` gives feature -> codes per preset; without it each map is the keyword search over its
+    dictionary, joined as a table, and every searched feature has its columns.
     """
     base = base_table(tables["PATIENTS"], tables["ADMISSIONS"], tables["ICUSTAYS"], hours)
     reference = time_reference(base, "ICUSTAY_ID", REFERENCE_COLUMNS, "INTIME")
     wide = []
     for name in presets:
         preset = PRESETS[name]
-        features = maps[name] if maps else codes_by_feature(tables[preset.dictionary], preset.search)
+        features = maps[name] if maps else (
+            keyword_map(tables[preset.dictionary], preset.search), list(preset.search))
         wide.append(feature_table(tables[preset.table], preset, reference, features))
     return attach_feature_tables(base, wide, "ICUSTAY_ID")

@@ -90,3 +90,18 @@ def test_percent_rank_average_with_ties_and_nulls(spark):
     df = spark.createDataFrame([(v,) for v in [1.0, 1.0, 2.0, None]], "v double")
     got = rows(df.select("v", ranks.percent_rank_average("v").alias("p")), "v")
     assert got == [(None, None), (1.0, .5), (1.0, .5), (2.0, 1.0)]
+
+
+def test_one_to_many_left_join_equals_a_plain_one(spark, skewed, tiny_limits):
+    _, many = skewed
+    many = many.select("k", "id").withColumn("k", F.when(F.col("id") % 50 != 0, F.col("k")))
+    one = spark.createDataFrame([(1, "a"), (2, "b"), (77, "none"), (None, "null"), (None, "null 2")], "k long, name string")
+    got, want = skew.left_join_many(one, many, ["k"]), one.join(many, "k", "left")
+    assert got.columns == want.columns
+    assert sorted(map(str, rows(got))) == sorted(map(str, rows(want)))
+
+
+def test_left_rows_without_a_key_stay(spark):
+    left = spark.createDataFrame([(1, "a"), (None, "b")], "k long, v string")
+    right = spark.createDataFrame([(1, "x"), (None, "y")], "k long, w string")
+    assert sorted(map(str, rows(skew.nulls_apart(left, right, ["k"])))) == [str((1, "a", "x")), str((None, "b", None))]

@@ -141,9 +141,11 @@ def test_keywords_are_patterns_and_brackets_are_not_literal(spark):
     d = codemap.normalised_dictionary(items, ["LABEL", "CATEGORY", "DBSOURCE"])
     assert d.filter("ITEMID = 3").select("LABEL", "DBSOURCE").first() == ("", "")
     assert rows(codemap.search_items(d, ["GLUCOSE (70-105)"]).select("ITEMID")) == [(1,)]
-    lists = codemap.code_lists(codemap.keyword_map(d, {"g": ["glucose"], "none": ["zzz"]}), {"g": [], "none": []})
-    assert rows(lists.select("feature_name", "codes", "n_codes"), "feature_name") == [("g", [1, 2], 2), ("none", None, 0)]
-    assert rows(codemap.coverage(lists)) == [(1, 2)]
+    found = codemap.keyword_map(d, {"g": ["glucose"], "none": ["zzz"]})
+    counts = codemap.code_counts(found, {"g": [], "none": []})
+    assert rows(counts.select("feature_name", "n_codes", "code_sum"), "feature_name") == [("g", 2, 3), ("none", 0, 0)]
+    assert rows(codemap.coverage(counts)) == [(1, 2)]
+    assert rows(codemap.feature_codes(found)) == [(0, "g", 1), (0, "g", 2)]
 
 
 def test_source_filter_exact_and_by_part(spark):
