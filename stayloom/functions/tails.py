@@ -8,11 +8,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 TINY = 1e-300
 EPS = 1e-15
+# Fixed value: sides up to this size are tested exactly when no values tie.
+EXACT_SIDE = 8
+EXACT_CELLS = 1_000_000
 
 
 def _lentz(step, first: float, limit: int = 10_000) -> float:
@@ -85,10 +89,35 @@ def correlation_p(rho: float, n: float) -> float:
     return t_two_sided(rho * math.sqrt((n - 2) / (1.0 - rho * rho)), n - 2)
 
 
+def rank_sum_exact(u: float, n1: int, n2: int) -> float:
+    """Two-sided p of the larger rank-sum statistic without ties, from its full distribution.
+
+    The distribution is the product of (1 + q + … + q^n2) steps: multiply by 1 - q^(n2+i), divide by 1 - q^i.
+    """
+    size = n1 * n2 + 1
+    ways = np.zeros(size)
+    ways[0] = 1.0
+    for i in range(1, n1 + 1):
+        shift = n2 + i
+        if shift < size:
+            ways[shift:] -= ways[:-shift].copy()
+        for start in range(min(i, size)):
+            ways[start::i] = np.cumsum(ways[start::i])
+    return min(1.0, 2.0 * ways[int(math.ceil(u)):].sum() / ways.sum())
+
+
+def rank_sum_p(u: float, z: float, n1: float, n2: float, tie: float) -> float:
+    """Exact for a small side without ties, else the normal limit."""
+    if tie == 0 and min(n1, n2) <= EXACT_SIDE and n1 * n2 <= EXACT_CELLS:
+        return rank_sum_exact(u, int(min(n1, n2)), int(max(n1, n2)))
+    return normal_two_sided(z) if z > 0 else 1.0
+
+
 def _pairwise(fn):
-    def apply(a: pd.Series, b: pd.Series) -> pd.Series:
+    def apply(a, b):
         return pd.Series([None if pd.isna(x) or pd.isna(y) else fn(float(x), float(y)) for x, y in zip(a, b)],
                          dtype="float64")
+    apply.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
     return apply
 
 
@@ -100,8 +129,9 @@ def chi2_sf_column(x, dof):
     return F.pandas_udf(_pairwise(chi2_sf), "double")(x, dof)
 
 
-def normal_p_column(z):
-    def apply(a: pd.Series) -> pd.Series:
-        return a.map(lambda x: None if pd.isna(x) else normal_two_sided(x)).astype("float64")
-    apply.__annotations__ = {"a": pd.Series, "return": pd.Series}
-    return F.pandas_udf(apply, "double")(z)
+def rank_sum_p_column(u, z, n1, n2, tie):
+    def apply(u, z, n1, n2, tie):
+        return pd.Series([None if any(pd.isna(v) for v in row) else rank_sum_p(*row)
+                          for row in zip(u, z, n1, n2, tie)], dtype="float64")
+    apply.__annotations__ = {**{n: pd.Series for n in ("u", "z", "n1", "n2", "tie")}, "return": pd.Series}
+    return F.pandas_udf(apply, "double")(u, z, n1, n2, tie)

@@ -10,7 +10,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tails import chi2_sf_column, correlation_p_column, normal_p_column
+from ..functions.tails import chi2_sf_column, correlation_p_column, rank_sum_p_column
 from .ranks import add_cells, long_values, percent_rank_average, present, quantile_values, value_ranks
 from .skew import HOT_ROWS, hot_threshold, lookup_join, split_join
 
@@ -110,8 +110,8 @@ def group_rank_sums(df: DataFrame, categories: Sequence[str], target: str) -> Da
 def rank_tests(df: DataFrame, categories: Sequence[str], target: str) -> DataFrame:
     """``(feature, test, statistic, p_value, n_groups)``: two groups Mann-Whitney, more Kruskal-Wallis.
 
-    The two-group statistic is U of the first group in sorted order; its p uses the normal limit
-    with tie and continuity correction.
+    The two-group statistic is U of the first group in sorted order. Its p is exact for a side of up
+    to eight without ties, else the normal limit with tie and continuity correction.
     """
     groups = group_rank_sums(df, categories, target)
     n, ng, r = F.col("n"), F.col("n_g"), F.col("rank_sum")
@@ -134,9 +134,10 @@ def rank_tests(df: DataFrame, categories: Sequence[str], target: str) -> DataFra
     tested = per.filter("n_groups >= 2").select(
         "feature", F.when(two, F.lit("Mann-Whitney U")).otherwise(F.lit("Kruskal-Wallis")).alias("test"),
         F.when(two, u).otherwise(h).alias("statistic"), "n_groups",
-        F.when(two, F.greatest(z, F.lit(-8.0))).alias("z"), (F.col("n_groups") - 1).alias("dof"))
+        F.when(two, z).alias("z"), F.when(two, F.greatest(u, n1 * n2 - u)).alias("larger"),
+        F.when(two, n1).alias("n1"), F.when(two, n2).alias("n2"), "tie", (F.col("n_groups") - 1).alias("dof"))
     # One row per feature from here on.
-    p_two = F.when(F.col("z") > 0, normal_p_column(F.col("z"))).when(F.col("z") <= 0, F.lit(1.0))
+    p_two = rank_sum_p_column(F.col("larger"), F.col("z"), F.col("n1"), F.col("n2"), F.col("tie"))
     p_many = chi2_sf_column(F.col("statistic"), F.col("dof"))
     return tested.withColumn(
         "p_value", F.when(F.col("n_groups") == 2, p_two).otherwise(p_many)

@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from ..functions.text import feature_name
 from .skew import lookup_join
 
+MAX_DICT_CODES = 100_000
+
 
 def flatten_map(features: Mapping) -> list[tuple[int, object, str]]:
     """``(map_order, code, feature)`` rows of a flat or grouped map, in map order."""
@@ -68,12 +70,12 @@ def map_features(features: Mapping) -> list[str]:
     return list(dict.fromkeys(name for _, _, name in flatten_map(features) if name in kept))
 
 
-def resolved_map(spark: SparkSession, features) -> tuple[DataFrame, list[str]]:
-    """``(map table, feature columns)`` of a map given as a dict or as ``(map rows, feature names)``."""
+def resolved_map(spark: SparkSession, features) -> tuple[DataFrame, list[str], bool]:
+    """``(map table, feature columns, known to be small)`` of a dict or of ``(map rows, feature names)``."""
     if isinstance(features, Mapping):
-        return code_map(spark, features), map_features(features)
+        return code_map(spark, features), map_features(features), len(selected_codes(features)) <= MAX_DICT_CODES
     map_rows, names = features
-    return last_wins(map_rows), [feature_name(n) for n in names]
+    return last_wins(map_rows), [feature_name(n) for n in names], False
 
 
 def selected_codes(features: Mapping) -> list:
@@ -86,10 +88,15 @@ def filter_codes(events: DataFrame, codes: Sequence, code_column: str = "ITEMID"
 
 
 def add_feature_name(
-    events: DataFrame, mapping: DataFrame, code_column: str = "ITEMID", how: str = "inner"
+    events: DataFrame, mapping: DataFrame, code_column: str = "ITEMID", how: str = "inner", small: bool = False
 ) -> DataFrame:
-    """Attach ``feature_name``. ``inner`` drops unmapped codes, ``left`` keeps them with NULL."""
+    """Attach ``feature_name``. ``inner`` drops unmapped codes, ``left`` keeps them with NULL.
+
+    A map known to be small is broadcast, any other is measured first.
+    """
     lookup = mapping.select(F.col("code").alias(code_column), "feature_name")
+    if small:
+        return events.join(F.broadcast(lookup), code_column, how)
     return lookup_join(events, lookup, [code_column], how)
 
 

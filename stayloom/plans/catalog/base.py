@@ -49,8 +49,8 @@ def first_week(spark: SparkSession, d: str) -> DataFrame:
 STAY_SQL = """
 per_order AS (
   SELECT l_orderkey, count(*) AS n_lines, sum(l_quantity) AS sum_qty, avg(l_quantity) AS avg_qty,
-         avg(l_extendedprice) / 1000 AS avg_price, avg(l_discount) * 100 AS avg_discount,
-         sum(l_extendedprice) / 20000 AS los
+         round(avg(l_extendedprice) / 1000, 9) AS avg_price, round(avg(l_discount) * 100, 9) AS avg_discount,
+         round(sum(l_extendedprice) / 20000, 9) AS los
   FROM lineitem GROUP BY l_orderkey),
 stays AS (
   SELECT o_custkey AS subject_id, o_orderkey AS stay_id, o_orderpriority AS admission_type,
@@ -60,11 +60,15 @@ stays AS (
 
 
 def stays(spark: SparkSession, d: str) -> DataFrame:
-    """One row per order with lines: person, stay, categories, numbers, and a length in days."""
+    """One row per order with lines: person, stay, categories, numbers, and a length in days.
+
+    Sums of decimals are rounded, so that equal values are equal whatever the order of adding.
+    """
     per_order = load(spark, d, "lineitem").groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("n_lines"), F.sum("l_quantity").alias("sum_qty"),
-        F.avg("l_quantity").alias("avg_qty"), (F.avg("l_extendedprice") / 1000).alias("avg_price"),
-        (F.avg("l_discount") * 100).alias("avg_discount"), (F.sum("l_extendedprice") / 20000).alias("los"))
+        F.avg("l_quantity").alias("avg_qty"), F.round(F.avg("l_extendedprice") / 1000, 9).alias("avg_price"),
+        F.round(F.avg("l_discount") * 100, 9).alias("avg_discount"),
+        F.round(F.sum("l_extendedprice") / 20000, 9).alias("los"))
     orders = load(spark, d, "orders").select(
         F.col("o_custkey").alias("subject_id"), F.col("o_orderkey").alias("stay_id"),
         F.col("o_orderpriority").alias("admission_type"), F.col("o_orderstatus").alias("gender"))

@@ -13,6 +13,7 @@ from ..operators.codemap import keyword_map
 from ..operators.features import attach_feature_tables, numeric_feature_table, occurrence_feature_table
 from ..operators.skew import left_join_many
 from ..operators.windows import add_window_end, filter_by_window, filter_by_windows, time_reference
+from ..session import written
 
 REFERENCE_COLUMNS = ["SUBJECT_ID", "ICUSTAY_ID", "ADMITTIME", "INTIME", "END_FIRST_24H"]
 
@@ -79,13 +80,14 @@ def feature_table(events: DataFrame, preset: Preset, reference: DataFrame, featu
 
 def build_cohort(tables: Mapping[str, DataFrame], maps: Mapping[str, Mapping] | None = None,
                  presets=DEFAULT_PRESETS, hours: int = 24) -> DataFrame:
-    """Base table with every feature table attached: one lazy plan, so Spark runs its branches together.
+    """Base table with every feature table attached; their branches are one plan and run together.
 
     ``maps`` gives feature -> codes per preset; without it each map is the keyword search over its
     dictionary, joined as a table, and every searched feature has its columns.
     """
     base = base_table(tables["PATIENTS"], tables["ADMISSIONS"], tables["ICUSTAYS"], hours)
-    reference = time_reference(base, "ICUSTAY_ID", REFERENCE_COLUMNS, "INTIME")
+    # Every event table is joined to the windows, so they are computed once.
+    reference = written(time_reference(base, "ICUSTAY_ID", REFERENCE_COLUMNS, "INTIME"), "windows")
     wide = []
     for name in presets:
         preset = PRESETS[name]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..fixed_values import DO_NOT_IMPUTE, MEDIAN_IMPUTE, ZERO_IMPUTE
 from ..functions.numbers import age_years, capped_age
 from ..operators.prepare import MedianImputer, OneHot, cohort_filter, fill_zero, map_category, require
+from ..session import written
 
 
 def prepare(
@@ -27,6 +28,8 @@ def prepare(
     """
     rows = require(cohort_filter(df, "EXPIRE_FLAG", keep_flag), ["LOS", "DIAGNOSIS"])
     rows = fill_zero(rows, [c for c in ZERO_IMPUTE if c not in DO_NOT_IMPUTE])
+    # Medians, categories and the result read this one stored frame.
+    rows = written(rows, "cohort")
     medians = MedianImputer.fit(rows if fit_on is None else fit_on, MEDIAN_IMPUTE)
     rows = medians.transform(rows)
     age = age_years(F.col("ADMITTIME"), F.col("DOB"))

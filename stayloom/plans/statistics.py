@@ -12,6 +12,7 @@ from ..functions.numbers import log_target
 from ..operators import assoc
 from ..operators.prepare import outlier_bounds, select_existing, within_bounds
 from ..operators.profile import categorical_columns, numeric_columns
+from ..session import written
 
 
 @dataclass(frozen=True)
@@ -27,6 +28,8 @@ class Associations:
 def association_report(df: DataFrame, target: str = "LOS", exclude: Sequence[str] = ()) -> Associations:
     numbers = [c for c in numeric_columns(df) if c != target and c not in exclude]
     groups = [c for c in categorical_columns(df) if c not in exclude]
+    # Stored once with the columns in use, as every test scans it.
+    df = written(df.select(target, *numbers, *groups), "associations")
     numeric = assoc.fdr_bh(assoc.spearman_with_target(df, numbers, target))
     categorical = assoc.fdr_bh(assoc.rank_tests(df, groups, target)) if groups else None
     information = assoc.mutual_information(df, numbers, target)

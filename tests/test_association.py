@@ -93,6 +93,19 @@ def test_tail_probabilities(got, want):
     assert got == pytest.approx(want, rel=1e-3 if want < 1e-9 else 1e-9)
 
 
+def test_exact_rank_sum_counts_all_arrangements(spark):
+    from itertools import combinations as choose
+    n1, n2 = 3, 5
+    us = [sum(c) - n1 * (n1 + 1) // 2 + n1 for c in choose(range(n1 + n2), n1)]
+    for u in range(8, 16):
+        want = min(1.0, 2 * sum(x >= u for x in us) / len(us))
+        assert tails.rank_sum_exact(u, n1, n2) == pytest.approx(want, abs=1e-12)
+    assert tails.rank_sum_exact(15, 3, 5) == pytest.approx(2 / 56)
+    data = [("a", v) for v in (1., 2., 3.)] + [("b", v) for v in (4., 5., 6., 7., 8.)]
+    got = assoc.rank_tests(spark.createDataFrame(data, "g string, y double"), ["g"], "y").first()
+    assert got["statistic"] == 0 and got["p_value"] == pytest.approx(2 / 56)
+
+
 def test_false_discovery_rate(spark):
     df = spark.createDataFrame([("a", .01), ("b", .02), ("c", .03), ("d", .5), ("e", None)], "feature string, p_value double")
     got = rows(assoc.fdr_bh(df).select("feature", F.round("p_adj", 12), "significant"), "feature")
