@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...operators import rollup, timeline
-from ...session import load
+from ...session import load, written
 from .base import events, rounded
 
 QUERIES: dict = {}
@@ -52,10 +52,11 @@ lvl3 AS (
 def _doses(spark, d):
     orders = load(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate")
     lines = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_shipdate")
-    inputs = lines.join(orders, "l_orderkey").select(
+    # The clinical tables are stored; here the dose rows are stored once, as stays and doses both read them.
+    inputs = written(lines.join(orders, "l_orderkey").select(
         F.col("o_custkey").alias("subject"), F.col("l_orderkey").alias("admission"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("stay"),
-        F.col("l_partkey").alias("item"), F.col("l_quantity").alias("amount"), "o_orderdate", "l_shipdate")
+        F.col("l_partkey").alias("item"), F.col("l_quantity").alias("amount"), "o_orderdate", "l_shipdate"), "doses")
     stays = inputs.groupBy("stay").agg(
         F.min("o_orderdate").alias("INTIME"), F.max(F.greatest("l_shipdate", "o_orderdate")).alias("OUTTIME"))
     items = load(spark, d, "part").select(

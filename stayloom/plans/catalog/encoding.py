@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ...functions import numbers as num
 from ...functions.text import feature_name_column, sanitised
 from ...operators import incremental, prepare, profile
-from ...session import load
+from ...session import load, written
 from ...sources.readers import nullable_doubles
 from ...sources.writers import timestamps_as_text
 from .base import STAY_SQL, rounded, stays
@@ -189,7 +189,7 @@ fence AS (SELECT greatest(0, quantile_cont(los, 0.25) - 1.5 * (quantile_cont(los
 
 def _target(spark, d):
     missing = (F.col("admission_type") == "5-LOW") & (F.col("gender") == "P")
-    return stays(spark, d).select("stay_id", F.when(~missing, F.col("los")).alias("los"))
+    return written(stays(spark, d).select("stay_id", F.when(~missing, F.col("los")).alias("los")), "target")
 
 
 @query(f"""WITH {FENCE_SQL}

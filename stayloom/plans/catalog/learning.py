@@ -35,7 +35,7 @@ def split_by_subject(spark, d):
 
 
 def _labelled(spark, d):
-    return stays(spark, d).withColumn("label", log_target(F.col("los"), learn.TARGET_CAP_DAYS))
+    return written(stays(spark, d).withColumn("label", log_target(F.col("los"), learn.TARGET_CAP_DAYS)), "labelled")
 
 
 METRICS = ["r2_log", "mae_log", "rmse_log", "r2", "mae", "rmse", "mape", "median_ae"]
@@ -80,7 +80,7 @@ RIDGE_METRICS_SQL = METRICS_SQL.format(name="'ridge'").replace(", 9)", ", 5)").r
 
 
 def _ridge_scored(spark, d):
-    train, test = learn.split_by_subject(written(_labelled(spark, d), "labelled"), "subject_id")
+    train, test = learn.split_by_subject(_labelled(spark, d), "subject_id")
     encoder = learn.encoder(["avg_price", "avg_discount"], []).fit(train)
     model = learn.ridge(encoder.transform(train))
     return train, model.transform(encoder.transform(test))
