@@ -49,7 +49,12 @@ def dose_stats_stay(events: DataFrame, c: DoseColumns = DoseColumns()) -> DataFr
         F.max("LOS_hours").alias("LOS_hours"),
     ]
     if largest_group(rows, [c.stay, c.item]) <= BUILTIN_GROUP_ROWS:
-        table = rows.groupBy(*keys).agg(*stats, F.percentile(a, F.lit(0.5)).alias("Median_Dose"))
+        # Groups are small, so the middle rows are found in the same partitioning the sums need.
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(a.asc_nulls_last()))
+        filled = F.count(a).over(Window.partitionBy(*keys))
+        middle = F.col("__place").between(F.floor((F.col("__n") + 1) / 2), F.floor((F.col("__n") + 2) / 2))
+        table = rows.withColumns({"__place": place, "__n": filled}).groupBy(*keys).agg(
+            *stats, F.avg(F.when(middle, a)).alias("Median_Dose"))
     else:
         medians = grouped_quantiles(rows, keys, c.amount, {"Median_Dose": 0.5})
         table = rows.groupBy(*keys).agg(*stats).join(medians, keys, "left")
