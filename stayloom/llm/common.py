@@ -46,3 +46,24 @@ def first_rows(keyed: DataFrame, group: str, rows: int) -> DataFrame:
     by_group = W.partitionBy(group).orderBy("draw", "doc_id")
     cut = keyed.withColumn("place", F.row_number().over(by_part)).filter(F.col("place") <= rows)
     return cut.withColumn("place", F.row_number().over(by_group)).filter(F.col("place") <= rows)
+
+
+def sample_texts(docs: DataFrame, sample: DataFrame, max_chars: int, seed: str) -> DataFrame:
+    """``(label, text)`` of the sampled documents, at most ``max_chars`` characters of each class.
+
+    Whole documents in random order; one longer than a twentieth of the bound is not fitted on. The sample is
+    bounded by rows, so it may be broadcast.
+    """
+    from pyspark.sql import Window as W
+
+    from ..session import written
+
+    chars = F.length("text")
+    texts = (
+        docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+        .filter(F.col("text").isNotNull() & (chars <= max_chars // 20))
+        .withColumn("draw", draw(seed, F.col("doc_id"), F.col("text")))
+    )
+    so_far = W.partitionBy("label").orderBy("draw").rowsBetween(W.unboundedPreceding, 0)
+    return written(texts, "sample").withColumn("chars", F.sum(chars).over(so_far)).filter(
+        F.col("chars") <= max_chars).select("label", "text")

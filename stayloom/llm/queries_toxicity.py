@@ -1,0 +1,19 @@
+"""Query op2. A trained model has no SQL; its held-out accuracy is tested."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..session import load
+from .common import held_out
+from .toxicity import score, train
+
+
+def toxic_documents(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents").select("doc_id", "text")
+    scored = score(docs, train(docs, load(spark, d, "labels")), threshold=0.5)
+    return scored.select("doc_id", held_out(scored["doc_id"]).alias("held_out"), "score", "predicted", "starts", "stops")
+
+
+QUERIES = {"op2_toxicity": toxic_documents}
+ORACLES: dict[str, str] = {}
