@@ -1,8 +1,8 @@
 """Queries of this subpackage and the SQL they must agree with."""
 
-from . import queries_language, queries_mixing, queries_quality, queries_toxicity
+from . import queries_bpe, queries_language, queries_mixing, queries_quality, queries_tokens, queries_toxicity
 
-_PARTS = (queries_mixing, queries_toxicity, queries_quality, queries_language)
+_PARTS = (queries_mixing, queries_toxicity, queries_quality, queries_language, queries_tokens, queries_bpe)
 
 
 def queries() -> dict:
