@@ -1,8 +1,16 @@
 """Queries of this subpackage and the SQL they must agree with."""
 
-from . import queries_bpe, queries_language, queries_mixing, queries_quality, queries_tokens, queries_toxicity
+from . import (
+    queries_bpe,
+    queries_language,
+    queries_mixing,
+    queries_quality,
+    queries_tokens,
+    queries_toxicity,
+    queries_urls,
+)
 
-_PARTS = (queries_mixing, queries_toxicity, queries_quality, queries_language, queries_tokens, queries_bpe)
+_PARTS = (queries_mixing, queries_toxicity, queries_quality, queries_language, queries_tokens, queries_urls, queries_bpe)
 
 
 def queries() -> dict:
