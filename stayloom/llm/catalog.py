@@ -4,13 +4,14 @@ from . import (
     queries_bpe,
     queries_language,
     queries_mixing,
+    queries_neighbours,
     queries_quality,
     queries_tokens,
     queries_toxicity,
     queries_urls,
 )
 
-_PARTS = (queries_mixing, queries_toxicity, queries_quality, queries_language, queries_tokens, queries_urls, queries_bpe)
+_PARTS = (queries_mixing, queries_toxicity, queries_quality, queries_language, queries_tokens, queries_urls, queries_bpe, queries_neighbours)
 
 
 def queries() -> dict:
