@@ -6,12 +6,13 @@ from . import (
     queries_mixing,
     queries_neighbours,
     queries_quality,
+    queries_search,
     queries_tokens,
     queries_toxicity,
     queries_urls,
 )
 
-_PARTS = (queries_mixing, queries_toxicity, queries_quality, queries_language, queries_tokens, queries_urls, queries_bpe, queries_neighbours)
+_PARTS = (queries_mixing, queries_toxicity, queries_quality, queries_language, queries_tokens, queries_urls, queries_bpe, queries_neighbours, queries_search)
 
 
 def queries() -> dict:
