@@ -3,6 +3,7 @@
 from . import (
     queries_bpe,
     queries_language,
+    queries_minhash,
     queries_mixing,
     queries_neighbours,
     queries_quality,
@@ -12,7 +13,7 @@ from . import (
     queries_urls,
 )
 
-_PARTS = (queries_mixing, queries_toxicity, queries_quality, queries_language, queries_tokens, queries_urls, queries_bpe, queries_neighbours, queries_search)
+_PARTS = (queries_mixing, queries_toxicity, queries_quality, queries_language, queries_tokens, queries_urls, queries_bpe, queries_neighbours, queries_search, queries_minhash)
 
 
 def queries() -> dict:
