@@ -8,6 +8,7 @@ pair are merged step by step.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_50k.json"
-CACHE = 250_000
+CACHE = 500_000
 LONG_RUN = 1000
 SLICE_CHARS = 4_000_000
 NEVER = np.iinfo(np.int64).max
@@ -65,12 +66,10 @@ class Bpe:
         self.codes, self.made = codes[order], np.array(list(self.merges.values()), dtype=np.int64)[order]
         self.splitter = regex.compile(SPLIT)
         self.around = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.risky = regex.compile(rf"[{WHITE}] (?:[{WHITE}]|\Z)")
         self.tree = self._tree()
         self.sound = self._sound()
         self.single = np.array([self.vocab[bytes([b])] for b in range(256)], dtype=np.int64)
         self.known: dict[str, tuple[int, str, bytes]] = {}
-        self.cut: dict[bytes, list[int]] = {}
 
     def _tree(self) -> dict:
         root: dict = {}
@@ -206,50 +205,42 @@ class Bpe:
             cuts[i] = own
         return cuts
 
-    def runs(self, text: str) -> list[str]:
-        """Cut at special strings and before single spaces, where splitting always has a border."""
+    def words(self, text: str) -> list[str]:
+        """Pieces that merging never crosses; special strings are pieces of their own."""
+        if self.around is None or not self.around.search(text):
+            return self.splitter.findall(text)
         out = []
-        for k, part in enumerate(self.around.split(text) if self.around else [text]):
-            if k % 2:
-                out.append(part)
-            elif part and self.risky.search(part):
-                out += self.splitter.findall(part)
-            elif part:
-                pieces = part.split(" ")
-                out += ([pieces[0]] if pieces[0] else []) + [" " + p for p in pieces[1:]]
+        for k, part in enumerate(self.around.split(text)):
+            out += [part] if k % 2 else self.splitter.findall(part)
         return out
 
-    def learn(self, runs: set[str]) -> None:
-        """Encode runs not seen before: number of tokens, ids joined by commas, bytes decoded from the ids."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = [r for r in runs if r not in self.known]
-        split = {r: [w.encode() for w in self.splitter.findall(r)] for r in new if r not in self.special}
-        if len(self.cut) > CACHE:
-            self.cut.clear()
-        tokens = self.cut
-        words = list({w for ws in split.values() for w in ws if w not in tokens})
-        tokens.update(zip(words, self.encode_words(words)) if words else ())
-        for r in new:
-            ids = [self.special[r]] if r in self.special else [t for w in split[r] for t in tokens[w]]
-            self.known[r] = (len(ids), ",".join(map(str, ids)), self.decode(ids))
+    def learn(self, words: set[str]) -> None:
+        """Encode words not seen before: number of tokens, ids joined by commas, bytes decoded from the ids."""
+        known = self.known
+        if len(known) > CACHE:
+            known.clear()
+        new = [w for w in words if w not in known and w not in self.special]
+        for w, ids in zip(new, self.encode_words([w.encode() for w in new]) if new else ()):
+            known[w] = (len(ids), ",".join(map(str, ids)), self.decode(ids))
+        for w in words & self.special.keys():
+            known[w] = (1, str(self.special[w]), self.decode([self.special[w]]))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])
 
     def encode_texts(self, texts: list[str | None]) -> Iterator[list[tuple[int, str, bytes]]]:
-        """Per text the entries of its runs, of which the text's tokens are the concatenation."""
+        """Per text the entries of its words, of which the text's tokens are the concatenation."""
         start = 0
         while start < len(texts):
             end, chars = start, 0
             while end < len(texts) and chars < SLICE_CHARS:
                 chars += len(texts[end] or "")
                 end += 1
-            own = [self.runs(t) if t else [] for t in texts[start:end]]
-            self.learn({r for rs in own for r in rs})
-            known = self.known
-            for rs in own:
-                yield [known[r] for r in rs]
+            own = [self.words(t) if t else [] for t in texts[start:end]]
+            self.learn(set().union(*own))
+            get = self.known.__getitem__
+            for ws in own:
+                yield list(map(get, ws))
             start = end
 
 
@@ -260,6 +251,9 @@ def loaded(path: str) -> Bpe:
     """One encoder for each worker and file."""
     if path not in _LOADED:
         _LOADED[path] = Bpe(path)
+        # The tables and the words known stay for good and hold no cycles: collect less often.
+        gc.freeze()
+        gc.set_threshold(200_000, 50, 100)
     return _LOADED[path]
 
 
@@ -283,7 +277,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         bpe = loaded(path)
         for batch in batches:
             yield pd.Series([
-                np.array(",".join([e[1] for e in entries if e[0]]).split(",") if entries else [], dtype=np.int32)
+                np.fromstring(",".join([e[1] for e in entries]), dtype=np.int32, sep=",")
                 for entries in bpe.encode_texts(batch.tolist())], dtype=object)
 
     kept = [F.col(f"`{c}`") for c in docs.columns if c != "ids"]
