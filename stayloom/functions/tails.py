@@ -7,8 +7,9 @@ Spark SQL has no error, gamma or beta function. The continued fractions are the
 from __future__ import annotations
 
 import math
+from fractions import Fraction
+from functools import lru_cache
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -16,7 +17,6 @@ TINY = 1e-300
 EPS = 1e-15
 # Fixed value: sides up to this size are tested exactly when no values tie.
 EXACT_SIDE = 8
-EXACT_CELLS = 1_000_000
 
 
 def _lentz(step, first: float, limit: int = 10_000) -> float:
@@ -89,26 +89,48 @@ def correlation_p(rho: float, n: float) -> float:
     return t_two_sided(rho * math.sqrt((n - 2) / (1.0 - rho * rho)), n - 2)
 
 
+@lru_cache(maxsize=None)
+def _period(n: int) -> tuple[int, list[int]]:
+    """``(L, N)`` with 1 / ((1 - q)(1 - q)...(1 - q^n)) = N(q) / (1 - q^L)^(n + 1), L the least common multiple of 1 to n."""
+    length = math.lcm(*range(1, n + 1))
+    ways = [1]
+    for step in (1, *range(1, n + 1)):
+        # Times 1 + q^step + ... up to q^(L - step).
+        grown = ways + [0] * (length - step)
+        for k in range(step, len(grown)):
+            grown[k] += grown[k - step]
+        for k in range(len(grown) - 1, length - 1, -1):
+            grown[k] -= grown[k - length]
+        ways = grown
+    return length, ways
+
+
+def _partitions_upto(n: int, total: int) -> int:
+    """Partitions of the numbers 0 to ``total`` into parts of at most ``n``."""
+    length, ways = _period(n)
+    return sum(ways[t] * math.comb((total - t) // length + n, n) for t in range(total % length, min(total + 1, len(ways)), length))
+
+
 def rank_sum_exact(u: float, n1: int, n2: int) -> float:
     """Two-sided p of the larger rank-sum statistic without ties, from its full distribution.
 
-    The distribution is the product of (1 + q + … + q^n2) steps: multiply by 1 - q^(n2+i), divide by 1 - q^i.
+    The distribution is the product of (1 - q^(n2+i)) / (1 - q^i) for i to n1. The numerator has 2^n1 terms, and the
+    sums of the rest have a closed form, so the cost does not hang on n2. All numbers are whole.
     """
-    size = n1 * n2 + 1
-    ways = np.zeros(size)
-    ways[0] = 1.0
-    for i in range(1, n1 + 1):
-        shift = n2 + i
-        if shift < size:
-            ways[shift:] -= ways[:-shift].copy()
-        for start in range(min(i, size)):
-            ways[start::i] = np.cumsum(ways[start::i])
-    return min(1.0, 2.0 * ways[int(math.ceil(u)):].sum() / ways.sum())
+    top = n1 * n2 - math.ceil(u)  # by symmetry the upper tail from u is the lower one up to here
+    if top < 0:
+        return 0.0
+    below = 0
+    for chosen in range(1 << n1):
+        shift = sum(n2 + i + 1 for i in range(n1) if chosen >> i & 1)
+        if shift <= top:
+            below += (-1) ** chosen.bit_count() * _partitions_upto(n1, top - shift)
+    return min(1.0, float(Fraction(2 * below, math.comb(n1 + n2, n1))))
 
 
 def rank_sum_p(u: float, z: float, n1: float, n2: float, tie: float) -> float:
     """Exact for a small side without ties, else the normal limit."""
-    if tie == 0 and min(n1, n2) <= EXACT_SIDE and n1 * n2 <= EXACT_CELLS:
+    if tie == 0 and min(n1, n2) <= EXACT_SIDE:
         return rank_sum_exact(u, int(min(n1, n2)), int(max(n1, n2)))
     return normal_two_sided(z) if z > 0 else 1.0
 

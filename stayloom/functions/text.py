@@ -20,7 +20,7 @@ def feature_name(name: object) -> str:
 
 def feature_name_column(c: Column) -> Column:
     """The same rule on a column of map names."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "[ /-]", "_"), "[()]", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", "")), "[ /-]", "_"), "[()]", "")
 
 
 def sanitised(df: DataFrame) -> DataFrame:

@@ -12,7 +12,6 @@ from ..functions.numbers import hours_between
 from .profile import first_per_key
 from .ranks import present
 from .skew import lookup_join
-from .windows import filter_by_windows
 
 
 def resistance_flags(micro: DataFrame, key: str = "HADM_ID",
@@ -130,17 +129,33 @@ def lab_course(labs: DataFrame, key: str, value: str = "VALUENUM", hours: str =
 
 
 def active_at(stays: DataFrame, prescriptions: DataFrame, key: str = "HADM_ID", stay: str = "ICUSTAY_ID",
-              at: str = "INTIME", start: str = "STARTDATE", end: str = "ENDDATE",
-              bucket_days: int = 7) -> DataFrame:
-    """Prescriptions running at the start of each stay; stays without any have 0.
+              at: str = "INTIME", start: str = "STARTDATE", end: str = "ENDDATE") -> DataFrame:
+    """``(stay, n_active)``: prescriptions running at the start of each stay, one row per row of ``stays``.
 
-    ``bucket_days`` should be near the usual length of a prescription.
+    The number is the starts up to then less the ends before then. Both are summed per key and moment, moments
+    are ordered within days, and days are summed before: no prescription is paired with a stay. Prescriptions
+    that end before they start or lack a key or time count nowhere; stays without key or time have 0.
     """
-    windows = prescriptions.select(key, start, end).dropna()
-    hits = filter_by_windows(stays.select(key, stay, at), windows, key, at, start, end,
-                             bucket_seconds=bucket_days * 86_400)
-    counts = hits.groupBy(stay).agg(F.count(F.lit(1)).alias("n_active"))
-    return stays.select(stay).join(counts, stay, "left").fillna(0, subset=["n_active"])
+    open_ones = prescriptions.select(F.col(key).alias("k"), F.col(start).alias("s"), F.col(end).alias("e")).dropna().filter("s <= e")
+    change = lambda time, kind, by: open_ones.groupBy("k", F.col(time).alias("t")).agg(
+        (F.count(F.lit(1)) * by).alias("change")).withColumn("kind", F.lit(kind))
+    asked = stays.select(F.col(key).alias("k"), F.col(at).alias("t"), F.col(stay).alias("stay"))
+    moments = (
+        # At one moment starts come before the question and ends after it.
+        change("s", 0, 1).unionByName(change("e", 2, -1)).withColumn("stay", F.lit(None).cast(asked.schema["stay"].dataType))
+        .unionByName(asked.dropna(subset=["k", "t"]).withColumn("change", F.lit(0).cast("long")).withColumn("kind", F.lit(1)))
+        .withColumn("day", F.floor(F.unix_seconds(F.col("t").cast("timestamp")) / 86_400))
+    )
+    within = Window.partitionBy("k", "day").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("k").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = moments.groupBy("k", "day").agg(F.sum("change").alias("change")).select(
+        "k", "day", F.coalesce(F.sum("change").over(before), F.lit(0)).alias("earlier"))
+    counted = (
+        moments.withColumn("today", F.sum("change").over(within)).filter("kind = 1").join(days, ["k", "day"])
+        .select(F.col("stay").alias(stay), (F.col("earlier") + F.col("today")).alias("n_active")))
+    none = asked.filter(F.col("k").isNull() | F.col("t").isNull()).select(
+        F.col("stay").alias(stay), F.lit(0).cast("long").alias("n_active"))
+    return counted.unionByName(none)
 
 
 def primary_diagnosis(diagnoses: DataFrame) -> DataFrame:

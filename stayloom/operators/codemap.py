@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import feature_name
+from ..functions.text import feature_name, feature_name_column
 from .skew import lookup_join
 
 MAX_DICT_CODES = 100_000
@@ -75,6 +75,7 @@ def resolved_map(spark: SparkSession, features) -> tuple[DataFrame, list[str], b
     if isinstance(features, Mapping):
         return code_map(spark, features), map_features(features), len(selected_codes(features)) <= MAX_DICT_CODES
     map_rows, names = features
+    map_rows = map_rows.withColumn("feature_name", feature_name_column(F.col("feature_name")))
     return last_wins(map_rows), [feature_name(n) for n in names], False
 
 

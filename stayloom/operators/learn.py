@@ -14,6 +14,7 @@ from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .ranks import dense_index, quantile_values
 from .skew import spread
 
@@ -48,8 +49,11 @@ def validation_split(train: DataFrame, subject: str = "SUBJECT_ID") -> tuple[Dat
     return train.filter(bucket != VALIDATION_BUCKET), train.filter(bucket == VALIDATION_BUCKET)
 
 
-def encoder(numeric: Sequence[str], categorical: Sequence[str], drop_last: bool = False) -> Pipeline:
-    """One-hot of every category seen in training plus the numeric columns, as one vector."""
+def encoder(numeric: Sequence[str], categorical: Sequence[str]) -> Pipeline:
+    """One-hot of every category seen in training plus the numeric columns, as one vector.
+
+    The indexer puts unseen and missing values last, and that slot is dropped: they are zero everywhere.
+    """
     stages = []
     if categorical:
         index = [f"{c}__index" for c in categorical]
@@ -57,7 +61,7 @@ def encoder(numeric: Sequence[str], categorical: Sequence[str], drop_last: bool
         stages += [
             StringIndexer(inputCols=list(categorical), outputCols=index, handleInvalid="keep",
                           stringOrderType="alphabetAsc"),
-            OneHotEncoder(inputCols=index, outputCols=hot, dropLast=drop_last, handleInvalid="keep"),
+            OneHotEncoder(inputCols=index, outputCols=hot, dropLast=True),
         ]
         numeric = [*numeric, *hot]
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=list(numeric), outputCol="features")])
@@ -167,24 +171,26 @@ def permutation_importance(
     n = test.count()
     if n < 2:
         raise ValueError("two rows are needed to shuffle")
-    base = model.transform(test).agg(F.avg(F.abs(F.col(label) - F.col("prediction")))).first()[0]
+    # Each row's own error goes with it, so that a slot without effect gives exactly 0.
+    indexed = written(model.transform(indexed).select(
+        "__i", label, features, F.abs(F.col(label) - F.col("prediction")).alias("base")), "importance")
     steps = _coprime_steps(n, repeats, seed)
     moves = F.array(*[
         F.struct(F.lit(r).alias("repeat"),
                  F.pmod(F.col("__i") * F.lit(a) + F.lit(b), F.lit(n)).alias("__j"))
         for r, (a, b) in enumerate(steps)
     ])
-    rows = indexed.select("__i", label, vector_to_array(features).alias("own"), F.explode(moves).alias("m"))
+    rows = indexed.select("__i", label, "base", vector_to_array(features).alias("own"), F.explode(moves).alias("m"))
     partner = indexed.select(F.col("__i").alias("__j"), vector_to_array(features).alias("other"))
-    paired = spread(rows.select(label, "own", "m.repeat", "m.__j"), "__j").join(spread(partner, "__j"), "__j")
+    paired = spread(rows.select(label, "base", "own", "m.repeat", "m.__j"), "__j").join(spread(partner, "__j"), "__j")
     slots = F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("slot")
-    swapped = paired.select(label, "repeat", "own", "other", slots).select(
-        label, "repeat", "slot",
+    swapped = paired.select(label, "base", "repeat", "own", "other", slots).select(
+        label, "base", "repeat", "slot",
         array_to_vector(F.transform(
             F.col("own"), lambda x, i: F.when(i == F.col("slot"), F.get(F.col("other"), F.col("slot"))).otherwise(x)
         )).alias(features))
     errors = model.transform(swapped).groupBy("slot", "repeat").agg(
-        (F.avg(F.abs(F.col(label) - F.col("prediction"))) - F.lit(base)).alias("delta"))
+        F.avg(F.abs(F.col(label) - F.col("prediction")) - F.col("base")).alias("delta"))
     table = F.array(*[F.lit(x) for x in names])
     return errors.groupBy("slot").agg(
         F.avg("delta").alias("importance"), F.stddev_samp("delta").alias("std")

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from .ranks import quantile_values
 from .skew import lookup_join
 
-MAX_CATEGORIES = 10_000
-
 
 def select_existing(df: DataFrame, wanted: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """The wanted columns that exist, in wanted order, and the names not found."""
@@ -55,12 +53,20 @@ class MedianImputer:
 
 
 def map_category(df: DataFrame, mapping: DataFrame, column: str = "DIAGNOSIS",
-                 key: str = "diagnosis", value: str = "category") -> DataFrame:
-    """Replace a text by its category; both sides trimmed, no match gives NULL."""
-    lookup = (
-        mapping.filter(F.col(key).isNotNull())
-        .groupBy(F.trim(key).alias("__key")).agg(F.max(value).alias("__category"))
-    )
+                 key: str = "diagnosis", value: str = "category", sequence: str | None = None) -> DataFrame:
+    """Replace a text by its category; both sides trimmed, no match gives NULL.
+
+    Of repeated texts the row with the largest ``sequence`` counts. Without a sequence they must agree, as rows
+    of a table have no order (one small check).
+    """
+    rows = mapping.filter(F.col(key).isNotNull()).groupBy(F.trim(key).alias("__key"))
+    if sequence:
+        lookup = rows.agg(F.max_by(value, sequence).alias("__category"))
+    else:
+        lookup = rows.agg(F.max(value).alias("__category"), F.min(value).alias("__least"))
+        if lookup.filter("__category <> __least").limit(1).count():
+            raise ValueError("a text has several categories; name a sequence column")
+        lookup = lookup.drop("__least")
     joined = lookup_join(df.withColumn("__key", F.trim(column)), lookup, ["__key"], "left")
     return joined.withColumn(column, F.col("__category")).drop("__key", "__category").select(*df.columns)
 
@@ -82,15 +88,18 @@ class OneHot:
 
     @classmethod
     def fit(cls, df: DataFrame, columns: Sequence[str], drop_first: bool = False) -> OneHot:
-        """Sorted distinct values per column (action; the number of categories is the table's width)."""
-        found = {}
-        for c in columns:
-            values = df.filter(F.col(c).isNotNull()).select(F.col(c).cast("string").alias(c)).distinct()
-            rows = values.orderBy(c).limit(MAX_CATEGORIES + 1).collect()
-            if len(rows) > MAX_CATEGORIES:
-                raise ValueError(f"'{c}' has too many categories for columns; map it first")
-            found[c] = [r[c] for r in rows][1 if drop_first else 0:]
-        return cls(found)
+        """Sorted distinct values per column, from one scan.
+
+        An action: the categories become columns, so they must be few enough for a table's width. For more use
+        ``learn.encoder``, which makes one sparse vector.
+        """
+        pairs = F.explode(F.array(*[
+            F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(columns)])).alias("p")
+        rows = df.select(pairs).select("p.i", "p.v").filter("v IS NOT NULL").distinct().orderBy("i", "v").collect()
+        found: dict[str, list[str]] = {c: [] for c in columns}
+        for r in rows:
+            found[columns[r["i"]]].append(r["v"])
+        return cls({c: values[1 if drop_first else 0:] for c, values in found.items()})
 
     def transform(self, df: DataFrame) -> DataFrame:
         """NULL and unseen categories are zero everywhere."""

@@ -59,14 +59,15 @@ def split_join(
 ) -> DataFrame:
     """Equi-join in which each hot key of ``big`` is spread over ``__splits`` tasks.
 
-    The split number is a seeded draw per scanned row, so that exact copies of a row also spread.
-    Rows with a NULL key match nothing and may go anywhere.
+    The split number is a hash of the row, the same if a lost task runs again. A hot key whose rows are all
+    equal stays in one task; such copies are best counted before the join. Rows with a NULL key match nothing and
+    may go anywhere.
     """
     keys = list(keys)
     hot = F.broadcast(hot)
     splits = F.when(_any_null(keys), F.lit(NULL_SPLITS)).otherwise(F.coalesce(F.col("__splits"), F.lit(1)))
     left = big.join(hot, keys, "left").withColumn(
-        "__salt", F.floor(F.rand(17) * splits).cast("int")).drop("__splits")
+        "__salt", F.pmod(row_hash(big), splits).cast("int")).drop("__splits")
     right = small.join(hot, keys, "left").withColumn(
         "__salt",
         F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__splits"), F.lit(1)) - 1)),
@@ -74,6 +75,11 @@ def split_join(
     return left.join(right, keys + ["__salt"], how).drop("__salt")
 
 
+def row_hash(df: DataFrame) -> Column:
+    """Hash of all columns that can be hashed (maps cannot)."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, T.MapType)])
+
+
 def _any_null(keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
 
@@ -81,7 +87,7 @@ def _any_null(keys: Sequence[str]) -> Column:
 def nulls_apart(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """``left`` or ``left_anti`` join in which left rows without a key are spread, not sent to one task."""
     keys = list(keys)
-    part = F.when(_any_null(keys), F.floor(F.rand(17) * NULL_SPLITS).cast("int")).otherwise(F.lit(-1))
+    part = F.when(_any_null(keys), F.pmod(row_hash(left), F.lit(NULL_SPLITS)).cast("int")).otherwise(F.lit(-1))
     return left.withColumn("__part", part).join(
         right.withColumn("__part", F.lit(-1)), [*keys, "__part"], how).drop("__part")
 

@@ -1,8 +1,8 @@
 """Named queries over the star-schema test tables, each with the SQL it must agree with."""
 
-from . import cohort, dose, encoding, learning, profiles, tests_of_association
+from . import clinic, cohort, dose, encoding, learning, profiles, roundtrips, tests_of_association
 
-_PARTS = (cohort, dose, profiles, encoding, tests_of_association, learning)
+_PARTS = (cohort, dose, profiles, encoding, tests_of_association, learning, clinic, roundtrips)
 
 
 def queries() -> dict:

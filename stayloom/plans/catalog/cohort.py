@@ -153,14 +153,15 @@ def base_left_chain(spark, d):
 
 @query("""
 SELECT user_id, clicks, errors, views FROM
-  (SELECT user_id, count(*) AS clicks FROM events WHERE event_type = 'click' AND value > 100 GROUP BY 1)
-  FULL JOIN (SELECT user_id, count(*) AS errors FROM events WHERE event_type = 'error' AND value > 100 GROUP BY 1) USING (user_id)
-  FULL JOIN (SELECT user_id, count(*) AS views FROM events WHERE event_type = 'view' AND value > 100 GROUP BY 1) USING (user_id)""")
+  (SELECT user_id, count(*) AS clicks FROM events WHERE event_type = 'click' AND user_id % 3 <> 0 GROUP BY 1)
+  FULL JOIN (SELECT user_id, count(*) AS errors FROM events WHERE event_type = 'error' AND user_id % 3 <> 1 GROUP BY 1) USING (user_id)
+  FULL JOIN (SELECT user_id, count(*) AS views FROM events WHERE event_type = 'view' AND user_id % 3 <> 2 GROUP BY 1) USING (user_id)""")
 def outer_feature_tables(spark, d):
-    e = load(spark, d, "events").filter("value > 100")
+    """Each table lacks the ids of one remainder."""
+    e = load(spark, d, "events")
     tables = [
-        e.filter(F.col("event_type") == t).groupBy("user_id").agg(F.count(F.lit(1)).alias(n))
-        for t, n in (("click", "clicks"), ("error", "errors"), ("view", "views"))]
+        e.filter((F.col("event_type") == t) & (F.col("user_id") % 3 != k)).groupBy("user_id").agg(F.count(F.lit(1)).alias(n))
+        for k, (t, n) in enumerate((("click", "clicks"), ("error", "errors"), ("view", "views")))]
     return features.join_feature_tables(tables, "user_id")
 
 
@@ -325,8 +326,7 @@ def lab_course(spark, d):
 
 @query("""
 WITH rx AS (SELECT o_custkey, least(o_orderdate, l_shipdate) AS s, greatest(o_orderdate, l_shipdate) AS e
-            FROM orders JOIN lineitem ON o_orderkey = l_orderkey
-            WHERE abs(date_diff('day', o_orderdate, l_shipdate)) <= 365)
+            FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
 SELECT o.o_orderkey AS stay, count(rx.s) AS n_active
 FROM orders o LEFT JOIN rx ON o.o_custkey = rx.o_custkey AND o.o_orderdate BETWEEN rx.s AND rx.e
 GROUP BY 1""")
@@ -334,12 +334,10 @@ def active_at_start(spark, d):
     """Lines of the same customer that are open on the day of each order."""
     orders = load(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
     lines = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate")
-    rx = orders.join(lines, "o_orderkey").filter(
-        F.abs(F.datediff("o_orderdate", "l_shipdate")) <= 365
-    ).select("o_custkey", F.least("o_orderdate", "l_shipdate").alias("STARTDATE"),
+    rx = orders.join(lines, "o_orderkey").select("o_custkey", F.least("o_orderdate", "l_shipdate").alias("STARTDATE"),
              F.greatest("o_orderdate", "l_shipdate").alias("ENDDATE"))
     stays = orders.withColumnsRenamed({"o_orderkey": "stay", "o_orderdate": "at"})
-    return clinical.active_at(stays, rx, "o_custkey", "stay", "at", bucket_days=120)
+    return clinical.active_at(stays, rx, "o_custkey", "stay", "at")
 
 
 @query("""
@@ -353,16 +351,16 @@ def primary_service(spark, d):
 
 @query("""
 SELECT o_custkey,
-       CAST(max(CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS INTEGER) AS urgent_done,
-       CAST(max(CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '5-LOW' THEN 1 ELSE 0 END) AS INTEGER) AS low_open
+       CAST(max(CASE WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' AND o_totalprice > 200000 THEN 1 ELSE 0 END) AS INTEGER) AS urgent_done,
+       CAST(max(CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '5-LOW' AND o_totalprice <= 200000 THEN 1 ELSE 0 END) AS INTEGER) AS low_open
 FROM orders GROUP BY 1""")
 def marker_flags(spark, d):
-    """Organism, antibiotic and result are played by status, priority and a constant."""
+    """Organism, antibiotic and result are played by status, priority and price."""
     micro = load(spark, d, "orders").select(
         "o_custkey", F.col("o_orderstatus").alias("ORG_NAME"), F.col("o_orderpriority").alias("AB_NAME"),
-        F.lit("R").alias("INTERPRETATION"))
+        F.when(F.col("o_totalprice") > 200_000, F.lit("R")).otherwise(F.lit("S")).alias("INTERPRETATION"))
     return clinical.resistance_flags(
-        micro, "o_custkey", {"urgent_done": ("F", "1-URGENT", "R"), "low_open": ("P", "5-LOW", "R")})
+        micro, "o_custkey", {"urgent_done": ("F", "1-URGENT", "R"), "low_open": ("P", "5-LOW", "S")})
 
 
 @query("""

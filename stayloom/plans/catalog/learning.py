@@ -155,17 +155,17 @@ def native_importance(spark, d):
 
 @query()
 def permutation_importance(spark, d):
-    """Increase of the error when one column is shuffled, five repeats."""
+    """Increase of the error on the validation digit when one column is shuffled, five repeats."""
     f = _fitted(spark, d)
-    model = learn.ridge(f.train)
-    return learn.permutation_importance(model, f.test, "stay_id", f.names)
+    train, validation = learn.validation_split(f.train)
+    return learn.permutation_importance(learn.ridge(train), validation, "stay_id", f.names)
 
 
 @query()
 def refit_selected(spark, d):
-    """Error after a refit on the features with positive importance."""
+    """Error on the test side after a refit on the features with positive importance on the validation digit."""
     f = _fitted(spark, d)
-    model = learn.ridge(f.train)
-    kept = learn.kept_features(learn.permutation_importance(model, f.test, "stay_id", f.names))
+    rest, validation = learn.validation_split(f.train)
+    kept = learn.kept_features(learn.permutation_importance(learn.ridge(rest), validation, "stay_id", f.names))
     train, test = (learn.select_slots(x, f.names, kept) for x in (f.train, f.test))
     return evaluate.metrics(learn.ridge(train).transform(test), "selected")

@@ -23,7 +23,8 @@ def read_csv(
     """CSV file or folder of files with a header, matched to the schema by column name.
 
     The header is read first: files may hold more columns than declared or another order, and a
-    declared column that the file lacks becomes NULL. Undeclared columns are text.
+    declared column that the file lacks becomes NULL. Undeclared columns are text. All files of a folder
+    must have one header; a file with another one stops the read, as its values would get wrong names.
     """
     if table_schema is None:
         df = spark.read.csv(path, header=True)
@@ -33,7 +34,8 @@ def read_csv(
         header = spark.read.csv(path, header=True).columns
         fields = [T.StructField(types[h.upper()].name, types[h.upper()].dataType) if h.upper() in types
                   else T.StructField(h, T.StringType()) for h in header]
-        df = spark.read.csv(path, header=True, schema=T.StructType(fields), timestampFormat=timestamp_format)
+        df = spark.read.csv(path, header=True, schema=T.StructType(fields), timestampFormat=timestamp_format,
+                            enforceSchema=False)
         there = {h.upper() for h in header}
         df = df.withColumns({
             f.name: F.lit(None).cast(f.dataType) for n, f in types.items() if n not in there})
