@@ -23,9 +23,9 @@ from .components import components
 BANDS, ROWS = 32, 5
 PLACES = BANDS * ROWS
 BLOCK = 512
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 REPLAY = 8  # from this step on the permutations of the few shingles left are kept whole
-MISS = 0.15  # an estimate this far below the threshold rules a pair out: nearly five standard deviations
+MISS = 0.13  # an estimate this far below the threshold rules a pair out: more than four standard deviations
 BASE = np.uint64(0x100000001B3)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 # Fixed values of the contract: the six white-space bytes that part words, and A-Z taken as a-z.
@@ -128,8 +128,8 @@ def signatures(sets: list[np.ndarray], places: int = PLACES) -> np.ndarray:
 
 
 def short(signature: np.ndarray) -> np.ndarray:
-    """32 bits of each place, enough to compare places for equality."""
-    return (mix(signature) >> np.uint64(32)).astype(np.uint32)
+    """16 bits of each place, enough to compare places for equality."""
+    return (mix(signature) >> np.uint64(48)).astype(np.uint16)
 
 
 def slices(batch: pd.Series) -> Iterator[list[str | None]]:
@@ -167,18 +167,19 @@ def alike(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of equal places of two signatures."""
     if not len(a):
         return pd.Series([], dtype=float)
-    x, y = (np.frombuffer(b"".join(s), dtype=np.uint32).reshape(len(s), -1) for s in (a, b))
+    x, y = (np.frombuffer(b"".join(s), dtype=np.uint16).reshape(len(s), -1) for s in (a, b))
     return pd.Series((x == y).mean(axis=1))
 
 
 def shared(a: pd.Series, b: pd.Series) -> pd.Series:
     """Size of the intersection of two sorted sets."""
-    out = []
-    for x, y in zip(a, b):
-        x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-        out.append(int((y[at] == x).sum()))
-    return pd.Series(out, dtype="int64")
+    return pd.Series([
+        common(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)) for x, y in zip(a, b)], dtype="int64")
+
+
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return int((y[at] == x).sum())
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -222,70 +223,108 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")),
         "classes")
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
-    banded = classes.select("rep", "signature", band).select(
-        F.xxhash64("band", F.expr(f"substring(signature, band * {4 * ROWS} + 1, {4 * ROWS})")).alias("bucket"), "rep")
-    hubs = banded.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("members"))
-    buckets = written(
-        banded.join(hubs.filter("members > 1").drop("members"), "bucket"), "buckets")
+    banded = classes.select("rep", "n", "signature", band).select(
+        F.xxhash64("band", F.expr(f"substring(signature, band * {2 * ROWS} + 1, {2 * ROWS})")).alias("bucket"), "rep", "n")
+    hubs = banded.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("members"))
+    buckets = written(banded.join(hubs.filter("members > 1").drop("members"), "bucket"), "buckets")
     least = 1.0 * percent / 100 - MISS
-    sizes_fit = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-
-    def candidates(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes and signatures leave a link possible."""
-        one = classes.select(F.col("rep").alias("u"), "n", F.col("signature").alias("a"))
-        two = classes.select(F.col("rep").alias("v"), F.col("n").alias("m"), F.col("signature").alias("b"))
-        return pairs.join(one, "u").join(two, "v").filter(sizes_fit & (F.pandas_udf(alike, "double")("a", "b") >= least)).select("u", "v")
-
-    met = buckets.filter("rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()
-    tried = written(candidates(met), "hub-pairs")
-    links = written(confirm(tried, docs, size, percent), "hub-links")
-    first = components(links, "hub-components")
-    placed = buckets.join(first.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    later = remainder(placed, classes, least, percent)
-    later = written(later.join(tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"), "late-pairs")
-    if later.limit(1).count():
-        links = links.unionByName(confirm(later, docs, size, percent))
-        first = components(links, "all-components")
-    named = classes.select("digest", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").select(
+    sizes_fit = F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent
+    met = buckets.filter((F.col("rep") != F.col("hub.rep")) & sizes_fit).select(
+        F.col("rep").alias("u"), F.col("hub.rep").alias("v")).distinct()
+    one = classes.select(F.col("rep").alias("u"), F.col("signature").alias("a"))
+    two = classes.select(F.col("rep").alias("v"), F.col("signature").alias("b"))
+    likely = met.join(one, "u").join(two, "v").filter(F.pandas_udf(alike, "double")("a", "b") >= least).select("u", "v")
+    links = written(confirm(written(likely, "hub-pairs"), docs, size, percent), "hub-links")
+    known = components(links, "hub-components").withColumnRenamed("node", "rep")
+    placed = buckets.join(known, "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
+    late = written(late_links(written(placed, "placed"), classes, docs, size, percent, least), "late-links")
+    if late.limit(1).count():
+        known = components(links.unionByName(late), "all-components").withColumnRenamed("node", "rep")
+    named = classes.select("digest", "rep").join(known, "rep", "left").select(
         "digest", F.coalesce("component", "rep").alias("component"))
-    known = signed.filter(able).select("doc_id", "n_shingles", "digest").join(named, "digest").select(
+    grouped = signed.filter(able).select("doc_id", "n_shingles", "digest").join(named, "digest").select(
         "doc_id", "n_shingles", F.col("component").alias("component_id"))
     alone = signed.filter(~able).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return known.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return grouped.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def remainder(placed: DataFrame, classes: DataFrame, least: float, percent: int) -> DataFrame:
-    """Pairs ``(u, v)`` of one bucket but different components whose sizes and signatures leave a link possible.
+def late_links(placed: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, least: float) -> DataFrame:
+    """Links ``(u, v)`` between different components that share a bucket.
 
-    Members outside a bucket's largest component (few, after the hubs) meet all its members, both sides in blocks.
+    A bucket's largest component is its main one, the members outside it (few, after the hubs) its strays. All strays
+    of a main component meet all its members and each other, both sides in blocks: first by size and signature,
+    which only marks who has a likely partner, then those by their full sets. Neither step sends pairs that fail.
     """
     counts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     main = counts.groupBy("bucket").agg(
         F.max(F.struct("n", "component"))["component"].alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")
-    ).filter("all > most").select(
-        "bucket", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("rights"),
-        F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("lefts"))
-    open_buckets = placed.join(main, "bucket").join(classes.select("rep", F.col("n").alias("size"), "signature"), "rep")
+    ).filter("all > most").select("bucket", "main")
+    strays = placed.join(main, "bucket").filter("component <> main").select("main", "rep", "component").distinct()
+    strays = written(strays.withColumn("stray", F.lit(True)), "strays")
+    members = placed.select("rep", "component").distinct().join(
+        strays.select(F.col("main").alias("component")).distinct(), "component").select(
+        F.col("component").alias("main"), "rep", "component", F.lit(False).alias("stray"))
+    sides = strays.unionByName(members).join(classes.select("rep", "n", "signature"), "rep")
+    likely = blocks(sides, block_counts(sides)).groupBy("main", "left", "right").applyInPandas(
+        lambda rows: marked(rows, percent, least), "main long, rep long").distinct()
+    likely = written(likely, "likely")
+    sets = full_sets(docs, likely.select(F.col("rep").alias("doc_id")).distinct(), size).withColumnRenamed("doc_id", "rep")
+    open_sides = sides.join(likely, ["main", "rep"])
+    return blocks(open_sides, block_counts(open_sides)).join(sets, "rep").groupBy("main", "left", "right").applyInPandas(
+        lambda rows: linked(rows, percent, least), "u long, v long").distinct()
+
+
+def block_counts(sides: DataFrame) -> DataFrame:
+    """Number of blocks of strays and of all rows of each main component."""
+    per = lambda n: F.ceil(F.greatest(n, F.lit(1)) / BLOCK).cast("int")
+    return written(sides.groupBy("main").agg(
+        per(F.count(F.when(F.col("stray"), 1))).alias("lefts"), per(F.count(F.lit(1))).alias("rights")), "blocks")
+
+
+def blocks(sides: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Strays dealt to a ``left`` block and all ``right`` ones (``side`` 0), all rows the other way round (``side`` 1)."""
     number = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    columns = ["bucket", "left", "right", "side", "rep", "component", "size", "signature"]
-    few = open_buckets.filter("component <> main").withColumn("left", number("lefts")).withColumn(
-        "right", F.explode(F.sequence(F.lit(0), F.col("rights") - 1))).withColumn("side", F.lit(0)).select(*columns)
-    every = open_buckets.withColumn("right", number("rights")).withColumn(
-        "left", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))).withColumn("side", F.lit(1)).select(*columns)
-
-    def met(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        u, v = [], []
-        if len(a) and len(b):
-            y = np.frombuffer(b"".join(b["signature"]), dtype=np.uint32).reshape(len(b), -1)
-            other, size, rep = b["component"].to_numpy(), b["size"].to_numpy(), b["rep"].to_numpy()
-            for r, c, n, s in zip(a["rep"], a["component"], a["size"], a["signature"]):
-                fits = (other != c) & (np.minimum(size, n) * 100 >= np.maximum(size, n) * percent)
-                at = np.flatnonzero(fits)
-                at = at[(y[at] == np.frombuffer(s, dtype=np.uint32)).mean(axis=1) >= least]
-                u += [min(r, x) for x in rep[at]]
-                v += [max(r, x) for x in rep[at]]
-        return pd.DataFrame({"u": np.array(u, dtype=np.int64), "v": np.array(v, dtype=np.int64)})
-
-    return few.unionByName(every).groupBy("bucket", "left", "right").applyInPandas(met, "u long, v long").distinct()
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["main", "left", "right", "side", "rep", "component", "n", "signature"]
+    sized = sides.join(sizes, "main")
+    left = sized.filter("stray").withColumn("left", number("lefts")).withColumn("right", every("rights"))
+    right = sized.withColumn("right", number("rights")).withColumn("left", every("lefts"))
+    return left.withColumn("side", F.lit(0)).select(*columns).unionByName(right.withColumn("side", F.lit(1)).select(*columns))
+
+
+def partners(rows: pd.DataFrame, percent: int, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Row number of each stray of a block and those of the rows of other components that may be linked with it."""
+    side = rows["side"].to_numpy()
+    a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if not len(a) or not len(b):
+        return
+    places = np.frombuffer(b"".join(rows["signature"]), dtype=np.uint16).reshape(len(rows), -1)
+    component, n = rows["component"].to_numpy(), rows["n"].to_numpy()
+    for i in a:
+        at = b[(component[b] != component[i]) & (np.minimum(n[b], n[i]) * 100 >= np.maximum(n[b], n[i]) * percent)]
+        at = at[(places[at] == places[i]).mean(axis=1) >= least]
+        if len(at):
+            yield i, at
+
+
+def marked(rows: pd.DataFrame, percent: int, least: float) -> pd.DataFrame:
+    seen = np.zeros(len(rows), dtype=bool)
+    for i, at in partners(rows, percent, least):
+        seen[i] = seen[at] = True
+    return rows.loc[seen, ["main", "rep"]].drop_duplicates()
+
+
+def linked(rows: pd.DataFrame, percent: int, least: float) -> pd.DataFrame:
+    """Links confirmed on full sets. One link of a stray to a component is enough."""
+    rep, component = rows["rep"].to_numpy(), rows["component"].to_numpy()
+    sets = [np.frombuffer(e, dtype=np.uint64) for e in rows["elements"]]
+    out = set()
+    for i, at in partners(rows, percent, least):
+        done = set()
+        for j in at:
+            if component[j] not in done:
+                both = common(sets[i], sets[j])
+                if both * 100 >= (len(sets[i]) + len(sets[j]) - both) * percent:
+                    done.add(component[j])
+                    out.add((max(rep[i], rep[j]), min(rep[i], rep[j])))
+    return pd.DataFrame(sorted(out), columns=["u", "v"], dtype="int64")
