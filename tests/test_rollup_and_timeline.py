@@ -129,6 +129,25 @@ def test_bootstrap_band_surrounds_the_trend(stays_and_inputs, monkeypatch, block
     assert ((both["lower"] <= both["trend"]) & (both["trend"] <= both["upper"])).mean() > .6
 
 
+def test_trend_in_slices_and_band_in_any_layout(stays_and_inputs, monkeypatch):
+    inputs, stays, _ = stays_and_inputs
+    events = timeline.relative_events(inputs, stays, span_days=2.0)
+    events = events.unionByName(events.limit(5))
+    of = lambda df: sorted(map(tuple, df.collect()))
+    smooth, band = of(timeline.trend(events)), of(timeline.bootstrap_band(events, draws=30))
+    monkeypatch.setattr(timeline, "SLICE_POINTS", 7)
+    monkeypatch.setattr(timeline, "WHOLE_STEPS", 5)
+    monkeypatch.setattr(timeline, "DRAWS_PER_BLOCK", 4)
+    np.testing.assert_allclose(of(timeline.trend(events)), smooth, rtol=1e-9)
+    np.testing.assert_allclose(of(timeline.bootstrap_band(events.repartition(7), draws=30)), band, rtol=1e-9)
+    assert of(timeline.bootstrap_band(events, draws=30, seed=1)) != band
+
+
+def test_hashed_draws_have_mean_and_variance_one():
+    c = timeline.poisson_draws("7", np.arange(2000), np.arange(200), 42)
+    assert c.mean() == pytest.approx(1, abs=.01) and c.var() == pytest.approx(1, abs=.02)
+
+
 def test_poisson_draws_have_mean_and_variance_one(spark):
     c = spark.range(200_000).select(timeline.poisson_one(F.rand(3)).alias("c")).agg(F.avg("c"), F.var_pop("c")).first()
     assert c[0] == pytest.approx(1, abs=.02) and c[1] == pytest.approx(1, abs=.03)

@@ -190,3 +190,23 @@ def test_merged_stays_equal_a_pass_in_time_order(spark, gap):
     df = spark.createDataFrame(data, "k int, s timestamp, e timestamp")
     got = rows(clinical.merge_stays(df, "k", "s", "e", gap).select("k", "started", "ended", "n_rows"), "k", "started")
     assert got == [tuple(w) for w in want]
+
+
+def test_a_file_with_another_header_stops_the_read(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("ID,A,B\n1,a,b\n")
+    (tmp_path / "b.csv").write_text("ID,B,A\n2,b,a\n")
+    with pytest.raises(Exception, match="header"):
+        readers.read_csv(spark, str(tmp_path), "ID int, A string, B string").collect()
+
+
+def test_scratch_drops_what_was_written(spark):
+    import os
+
+    from stayloom import session
+
+    with session.scratch(spark):
+        kept = session.written(spark.range(5), "five")
+        (path,) = {os.path.dirname(f) for f in kept.inputFiles()}
+        path = path.removeprefix("file://")
+        assert kept.count() == 5 and os.path.isdir(path)
+    assert not os.path.exists(path)

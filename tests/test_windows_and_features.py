@@ -153,3 +153,30 @@ def test_source_filter_exact_and_by_part(spark):
                               "ITEMID int, DBSOURCE string, CATEGORY string")
     assert codemap.source_filtered(d, "metavision").count() == 2
     assert rows(codemap.category_counts(d, "metavision")) == [("a", 1)]
+
+
+def test_windows_of_all_lengths_lie_in_two_buckets(spark):
+    day = datetime(2020, 1, 1)
+    spans = [(1, day, datetime(9998, 1, 1)), (1, day, day), (2, day - timedelta(days=400), day)] + [
+        (3, day + timedelta(hours=h), day + timedelta(hours=h + 5 * (h % 9))) for h in range(300)]
+    stays = [(1, day), (1, day + timedelta(days=365_000)), (2, day), (2, day + timedelta(seconds=1)), (4, day), (None, day)] + [
+        (3, day + timedelta(hours=2 * h)) for h in range(160)]
+    w = spark.createDataFrame(spans, "k long, s timestamp, e timestamp")
+    e = spark.createDataFrame(stays, "k long, t timestamp")
+    got = windows.filter_by_windows(e, w, "k", "t", "s", "e")
+    want = sorted((k, t, s, end) for k, t in stays for j, s, end in spans if k == j and s <= t <= end)
+    assert sorted((r["k"], r["t"], r["s"], r["e"]) for r in got.collect()) == want
+
+
+def test_active_at_counts_open_intervals(spark):
+    from stayloom.operators.clinical import active_at
+
+    day = datetime(2020, 1, 1)
+    rx = [(1, day, datetime(9998, 1, 1)), (1, day, day), (1, day + timedelta(days=2), day + timedelta(days=1)), (1, None, day), (2, day, day)] + [
+        (3, day + timedelta(hours=h % 50), day + timedelta(hours=h % 50 + h % 7)) for h in range(400)]
+    stays = [(1, 10, day), (1, 11, day + timedelta(seconds=1)), (1, 12, None), (None, 13, day), (5, 14, day)] + [
+        (3, 100 + h, day + timedelta(hours=h)) for h in range(60)] + [(3, 100, day)]
+    got = active_at(spark.createDataFrame(stays, "k long, stay long, at timestamp"),
+                    spark.createDataFrame(rx, "k long, s timestamp, e timestamp"), "k", "stay", "at", "s", "e")
+    want = sorted((i, sum(k == j and None not in (s, e, t) and s <= e and s <= t <= e for j, s, e in rx)) for k, i, t in stays)
+    assert sorted(map(tuple, got.collect())) == want
