@@ -22,8 +22,8 @@ from .common import labelled_sample, sample_texts
 
 PER_CLASS = 2500
 MAX_CHARS = 5_000_000
-MIN_DOCS = 3
-SURE = 2.25
+LEAST = 3  # different sentences
+SURE = 3.0
 STARTS = (4, 5, 6)
 SENTENCE = re.compile(r"[^.!?\n]+")
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -55,15 +55,15 @@ class WordWeights(dict):
 
 
 def telling(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Log ratio of document shares of the features that are surely commoner in toxic documents.
+    """Log ratio of shares of different sentences for features that are surely commoner in those of toxic documents.
 
-    The ratio must exceed ``SURE`` times its standard error, which leaves out what a few toxic documents share by chance.
+    The ratio must exceed ``SURE`` times its standard error, which leaves out what a few sentences share by chance.
     """
     found = {}
     for feature, c in toxic.items():
         other = clean[feature]
         ratio = np.log((c + 0.5) / (n_toxic + 1)) - np.log((other + 0.5) / (n_clean + 1))
-        if c >= MIN_DOCS and ratio > SURE * np.sqrt(1 / (c + 0.5) + 1 / (other + 0.5)):
+        if c >= LEAST and ratio > SURE * np.sqrt(1 / (c + 0.5) + 1 / (other + 0.5)):
             found[feature] = float(ratio)
     return found
 
@@ -77,9 +77,13 @@ def fit(texts: list[str], labels: np.ndarray, importance: np.ndarray, steps: int
     y = labels.astype(float)
     found = [[[p for w in LETTERS.findall(s.lower()) for p in parts(w)] for s in SENTENCE.findall(t)] for t in texts]
     seen: tuple[Counter, Counter] = (Counter(), Counter())
+    met: tuple[set, set] = (set(), set())
     for sentences, k in zip(found, labels):
-        seen[k].update({p for s in sentences for p in s})
-    start = telling(seen[1], seen[0], int(y.sum()), int((1 - y).sum()))
+        for s in sentences:
+            if (own := tuple(s)) not in met[k]:  # copies of a document count once
+                met[k].add(own)
+                seen[k].update(set(s))
+    start = telling(seen[1], seen[0], len(met[1]), len(met[0]))
     place = {p: i for i, p in enumerate(sorted(start))}
     ids = [[place[p] for p in s if p in place] for sentences in found for s in sentences if s]
     owner_of = np.array([d for d, sentences in enumerate(found) for s in sentences if s], dtype=np.int64)
