@@ -62,10 +62,25 @@ def spearman_features(spark, d):
     return rounded(assoc.spearman_with_target(_gaps(spark, d), NUMBERS, "los"), 8, "rho").drop("p_value")
 
 
-@query()
+# Step-up adjustment of a table ``tested`` with one row per feature.
+FDR_SQL = """
+placed AS (SELECT *, row_number() OVER (ORDER BY p, feature) AS place, count(*) OVER () AS m FROM tested),
+adjusted AS (SELECT * EXCLUDE (place, m), least(1.0, min(p * m / place) OVER (
+               ORDER BY place DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS adj FROM placed)"""
+# Simpson's rule. With t = sqrt(n - 2) tan(a), the density of Student's distribution is cos(a)^(n - 3) up to a factor.
+NODES_SQL = "nodes AS (SELECT i / 20000.0 AS part, CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM range(20001) AS t(i))"
+
+
+@query(f"""WITH {RHO_SQL}, {NODES_SQL},
+tested AS (
+  SELECT feature, rho, n, (pi() / 2 - asin(abs(rho))) * sum(w * pow(cos(asin(abs(rho)) + (pi() / 2 - asin(abs(rho))) * part), n - 3))
+         / (pi() / 2 * sum(w * pow(cos(pi() / 2 * part), n - 3))) AS p
+  FROM rho CROSS JOIN nodes WHERE n >= 30 GROUP BY feature, rho, n), {FDR_SQL}
+SELECT feature, round(rho, 8) AS rho, n, round(p, 7) AS p_value, round(adj, 7) AS p_adj, adj <= 0.05 AS significant FROM adjusted""")
 def spearman_p_values(spark, d):
+    """Tail probabilities against quadrature of Student's density, with false-discovery control."""
     table = assoc.fdr_bh(assoc.spearman_with_target(_gaps(spark, d), NUMBERS, "los"))
-    return rounded(table, 8, "rho")
+    return rounded(rounded(table, 8, "rho"), 7, "p_value", "p_adj")
 
 
 def _groups_sql(columns) -> str:
@@ -104,9 +119,28 @@ def kruskal_stat(spark, d):
     return rounded(rounded(table, 7, "statistic"), 8, "p_value")
 
 
-@query()
+@query(f"""WITH {TEST_SQL}, {NODES_SQL},
+two AS (
+  SELECT feature, arg_min(rs - ng * (ng + 1) / 2.0, g)::DOUBLE AS u, arg_min(ng, g)::DOUBLE AS n1, max(n)::DOUBLE AS n, max(t) AS t
+  FROM grp JOIN tot USING (feature) JOIN tie USING (feature) WHERE n_groups = 2 GROUP BY feature),
+z AS (
+  SELECT feature, u, (greatest(u, n1 * (n - n1) - u) - n1 * (n - n1) / 2 - 0.5)
+         / sqrt(n1 * (n - n1) / 12 * ((n + 1) - t / (n * (n - 1)))) AS z FROM two),
+kw AS (SELECT feature, (12 / (max(n) * (max(n) + 1)) * sum((rs / ng - (n + 1) / 2.0) ^ 2 * ng))
+       / (1 - max(t) / (max(n)::DOUBLE * max(n) * max(n) - max(n))) AS h
+FROM grp JOIN tot USING (feature) JOIN tie USING (feature) WHERE n_groups = 5 GROUP BY feature),
+tested AS (
+  SELECT feature, 'Mann-Whitney U' AS test, u AS statistic, 2 AS n_groups,
+         CASE WHEN z <= 0 THEN 1 ELSE 2 * 12 * sum(w * exp(-0.5 * (z + 12 * part) * (z + 12 * part))) / sqrt(2 * pi()) / 60000 END AS p
+  FROM z CROSS JOIN nodes GROUP BY feature, u, z
+  UNION ALL
+  SELECT feature, 'Kruskal-Wallis', h, 5, exp(-h / 2) * (1 + h / 2) FROM kw), {FDR_SQL}
+SELECT feature, test, round(statistic, 7) AS statistic, n_groups, round(p, 7) AS p_value, round(adj, 7) AS p_adj, adj <= 0.05 AS significant
+FROM adjusted""")
 def rank_test_p_values(spark, d):
-    return assoc.fdr_bh(assoc.rank_tests(_gaps(spark, d), CATEGORIES, "los"))
+    """Tail probabilities against quadrature of the normal density and the closed form of four degrees of freedom."""
+    table = assoc.fdr_bh(assoc.rank_tests(_gaps(spark, d), CATEGORIES, "los"))
+    return rounded(rounded(table, 7, "statistic"), 7, "p_value", "p_adj")
 
 
 # A p-value both engines can compute: logistic form of the normal tail for each brand's mean size.
