@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from llm_fixtures import docs_of  # noqa: F401
 from stayloom.llm import language, quality, toxicity
 from stayloom.llm.common import held_out, labelled_sample
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from compare import connection, difference
 
+from llm_fixtures import docs_of  # noqa: F401
 from stayloom.llm import minhash
 from stayloom.llm.queries_minhash import ORACLES, QUERIES
 

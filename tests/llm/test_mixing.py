@@ -4,6 +4,7 @@ import pytest
 from compare import connection, difference
 from pyspark.sql import functions as F
 
+from llm_fixtures import docs_of  # noqa: F401
 from stayloom.llm.mixing import expand, mix, water_fill
 from stayloom.llm.queries_mixing import ORACLES, QUERIES
 
