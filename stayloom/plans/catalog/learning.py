@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ...functions.numbers import log_target
 from ...operators import evaluate, learn
 from ...session import written
-from ..training import encode_split
+from ..training import encode_split, final_model
 from .base import STAY_SQL, rounded, stays
 
 QUERIES: dict = {}
@@ -147,6 +147,32 @@ def grid_search(spark, d):
     return table
 
 
+@query()
+def final_metrics(spark, d):
+    """The best setting by validation error, refitted on the training side, scored once on the test side."""
+    f = _fitted(spark, d)
+    estimator = learn.tweedie()
+    _, model = final_model(f, estimator, learn.tweedie_grid(estimator))
+    return evaluate.metrics(model.transform(f.test), "final")
+
+
+@query(f"""WITH {STAY_SQL},
+labelled AS (SELECT *, ln(1 + least(los, 30)) AS y FROM stays),
+train AS (SELECT n_lines, y FROM labelled WHERE subject_id % 10 < 8),
+cuts AS (SELECT DISTINCT n_lines AS cut FROM train),
+sides AS (SELECT cut, n_lines <= cut AS below, count(*) AS n, avg(y) AS p FROM train CROSS JOIN cuts GROUP BY ALL),
+best AS (SELECT cut FROM sides GROUP BY cut HAVING count(*) = 2 ORDER BY sum(n * p * p) DESC, cut LIMIT 1)
+SELECT stay_id, round(p, 6) AS prediction
+FROM labelled JOIN best ON true JOIN sides ON sides.cut = best.cut AND below = (n_lines <= best.cut)
+WHERE subject_id % 10 >= 8""")
+def one_split(spark, d):
+    """One boosted tree with one split, against the best split by its squared error."""
+    train, test = learn.split_by_subject(_labelled(spark, d), "subject_id")
+    encoder = learn.encoder(["n_lines"], []).fit(train)
+    model = learn.boosted_trees(1, depth=1).fit(encoder.transform(train))
+    return rounded(model.transform(encoder.transform(test)).select("stay_id", "prediction"), 6, "prediction")
+
+
 @query()
 def native_importance(spark, d):
     f = _fitted(spark, d)
