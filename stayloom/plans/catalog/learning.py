@@ -137,6 +137,27 @@ def tweedie_metrics(spark, d):
     return evaluate.metrics(model.transform(f.test), "tweedie")
 
 
+# Fisher scoring under a log link: weights mu^(2 - power), working response eta + (y - mu) / mu.
+@query(f"""WITH RECURSIVE {STAY_SQL},
+labelled AS (SELECT *, ln(1 + least(los, 30)) AS y, avg_price AS x FROM stays),
+data AS (SELECT x, y FROM labelled WHERE subject_id % 10 < 8),
+fit(k, a, b) AS (
+  SELECT 0, (SELECT ln(avg(y)) FROM data), 0.0::DOUBLE
+  UNION ALL
+  SELECT k + 1, (sxx * sz - sx * sxz) / (s * sxx - sx * sx), (s * sxz - sx * sz) / (s * sxx - sx * sx)
+  FROM (SELECT k, sum(w) AS s, sum(w * x) AS sx, sum(w * x * x) AS sxx, sum(w * z) AS sz, sum(w * x * z) AS sxz
+        FROM (SELECT k, x, exp(0.5 * (a + b * x)) AS w, a + b * x + (y - exp(a + b * x)) / exp(a + b * x) AS z FROM fit, data)
+        GROUP BY k)
+  WHERE k < 25)
+SELECT stay_id, round(exp(a + b * x), 4) AS prediction FROM labelled, fit WHERE subject_id % 10 >= 8 AND k = 25""")
+def tweedie_one_column(spark, d):
+    """The likelihood model on one column, against scoring steps in SQL."""
+    train, test = learn.split_by_subject(_labelled(spark, d), "subject_id")
+    encoder = learn.encoder(["avg_price"], []).fit(train)
+    model = learn.tweedie().setTol(1e-13).setMaxIter(60).fit(encoder.transform(train))
+    return rounded(model.transform(encoder.transform(test)).select("stay_id", "prediction"), 4, "prediction")
+
+
 @query()
 def grid_search(spark, d):
     """Settings by validation error, chosen without the test side."""
