@@ -9,7 +9,7 @@ surely commoner in toxic documents take part.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -54,48 +54,60 @@ class WordWeights(dict):
         return value
 
 
-def telling(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> dict[str, float]:
+def telling(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
     """Log ratio of shares of different sentences for features that are surely commoner in those of toxic documents.
 
     The ratio must exceed ``SURE`` times its standard error, which leaves out what a few sentences share by chance.
+    Zero for all other features.
     """
-    found = {}
-    for feature, c in toxic.items():
-        other = clean[feature]
-        ratio = np.log((c + 0.5) / (n_toxic + 1)) - np.log((other + 0.5) / (n_clean + 1))
-        if c >= LEAST and ratio > SURE * np.sqrt(1 / (c + 0.5) + 1 / (other + 0.5)):
-            found[feature] = float(ratio)
-    return found
+    ratio = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))
+    sure = (toxic >= LEAST) & (ratio > SURE * np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5)))
+    return np.where(sure, ratio, 0.0)
 
 
 def fit(texts: list[str], labels: np.ndarray, importance: np.ndarray, steps: int = 120, rate: float = 0.1,
         l2: float = 1e-4) -> Model:
-    """Full-batch Adam on the noisy-or log loss, from weights at the features' log ratios.
+    """Full-batch Adam on the noisy-or log loss, from weights at half the features' log ratios.
 
     ``importance`` weighs documents, so a class cut in the sample keeps its share.
     """
     y = labels.astype(float)
-    found = [[[p for w in LETTERS.findall(s.lower()) for p in parts(w)] for s in SENTENCE.findall(t)] for t in texts]
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    met: tuple[set, set] = (set(), set())
-    for sentences, k in zip(found, labels):
-        for s in sentences:
-            if (own := tuple(s)) not in met[k]:  # copies of a document count once
-                met[k].add(own)
-                seen[k].update(set(s))
-    start = telling(seen[1], seen[0], len(met[1]), len(met[0]))
-    place = {p: i for i, p in enumerate(sorted(start))}
-    ids = [[place[p] for p in s if p in place] for sentences in found for s in sentences if s]
-    owner_of = np.array([d for d, sentences in enumerate(found) for s in sentences if s], dtype=np.int64)
-    sentence = np.repeat(np.arange(len(ids)), [len(s) for s in ids])
-    flat = np.array([i for s in ids for i in s], dtype=np.int64)
+    number: dict[str, int] = {}
+    tokens, sizes, owners, fresh = array("i"), [], [], []
+    met: set[tuple[int, int]] = set()
+    for d, text in enumerate(texts):
+        for s in SENTENCE.findall(text):
+            own = [number.setdefault(p, len(number)) for w in LETTERS.findall(s.lower()) for p in parts(w)]
+            if own:
+                tokens.extend(own)
+                sizes.append(len(own))
+                owners.append(d)
+                key = (int(labels[d]), hash(tuple(own)))
+                fresh.append(key not in met)  # copies of a document count once
+                met.add(key)
+    flat, owner_of, first_time = np.array(tokens, dtype=np.int64), np.array(owners, dtype=np.int64), np.array(fresh, dtype=bool)
+    sentence = np.repeat(np.arange(len(sizes)), sizes)
+
+    def counted(k: int) -> tuple[np.ndarray, int]:
+        own = first_time & (labels[owner_of] == k)
+        at = own[sentence]
+        pairs = np.unique(sentence[at] * len(number) + flat[at])
+        return np.bincount(pairs % max(len(number), 1), minlength=len(number)), int(own.sum())
+
+    (toxic, n_toxic), (clean, n_clean) = counted(1), counted(0)
+    ratio = telling(toxic, clean, n_toxic, n_clean)
+    kept = np.flatnonzero(ratio)
+    names = [p for p, i in number.items() if ratio[i]]  # in the order of their numbers, like kept
+    place = {p: i for i, p in enumerate(names)}
+    inside = ratio[flat] > 0
+    sentence, flat = sentence[inside], np.searchsorted(kept, flat[inside])
     n, size = len(texts), len(place)
     share = importance / importance.sum()
-    first = np.array([start[p] / 2 for p in sorted(start)])
+    first = ratio[kept] / 2
     w, b = first.copy(), -6.0
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = np.bincount(sentence, weights=w[flat], minlength=len(ids)) + b
+        z = np.bincount(sentence, weights=w[flat], minlength=len(sizes)) + b
         p = 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
         none = np.exp(-np.bincount(owner_of, weights=np.logaddexp(0.0, z), minlength=n))
         pull = np.where(y > 0, -none / np.maximum(1.0 - none, 1e-9), 1.0) * share
