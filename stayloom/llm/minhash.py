@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import lookup_join
 from ..session import written
 from .components import components
 
@@ -182,8 +183,11 @@ def common(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """``doc_id, elements`` of the documents named in ``ids``."""
+def full_sets(docs: DataFrame, ids: DataFrame, size: int, repeated: bool) -> DataFrame:
+    """``doc_id, elements`` of the documents named in ``ids``.
+
+    The ids are broadcast while they are measured to be few, so that texts are not shuffled to find them.
+    """
 
     @F.pandas_udf("binary")
     def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -191,14 +195,15 @@ def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             yield pd.Series([s.tobytes() for part in slices(batch) for s in shingle_sets(part, size, powers)], dtype=object)
 
-    own = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return own.select("doc_id", packed("text").alias("elements"))
+    own = lookup_join(docs.select("doc_id", "text"), written(ids, "ids"), ["doc_id"], "left_semi")
+    sets = own.select("doc_id", packed("text").alias("elements"))
+    return sets.dropDuplicates(["doc_id"]) if repeated else sets
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, repeated: bool) -> DataFrame:
     """The pairs ``(u, v)`` whose full sets are similar enough."""
     ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    sets = written(full_sets(docs, ids, size), "sets")
+    sets = written(full_sets(docs, ids, size, repeated), "sets")
     one = sets.select(F.col("doc_id").alias("u"), F.col("elements").alias("a"))
     two = sets.select(F.col("doc_id").alias("v"), F.col("elements").alias("b"))
     both = F.col("both")
@@ -234,10 +239,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     one = classes.select(F.col("rep").alias("u"), F.col("signature").alias("a"))
     two = classes.select(F.col("rep").alias("v"), F.col("signature").alias("b"))
     likely = met.join(one, "u").join(two, "v").filter(F.pandas_udf(alike, "double")("a", "b") >= least).select("u", "v")
-    links = written(confirm(written(likely, "hub-pairs"), docs, size, percent), "hub-links")
+    ids = signed.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count()
+    repeated = ids.filter("count > 1").limit(1).count() > 0
+    links = written(confirm(written(likely, "hub-pairs"), docs, size, percent, repeated), "hub-links")
     known = components(links, "hub-components").withColumnRenamed("node", "rep")
     placed = buckets.join(known, "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    late = written(late_links(written(placed, "placed"), classes, docs, size, percent, least), "late-links")
+    late = written(late_links(written(placed, "placed"), classes, docs, size, percent, least, repeated), "late-links")
     if late.limit(1).count():
         known = components(links.unionByName(late), "all-components").withColumnRenamed("node", "rep")
     named = classes.select("digest", "rep").join(known, "rep", "left").select(
@@ -248,7 +255,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     return grouped.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def late_links(placed: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, least: float) -> DataFrame:
+def late_links(placed: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, least: float,
+               repeated: bool) -> DataFrame:
     """Links ``(u, v)`` between different components that share a bucket.
 
     A bucket's largest component is its main one, the members outside it (few, after the hubs) its strays. All strays
@@ -268,7 +276,7 @@ def late_links(placed: DataFrame, classes: DataFrame, docs: DataFrame, size: int
     likely = blocks(sides, block_counts(sides)).groupBy("main", "left", "right").applyInPandas(
         lambda rows: marked(rows, percent, least), "main long, rep long").distinct()
     likely = written(likely, "likely")
-    sets = full_sets(docs, likely.select(F.col("rep").alias("doc_id")).distinct(), size).withColumnRenamed("doc_id", "rep")
+    sets = full_sets(docs, likely.select(F.col("rep").alias("doc_id")).distinct(), size, repeated).withColumnRenamed("doc_id", "rep")
     open_sides = sides.join(likely, ["main", "rep"])
     return blocks(open_sides, block_counts(open_sides)).join(sets, "rep").groupBy("main", "left", "right").applyInPandas(
         lambda rows: linked(rows, percent, least), "u long, v long").distinct()
