@@ -8,6 +8,7 @@ from ...functions.numbers import log_target
 from ...operators import evaluate, learn
 from ...session import written
 from ..training import encode_split, final_model
+from ..training import tree_search as search_trees
 from .base import STAY_SQL, rounded, stays
 
 QUERIES: dict = {}
@@ -177,6 +178,12 @@ def final_metrics(spark, d):
     return evaluate.metrics(model.transform(f.test), "final")
 
 
+@query()
+def tree_search(spark, d):
+    """All 27 tree settings by validation error, with few trees each."""
+    return search_trees(_fitted(spark, d), trees=2)[0]
+
+
 @query(f"""WITH {STAY_SQL},
 labelled AS (SELECT *, ln(1 + least(los, 30)) AS y FROM stays),
 train AS (SELECT n_lines, y FROM labelled WHERE subject_id % 10 < 8),

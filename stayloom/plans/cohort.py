@@ -6,7 +6,6 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..fixed_values import CHART_SEARCH, DATED_SEARCH, INPUT_SEARCH, LAB_SEARCH, OUTPUT_SEARCH
 from ..operators.codemap import keyword_map
