@@ -19,10 +19,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back, small_batches
+
 VOCABULARY = "byte_bpe_50k.json"
-CACHE = 500_000
+CACHE = 200_000
 LONG_RUN = 1000
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 NEVER = np.iinfo(np.int64).max
 # Fixed values of the vocabulary's format: white space, and the pattern that splits text before merging.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -250,6 +252,7 @@ _LOADED: dict[str, Bpe] = {}
 def loaded(path: str) -> Bpe:
     """One encoder for each worker and file."""
     if path not in _LOADED:
+        give_back()
         _LOADED[path] = Bpe(path)
         # The tables and the words known stay for good and hold no cycles: collect less often.
         gc.freeze()
@@ -266,22 +269,28 @@ def vocabulary_path(path: str | None) -> str:
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Add ``ids``, the tokens of ``text`` without added special tokens; special strings in a text become their ids.
+    """Add ``ids``, the tokens of ``text`` without added special tokens, and ``round_trip``, whether decoding them gives the text.
 
-    Null and empty texts have no tokens. A column of that name is replaced, all others kept.
+    Special strings in a text become their ids. Null and empty texts have no tokens, which decode to an empty text.
+    Columns of these names are replaced, all others kept.
     """
     path = vocabulary_path(path)
+    small_batches(docs.sparkSession)
 
-    @F.pandas_udf("array<int>")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("ids array<int>, round_trip boolean")
+    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = loaded(path)
         for batch in batches:
-            yield pd.Series([
-                np.fromstring(",".join([e[1] for e in entries]), dtype=np.int32, sep=",")
-                for entries in bpe.encode_texts(batch.tolist())], dtype=object)
-
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != "ids"]
-    return docs.select(*kept, encoded("text").alias("ids"))
+            texts, ids, same = batch.tolist(), [], []
+            for text, entries in zip(texts, bpe.encode_texts(texts)):
+                ids.append(np.fromstring(",".join([e[1] for e in entries]), dtype=np.int32, sep=","))
+                same.append(b"".join([e[2] for e in entries]) == (text or "").encode())
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "round_trip": pd.Series(same, dtype=bool)})
+            texts, ids, same = [], [], []
+            give_back()
+
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("ids", "round_trip", "__encoded")]
+    return docs.withColumn("__encoded", encoded("text")).select(*kept, "__encoded.ids", "__encoded.round_trip")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:

@@ -2,11 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import ctypes
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 HELD_OUT_MOD = 5
+BATCH_BYTES = 4 * 1024 * 1024
+
+
+def give_back() -> None:
+    """Return freed memory of a Python worker to the machine, where the C library can: workers live on for other stages."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of at most BATCH_BYTES (or one text), so that workers stay small."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def held_out(doc_id: Column) -> Column:

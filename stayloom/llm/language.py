@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, sample_texts
+from .common import give_back, labelled_sample, sample_texts, small_batches
 
 VOCABULARY = "piece_bpe_32k.model"
 PER_LANGUAGE = 1500
@@ -28,7 +28,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 ROUNDS = 4
 ADDED = 0.02  # count added to every piece
 CACHE = 150_000
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -248,6 +248,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     Texts that are null, empty or without a letter, and all texts if no language was learned, give ``und`` and 0.
     Columns of these names are replaced, all others kept.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -265,6 +266,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     part, chars = [], 0
             out += identify(part, words)
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
+            give_back()
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "__predicted")]
     return docs.withColumn("__predicted", predicted("text")).select(

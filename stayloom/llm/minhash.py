@@ -19,12 +19,13 @@ from pyspark.sql import functions as F
 
 from ..operators.skew import lookup_join
 from ..session import written
+from .common import give_back, small_batches
 from .components import components
 
 BANDS, ROWS = 32, 5
 PLACES = BANDS * ROWS
 BLOCK = 512
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 REPLAY = 8  # from this step on the permutations of the few shingles left are kept whole
 MISS = 0.13  # an estimate this far below the threshold rules a pair out: more than four standard deviations
 BASE = np.uint64(0x100000001B3)
@@ -118,7 +119,7 @@ def signatures(sets: list[np.ndarray], places: int = PLACES) -> np.ndarray:
             picks = [p[going] for p in picks]
             whole = whole[going] if whole is not None else None
         if step + 1 == REPLAY:
-            whole = np.tile(np.arange(places), (len(element), 1))
+            whole = np.tile(np.arange(places, dtype=np.int16), (len(element), 1))
             every = np.arange(len(element))
             for k, p in enumerate(picks):
                 moved = whole[every, p]
@@ -159,6 +160,7 @@ def sign(docs: DataFrame, size: int) -> DataFrame:
                 for s, row in zip(sets, short(signatures(sets))):
                     out.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), row.tobytes()))
             yield pd.DataFrame(out, columns=["n", "digest", "signature"])
+            give_back()
 
     return docs.select("doc_id", signed("text").alias("s")).select(
         "doc_id", F.col("s.n").alias("n_shingles"), "s.digest", "s.signature")
@@ -221,6 +223,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     that are null, empty or without words have an empty set, link with nothing and are kept, and so are rows without id. Rows with
     one id are one document and expected to have one text. An empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     signed = written(sign(docs, size), "signed")
     able = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     classes = written(
