@@ -11,7 +11,6 @@ from stayloom.llm import bpe, language, minhash, mixing, toxicity
 from stayloom.session import load, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-LEAST_SCORE = 0.3  # of the language: below it no language is likely
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,10 +20,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language. A missing ``lang`` is filled with the prediction."""
-    found = language.predict(docs, language.train(docs))
-    known = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    """Documents whose text fits a learned language. ``lang`` stays if the text fits it, else the prediction takes its place."""
+    found = language.judge(docs, language.train(docs))
+    known = found.filter(F.col("fits") | F.col("lang_fits"))
+    return known.withColumn("lang", F.when(F.col("lang_fits"), F.col("lang")).otherwise(F.col("lang_pred"))).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ same segmentations. Forward and backward passes run over many words of one lengt
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,6 +31,9 @@ ADDED = 0.02  # count added to every piece
 CACHE = 150_000
 SLICE_CHARS = 4_000_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
+LOW = 0.01  # quantile of the log-likelihoods a letter of a language's own documents
+LEAST_MARGIN = 0.5  # below that quantile, in nats a letter
+DEVIATIONS = 3.0  # allowed to a text for its length
 
 
 def vocabulary(path: str) -> list[str]:
@@ -153,8 +157,11 @@ def expected_counts(words: list[str], counts: np.ndarray, lattice: Lattice, prob
     return total
 
 
-def fit_language(texts: list[str], lattice: Lattice, longest: int = 40) -> np.ndarray:
-    """Piece probabilities of one language. Letter runs above ``longest`` are scored but not fitted on."""
+def fit_language(texts: list[str], lattice: Lattice, longest: int = 40) -> tuple[np.ndarray, float]:
+    """Piece probabilities of one language and what the added count is of them.
+
+    Letter runs above ``longest`` are scored but not fitted on.
+    """
     seen = Counter(w for t in texts for w in words_of(t))
     words = [w for w in seen if len(w) <= longest]
     counts = np.array([seen[w] for w in words], dtype=float)
@@ -162,7 +169,28 @@ def fit_language(texts: list[str], lattice: Lattice, longest: int = 40) -> np.nd
     for _ in range(ROUNDS):
         uses = expected_counts(words, counts, lattice, probability) + ADDED
         probability = uses / uses.sum()
-    return probability
+    return probability, float(ADDED / uses.sum())
+
+
+def least_fit(texts: list[str], lattice: Lattice) -> tuple[float, float]:
+    """``(floor, spread)`` of a language's log-likelihood a letter, from half of its documents under a fit of the others.
+
+    The floor lies below the low quantile by twice the way from there to the median. The spread is the standard
+    deviation that one letter adds to a text's sum, so that a text of n letters may miss the floor by some spread / sqrt(n).
+    Copies of a text fall on one side. Without documents to judge by the floor is minus infinity.
+    """
+    side = [zlib.crc32(t.encode("utf-8", "replace")) & 1 for t in texts]
+    own = [ws for t, k in zip(texts, side) if k and (ws := words_of(t))]
+    if not own:
+        return -np.inf, 0.0
+    probability = fit_language([t for t, k in zip(texts, side) if not k], lattice)[0]
+    words = list(dict.fromkeys(w for ws in own for w in ws))
+    found = dict(zip(words, log_likelihoods(words, lattice, probability[:, None])[:, 0]))
+    letters = np.array([sum(map(len, ws)) for ws in own])
+    rate = np.array([sum(found[w] for w in ws) for ws in own]) / letters
+    low, middle = np.quantile(rate, [LOW, 0.5])
+    square = sum((found[w] - middle * len(w)) ** 2 for ws in own for w in ws)
+    return float(low - max(2 * (middle - low), LEAST_MARGIN)), float(np.sqrt(square / letters.sum()))
 
 
 def words_of(text: str) -> list[str]:
@@ -175,6 +203,8 @@ class Model:
     path: str
     languages: list[str]
     probability: np.ndarray
+    floor: np.ndarray  # of each language, least log-likelihood a letter
+    spread: np.ndarray  # of each language, standard deviation a letter
 
 
 def vocabulary_path(path: str | None) -> str:
@@ -197,13 +227,20 @@ def train(docs: DataFrame, path: str | None = None, per_language: int = PER_LANG
 
     def fitted(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         lattice = Lattice(vocabulary(path))
-        own = fit_language(rows["text"].tolist(), lattice)
-        return pd.DataFrame({"label": [key[0]], "probability": [own]})
+        own = sorted(rows["text"])
+        probability, added = fit_language(own, lattice)
+        floor, spread = least_fit(own, lattice)
+        return pd.DataFrame({"label": [key[0]], "probability": [probability], "added": [added], "floor": [floor], "spread": [spread]})
 
-    rows = texts.groupBy("label").applyInPandas(fitted, "label string, probability array<double>").orderBy("label").collect()
+    rows = texts.groupBy("label").applyInPandas(
+        fitted, "label string, probability array<double>, added double, floor double, spread double").orderBy("label").collect()
     if not rows:
-        return Model(path, [], np.zeros((1, 0)))
-    return Model(path, [r["label"] for r in rows], np.array([r["probability"] for r in rows]).T.copy())
+        return Model(path, [], np.zeros((1, 0)), np.zeros(0), np.zeros(0))
+    probability = np.array([r["probability"] for r in rows]).T.copy()
+    # A letter outside the vocabulary that no text had must not speak for the language with the fewest fitted pieces.
+    added = np.array([r["added"] for r in rows])
+    probability[0] = np.maximum(probability[0] - added, 0.0) + added.min()
+    return Model(path, [r["label"] for r in rows], probability, np.array([r["floor"] for r in rows]), np.array([r["spread"] for r in rows]))
 
 
 class Words:
@@ -224,24 +261,57 @@ class Words:
         return self.rows[[self.place[w] for w in words]]
 
 
-def identify(texts: list[str | None], words: Words) -> list[tuple[str, float]]:
-    """Language and its posterior, all languages alike beforehand, ties to the first in order."""
+def sums(texts: list[str | None], words: Words) -> Iterator[tuple[np.ndarray, int] | None]:
+    """Log-likelihood of each text in each language and its letters, word marks included; None without a letter."""
     own = [words_of(t) if t else [] for t in texts]
     languages = words.model.languages
     flat = words.of([w for ws in own for w in ws]) if languages else np.zeros((sum(map(len, own)), 0))
-    out, at = [], 0
+    at = 0
     for ws in own:
-        if not ws or not languages:
+        yield (flat[at:at + len(ws)].sum(axis=0), sum(map(len, ws))) if ws and languages else None
+        at += len(ws)
+
+
+def posterior(z: np.ndarray) -> tuple[int, float]:
+    p = np.exp(z - z.max())
+    best = int(z.argmax())
+    return best, float(p[best] / p.sum())
+
+
+def identify(texts: list[str | None], words: Words) -> list[tuple[str, float]]:
+    """Language and its posterior, all languages alike beforehand, ties to the first in order."""
+    out = []
+    for found in sums(texts, words):
+        if found is None:
             out.append(("und", 0.0))
         else:
-            z = flat[at:at + len(ws)].sum(axis=0)
-            p = np.exp(z - z.max())
-            best = int(z.argmax())
-            out.append((languages[best], float(p[best] / p.sum())))
-        at += len(ws)
+            best, p = posterior(found[0])
+            out.append((words.model.languages[best], p))
     return out
 
 
+def judged(texts: list[str | None], given: list[str | None], words: Words) -> list[tuple[str, bool, bool]]:
+    """Language, whether the text fits it, and whether it fits the given one."""
+    model, out = words.model, []
+    place = {name: i for i, name in enumerate(model.languages)}
+    for found, name in zip(sums(texts, words), given):
+        if found is None:
+            out.append(("und", False, False))
+            continue
+        z, letters = found
+        fits = z / letters + DEVIATIONS * model.spread / np.sqrt(letters) >= model.floor
+        best, own = int(z.argmax()), place.get(name)
+        out.append((model.languages[best], bool(fits[best]), own is not None and bool(fits[own])))
+    return out
+
+
+def sliced(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Rows of a batch in order, some SLICE_CHARS characters of ``text`` at a time."""
+    chars = batch["text"].map(lambda t: len(t or "")).to_numpy().cumsum()
+    for _, part in batch.groupby((chars - 1).clip(0) // SLICE_CHARS, sort=False):
+        yield part
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """Add ``lang_pred`` and ``score`` (its posterior) to documents with ``text``.
 
@@ -271,3 +341,29 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "__predicted")]
     return docs.withColumn("__predicted", predicted("text")).select(
         *[F.col(f"`{c}`") for c in kept], "__predicted.lang_pred", "__predicted.score")
+
+
+def judge(docs: DataFrame, model: Model) -> DataFrame:
+    """Add ``lang_pred``, ``fits`` and ``lang_fits`` to documents with ``text`` and ``lang``.
+
+    A text fits a language if its log-likelihood a letter reaches that language's floor (see ``least_fit``). The posterior of
+    ``predict`` compares learned languages only; this one also tells texts in none of them. Texts without a letter fit none,
+    and a ``lang`` that is null or not learned is never fitted.
+    """
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang_pred string, fits boolean, lang_fits boolean")
+    def found(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        words = Words(shared.value)
+        for text, lang in batches:
+            out: list[tuple[str, bool, bool]] = []
+            for part in sliced(pd.DataFrame({"text": text.to_numpy(), "lang": lang.to_numpy()})):
+                out += judged(part["text"].tolist(), part["lang"].tolist(), words)
+            yield pd.DataFrame(out, columns=["lang_pred", "fits", "lang_fits"])
+            give_back()
+
+    added = ("lang_pred", "fits", "lang_fits")
+    kept = [c for c in docs.columns if c not in (*added, "__judged")]
+    return docs.withColumn("__judged", found("text", "lang")).select(
+        *[F.col(f"`{c}`") for c in kept], *[f"__judged.{c}" for c in added])

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
@@ -70,3 +71,33 @@ def test_stages_bear_nulls_and_empty_tables(spark):
         for _, stage in pipeline.STAGES:
             docs = spark.createDataFrame(stage(spark, docs, FOLDER).collect(), docs.schema) if stage is not pipeline.tokenize else stage(spark, docs, FOLDER)
         docs.collect()
+
+
+def test_language_rejects_what_was_not_learned(spark):
+    """Planted texts beside clean rows: an unlearned script, unlearned languages, gibberish, a wrong and a missing lang."""
+    import random
+
+    r = random.Random(3)
+    gibberish = [" ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 10))) for _ in range(n)) for n in (8, 60, 400)]
+    foreign = ["\u0395\u03bb\u03bb\u03b7\u03bd\u03b9\u03ba\u03cc \u03ba\u03b5\u03af\u03bc\u03b5\u03bd\u03bf " * 20, "\u10e5\u10d0\u10e0\u10d7\u10e3\u10da\u10d8 \u10e2\u10d4\u10e5\u10e1\u10e2\u10d8 " * 20,
+               "To jest zwyk\u0142y tekst po polsku, kt\u00f3rego nikt si\u0119 nie uczy\u0142. "]
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select(*pipeline.COLUMNS)
+    clean = [tuple(x) for x in docs.collect()]
+    german = max((x for x in clean if x[2] == "de" and len(x[1]) < 3000), key=lambda x: len(x[1]))
+    bad = [(None, t, ["en", None][i % 2], "a", len(t)) for i, t in enumerate(gibberish + foreign)]
+    # Ids that are held out, so that the planted rows are not learned from.
+    import zlib
+    ids = (i for i in range(10**9, 10**9 + 1000) if zlib.crc32(str(i).encode()) % 5 == 0)
+    bad = [(next(ids), *row[1:]) for row in bad]
+    mended = [(next(ids), german[1], lang, "a", 1) for lang in ("en", None, "xx")]
+    got = {x["doc_id"]: x["lang"] for x in pipeline.keep_languages(spark, spark.createDataFrame(clean + bad + mended, docs.schema), FOLDER).collect()}
+    assert not {x[0] for x in bad} & set(got)
+    assert [got[x[0]] for x in mended] == ["de"] * 3
+    assert all(x[0] in got for x in clean if any(c.isalpha() for c in x[1]))
+    # Each language in turn is one that was not learned.
+    for lang in ("fr", "es"):
+        left = docs.withColumn("lang", F.when(F.col("lang") != lang, F.col("lang")))
+        stay = {x["doc_id"] for x in pipeline.keep_languages(spark, left, FOLDER).collect()}
+        long = [x for x in clean if len(x[1]) > 100]
+        assert sum(x[0] in stay for x in long if x[2] == lang) <= 0.02 * sum(x[2] == lang for x in long)
+        assert all(x[0] in stay for x in long if x[2] != lang)
