@@ -113,3 +113,22 @@ def test_search_edges(spark):
     assert asked(spark, rows, 3) == {(0, 1, 1, 2.0), (0, 2, 2, 2.0), (0, 3, 3, 2.0)}
     assert asked(spark, rows, 9) == {(0, 1, 1, 2.0), (0, 2, 2, 2.0), (0, 3, 3, 2.0), (0, 4, 6, 1.0)}
     assert asked(spark, [], 3) == set()
+
+
+def test_ties_of_different_vectors_across_the_cut(spark, monkeypatch):
+    monkeypatch.setattr(search, "SHARD", 400)
+    monkeypatch.setattr(search, "LEAF", 16)
+    r = np.random.default_rng(4)
+    one_hot = [(i, np.eye(24)[r.integers(24)].tolist(), 0) for i in range(300)]
+    coarse = [(i, x.tolist(), 0) for i, x in enumerate(r.integers(-1, 2, size=(900, 6)).astype(float)) if x.any()]
+    for rows in (one_hot, coarse):
+        assert asked(spark, rows, 20) == brute_nearest(rows, range(0, 900, 10), 20)
+
+
+def test_one_huge_norm_beside_unit_vectors(spark, monkeypatch):
+    monkeypatch.setattr(search, "LEAF", 16)
+    x = clustered(600).astype(float)
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    for huge in (1e12, 1e30):
+        rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(601, (x[5] * np.float32(huge)).tolist(), 0)]
+        assert asked(spark, rows, 7) == brute_nearest(rows, range(0, 600, 10), 7)
