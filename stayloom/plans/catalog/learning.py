@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ...functions.numbers import log_target
 from ...operators import evaluate, learn
 from ...session import written
-from ..training import encode_split, final_model
+from ..training import compare_models, encode_split
 from ..training import tree_search as search_trees
 from .base import STAY_SQL, rounded, stays
 
@@ -24,10 +24,6 @@ def query(sql: str | None = None):
     return register
 
 
-# Trees per model here; the learner's own default is the full number.
-TREES = 5
-
-
 @query(f"""WITH {STAY_SQL}
 SELECT stay_id, CASE WHEN subject_id % 10 < 8 THEN 'train' ELSE 'test' END AS side FROM stays""")
 def split_by_subject(spark, d):
@@ -127,7 +123,7 @@ def _fitted(spark, d):
 def gbt_metrics(spark, d):
     """Boosted trees on the log target with the encoded categories and derived columns."""
     f = _fitted(spark, d)
-    model = learn.boosted_trees(TREES, 0.1, 4).fit(f.train)
+    model = learn.boosted_trees().fit(f.train)
     return evaluate.metrics(model.transform(f.test), "trees")
 
 
@@ -171,17 +167,24 @@ def grid_search(spark, d):
 
 @query()
 def final_metrics(spark, d):
-    """The best setting by validation error, refitted on the training side, scored once on the test side."""
+    """The best tree setting by validation error, refitted on the training side, scored once on the test side."""
     f = _fitted(spark, d)
-    estimator = learn.tweedie()
-    _, model = final_model(f, estimator, learn.tweedie_grid(estimator))
+    _, model = search_trees(f)
     return evaluate.metrics(model.transform(f.test), "final")
 
 
 @query()
 def tree_search(spark, d):
-    """All 27 tree settings by validation error, with few trees each."""
-    return search_trees(_fitted(spark, d), trees=2)[0]
+    """All 27 tree settings by validation error, chosen without the test side; ``final_metrics`` scores the refit."""
+    f = _fitted(spark, d)
+    estimator = learn.boosted_trees(learn.SEARCH_TREES)
+    return learn.search(estimator, learn.tree_grid(estimator), *learn.validation_split(f.train))[0]
+
+
+@query()
+def all_models(spark, d):
+    """Median, ridge, Tweedie likelihood and boosted trees side by side; ``model_comparison`` has the two with SQL."""
+    return compare_models(_fitted(spark, d))
 
 
 @query(f"""WITH {STAY_SQL},
@@ -204,7 +207,7 @@ def one_split(spark, d):
 @query()
 def native_importance(spark, d):
     f = _fitted(spark, d)
-    return learn.native_importance(learn.boosted_trees(TREES, 0.1, 4).fit(f.train), f.names, spark)
+    return learn.native_importance(learn.boosted_trees().fit(f.train), f.names, spark)
 
 
 @query()

@@ -120,3 +120,32 @@ def test_models_refit_and_saving(spark, fitted, tmp_path):
     loaded = GBTRegressionModel.load(str(tmp_path / "model"))
     assert rows(loaded.transform(fitted.test).agg(F.sum("prediction"))) == rows(
         fitted.models["trees"].transform(fitted.test).agg(F.sum("prediction")))
+
+
+def test_registered_tree_queries_run_the_full_setting(spark, monkeypatch):
+    """Trees, rate, depth and settings asked for, without fitting them."""
+    from pyspark.ml.regression import GBTRegressor
+    from stayloom.plans.catalog import learning
+
+    asked, fit = [], GBTRegressor.fit
+
+    def small(self, df, params=None):
+        full = self.copy(params or {})
+        asked.append((full.getMaxIter(), full.getStepSize(), full.getMaxDepth(), full.getMaxBins()))
+        return fit(full, df, {full.maxIter: 1, full.maxDepth: 1})
+
+    monkeypatch.setattr(GBTRegressor, "fit", small)
+
+    def settings(name):
+        asked.clear()
+        table = learning.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+        return table, set(asked)
+
+    whole = (500, 0.05, 6, 32)
+    grid = {(300, rate, depth, bins) for rate in (0.03, 0.05, 0.1) for depth in (5, 6, 7) for bins in (16, 32, 64)}
+    assert settings("gbt_metrics")[1] == {whole} and settings("native_importance")[1] == {whole}
+    table, found = settings("all_models")
+    assert found == {whole} and {r["model"] for r in table} == {"median", "ridge", "tweedie", "trees"}
+    table, found = settings("tree_search")
+    assert found == grid and len(table) == 27 and len(asked) == 27
+    assert settings("final_metrics")[1] == grid and len(asked) == 28
