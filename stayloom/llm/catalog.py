@@ -7,13 +7,15 @@ from . import (
     queries_mixing,
     queries_neighbours,
     queries_quality,
+    queries_runs,
     queries_search,
     queries_tokens,
     queries_toxicity,
     queries_urls,
 )
 
-_PARTS = (queries_mixing, queries_toxicity, queries_quality, queries_language, queries_tokens, queries_urls, queries_bpe, queries_neighbours, queries_search, queries_minhash)
+_PARTS = (queries_mixing, queries_toxicity, queries_quality, queries_language, queries_tokens, queries_urls, queries_bpe, queries_neighbours, queries_search, queries_minhash,
+          queries_runs)
 
 
 def queries() -> dict:
