@@ -11,11 +11,12 @@ from . import (
     queries_search,
     queries_tokens,
     queries_toxicity,
+    queries_trie,
     queries_urls,
 )
 
 _PARTS = (queries_mixing, queries_toxicity, queries_quality, queries_language, queries_tokens, queries_urls, queries_bpe, queries_neighbours, queries_search, queries_minhash,
-          queries_runs)
+          queries_runs, queries_trie)
 
 
 def queries() -> dict:
