@@ -6,6 +6,7 @@ from . import (
     queries_minhash,
     queries_mixing,
     queries_neighbours,
+    queries_pii,
     queries_quality,
     queries_runs,
     queries_search,
@@ -16,7 +17,7 @@ from . import (
 )
 
 _PARTS = (queries_mixing, queries_toxicity, queries_quality, queries_language, queries_tokens, queries_urls, queries_bpe, queries_neighbours, queries_search, queries_minhash,
-          queries_runs, queries_trie)
+          queries_runs, queries_trie, queries_pii)
 
 
 def queries() -> dict:
