@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from itertools import product
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
@@ -15,6 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
+from .boost import Setting, boost, error_curve, shuffled_errors
+from .boost import Model as TreeModel
+from .boost import predict as predict_trees
 from .ranks import dense_index, quantile_values
 from .skew import spread
 
@@ -35,6 +39,7 @@ SEED = 42
 # 31, 63 and 127 leaves are trees of depth 5, 6 and 7.
 DEPTH = 6
 GRID_DEPTHS = [5, 6, 7]
+TREE_SETTING = Setting(DEPTH, LEARNING_RATE, TWEEDIE_POWER)
 
 
 def split_by_subject(df: DataFrame, subject: str = "SUBJECT_ID") -> tuple[DataFrame, DataFrame]:
@@ -94,6 +99,7 @@ def ridge(train: DataFrame, alpha: float = RIDGE_ALPHA, label: str = "label", fe
 
 def boosted_trees(trees: int = TREES, rate: float = LEARNING_RATE, depth: int = DEPTH,
                   label: str = "label", features: str = "features") -> GBTRegressor:
+    """Trees under squared loss; those under the Tweedie loss are in ``boost``."""
     return GBTRegressor(featuresCol=features, labelCol=label, maxIter=trees, stepSize=rate,
                         maxDepth=depth, seed=SEED)
 
@@ -106,12 +112,29 @@ def tweedie(power: float = TWEEDIE_POWER, regularisation: float = 0.0,
         regParam=regularisation)
 
 
-def tree_grid(estimator: GBTRegressor, depths=GRID_DEPTHS, rates=GRID_RATES, bins=(16, 32, 64)) -> list[dict]:
-    """27 settings; the histogram width takes the place of the likelihood power, which trees here lack."""
-    return (
-        ParamGridBuilder().addGrid(estimator.maxDepth, list(depths)).addGrid(estimator.stepSize, list(rates))
-        .addGrid(estimator.maxBins, list(bins)).build()
-    )
+def tree_grid(depths=GRID_DEPTHS, rates=GRID_RATES, powers=GRID_POWERS) -> list[Setting]:
+    """The 27 settings of the original search."""
+    return [Setting(*s) for s in product(depths, rates, powers)]
+
+
+def tree_search(train: DataFrame, validation: DataFrame, names: Sequence[str], grid: Sequence[Setting],
+                trees: int = SEARCH_TREES) -> tuple[DataFrame, Setting]:
+    """``(setting, parameters, mae_log, mae_days, best_trees, best_mae_log)`` by error, and the best setting.
+
+    All settings are fitted together and scored after every number of trees: errors are those of all ``trees``, and the
+    number with the least error stands beside them. The curve has one row for each setting and number of trees.
+    """
+    spark = train.sparkSession
+    curve = error_curve(validation, boost(train, names, grid, trees)).collect()
+    by_setting = [sorted((r for r in curve if r["setting"] == i), key=lambda r: r["trees"]) for i in range(len(grid))]
+    rows = []
+    for i, own in enumerate(by_setting):
+        least = min(own, key=lambda r: (r["mae_log"], r["trees"]))
+        rows.append((i, grid[i].label(), own[-1]["mae_log"], own[-1]["mae_days"], least["trees"], least["mae_log"]))
+    table = spark.createDataFrame(
+        rows, "setting int, parameters string, mae_log double, mae_days double, best_trees int, best_mae_log double")
+    best = min(rows, key=lambda r: (r[2], r[0]))
+    return table.orderBy("mae_log", "setting"), grid[best[0]]
 
 
 def tweedie_grid(estimator: GeneralizedLinearRegression, powers=GRID_POWERS, penalties=(0.0, 0.01, 0.1)) -> list[dict]:
@@ -150,13 +173,6 @@ def search(estimator: Estimator, grid: list[dict], train: DataFrame, validation:
     return table.orderBy("mae_log", "setting"), grid[best[0]]
 
 
-def native_importance(model: Model, names: Sequence[str], spark) -> DataFrame:
-    """Features by the importance the model itself reports."""
-    rows = [(n, float(v)) for n, v in zip(names, model.featureImportances.toArray())]
-    return spark.createDataFrame(rows, "feature string, importance double").orderBy(
-        F.col("importance").desc(), "feature")
-
-
 def permutation_importance(
     model: Model, test: DataFrame, id_column: str, names: Sequence[str], label: str = "label",
     features: str = "features", repeats: int = PERMUTATION_REPEATS, seed: int = SEED,
@@ -167,22 +183,10 @@ def permutation_importance(
     One equi-join on the row number brings the partner's vector for all features, and the features
     are swapped in row by row after it; nothing is ranked or sorted per feature.
     """
-    indexed = dense_index(test.select(id_column, label, features), [id_column], "__i", seed=seed)
-    n = test.count()
-    if n < 2:
-        raise ValueError("two rows are needed to shuffle")
     # Each row's own error goes with it, so that a slot without effect gives exactly 0.
-    indexed = written(model.transform(indexed).select(
-        "__i", label, features, F.abs(F.col(label) - F.col("prediction")).alias("base")), "importance")
-    steps = _coprime_steps(n, repeats, seed)
-    moves = F.array(*[
-        F.struct(F.lit(r).alias("repeat"),
-                 F.pmod(F.col("__i") * F.lit(a) + F.lit(b), F.lit(n)).alias("__j"))
-        for r, (a, b) in enumerate(steps)
-    ])
-    rows = indexed.select("__i", label, "base", vector_to_array(features).alias("own"), F.explode(moves).alias("m"))
-    partner = indexed.select(F.col("__i").alias("__j"), vector_to_array(features).alias("other"))
-    paired = spread(rows.select(label, "base", "own", "m.repeat", "m.__j"), "__j").join(spread(partner, "__j"), "__j")
+    scored = model.transform(test).select(
+        id_column, label, features, F.abs(F.col(label) - F.col("prediction")).alias("base"))
+    paired = paired_rows(scored, id_column, label, features, repeats, seed)
     slots = F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("slot")
     swapped = paired.select(label, "base", "repeat", "own", "other", slots).select(
         label, "base", "repeat", "slot",
@@ -191,6 +195,37 @@ def permutation_importance(
         )).alias(features))
     errors = model.transform(swapped).groupBy("slot", "repeat").agg(
         F.avg(F.abs(F.col(label) - F.col("prediction")) - F.col("base")).alias("delta"))
+    return over_repeats(errors, names)
+
+
+def tree_permutation_importance(
+    model: TreeModel, test: DataFrame, id_column: str, label: str = "label", features: str = "features",
+    repeats: int = PERMUTATION_REPEATS, seed: int = SEED,
+) -> DataFrame:
+    """The same for boosted trees, with the same partners: a slot's change comes from the trees that split on it alone."""
+    paired = paired_rows(test.select(id_column, label, features), id_column, label, features, repeats, seed)
+    return over_repeats(shuffled_errors(paired, model, label), model.names)
+
+
+def paired_rows(rows: DataFrame, id_column: str, label: str, features: str, repeats: int, seed: int) -> DataFrame:
+    """Each row ``repeats`` times, with ``repeat``, its slots ``own`` and those of its partner, ``other``."""
+    indexed = written(dense_index(rows, [id_column], "__i", seed=seed).drop(id_column), "importance")
+    n = indexed.count()
+    if n < 2:
+        raise ValueError("two rows are needed to shuffle")
+    steps = _coprime_steps(n, repeats, seed)
+    moves = F.array(*[
+        F.struct(F.lit(r).alias("repeat"),
+                 F.pmod(F.col("__i") * F.lit(a) + F.lit(b), F.lit(n)).alias("__j"))
+        for r, (a, b) in enumerate(steps)
+    ])
+    kept = [c for c in indexed.columns if c not in ("__i", features)]
+    moved = indexed.select(*kept, vector_to_array(features).alias("own"), F.explode(moves).alias("m"))
+    partner = indexed.select(F.col("__i").alias("__j"), vector_to_array(features).alias("other"))
+    return spread(moved.select(*kept, "own", "m.repeat", "m.__j"), "__j").join(spread(partner, "__j"), "__j")
+
+
+def over_repeats(errors: DataFrame, names: Sequence[str]) -> DataFrame:
     table = F.array(*[F.lit(x) for x in names])
     return errors.groupBy("slot").agg(
         F.avg("delta").alias("importance"), F.stddev_samp("delta").alias("std")

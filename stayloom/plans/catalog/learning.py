@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...functions.numbers import log_target
-from ...operators import evaluate, learn
+from ...operators import boost, evaluate, learn
 from ...session import written
-from ..training import compare_models, encode_split
+from ..training import compare_models, encode_split, fit_trees, refit_on_important
 from ..training import tree_search as search_trees
 from .base import STAY_SQL, rounded, stays
 
@@ -121,10 +121,9 @@ def _fitted(spark, d):
 
 @query()
 def gbt_metrics(spark, d):
-    """Boosted trees on the log target with the encoded categories and derived columns."""
+    """Boosted trees under the Tweedie loss, with the encoded categories and derived columns: the full 500 trees."""
     f = _fitted(spark, d)
-    model = learn.boosted_trees().fit(f.train)
-    return evaluate.metrics(model.transform(f.test), "trees")
+    return evaluate.metrics(boost.predict(f.test, fit_trees(f.train, f.names)), "trees")
 
 
 @query()
@@ -170,15 +169,14 @@ def final_metrics(spark, d):
     """The best tree setting by validation error, refitted on the training side, scored once on the test side."""
     f = _fitted(spark, d)
     _, model = search_trees(f)
-    return evaluate.metrics(model.transform(f.test), "final")
+    return evaluate.metrics(boost.predict(f.test, model), "final")
 
 
 @query()
 def tree_search(spark, d):
     """All 27 tree settings by validation error, chosen without the test side; ``final_metrics`` scores the refit."""
     f = _fitted(spark, d)
-    estimator = learn.boosted_trees(learn.SEARCH_TREES)
-    return learn.search(estimator, learn.tree_grid(estimator), *learn.validation_split(f.train))[0]
+    return learn.tree_search(*learn.validation_split(f.train), f.names, learn.tree_grid())[0]
 
 
 @query()
@@ -207,7 +205,7 @@ def one_split(spark, d):
 @query()
 def native_importance(spark, d):
     f = _fitted(spark, d)
-    return learn.native_importance(learn.boosted_trees().fit(f.train), f.names, spark)
+    return boost.split_shares(fit_trees(f.train, f.names), spark)
 
 
 @query()
@@ -226,3 +224,63 @@ def refit_selected(spark, d):
     kept = learn.kept_features(learn.permutation_importance(learn.ridge(rest), validation, "stay_id", f.names))
     train, test = (learn.select_slots(x, f.names, kept) for x in (f.train, f.test))
     return evaluate.metrics(learn.ridge(train).transform(test), "selected")
+
+
+# One column, trees of one split: the cut of greatest gain and Newton steps, round after round.
+def _round_sql(k: int, power: float, rate: float) -> str:
+    a, b = f"y * exp({1 - power} * s)", f"exp({2 - power} * s)"
+    return f"""
+gradients{k} AS (SELECT *, {b} - {a} AS g, {power - 1} * {a} + {2 - power} * {b} AS h FROM scores{k - 1}),
+cuts{k} AS (
+  SELECT cut, sum(g) FILTER (x <= cut) AS gl, sum(h) FILTER (x <= cut) AS hl, sum(g) FILTER (x > cut) AS gr,
+         sum(h) FILTER (x > cut) AS hr, sum(g) AS ga, sum(h) AS ha
+  FROM gradients{k} CROSS JOIN (SELECT DISTINCT n_lines AS cut FROM labelled WHERE subject_id % 10 < 8)
+  WHERE train GROUP BY cut
+  HAVING least(count(*) FILTER (x <= cut), count(*) FILTER (x > cut)) >= {boost.LEAST_ROWS}),
+best{k} AS (SELECT * FROM cuts{k} ORDER BY gl * gl / hl + gr * gr / hr - ga * ga / ha DESC, cut LIMIT 1),
+scores{k} AS (
+  SELECT stay_id, x, y, train, s - {rate} * CASE WHEN x <= cut THEN gl / hl ELSE gr / hr END AS s FROM scores{k - 1}, best{k})"""
+
+
+def _boosted_sql(rounds: int, power: float, rate: float) -> str:
+    return f"""WITH {STAY_SQL},
+labelled AS (SELECT *, ln(1 + least(los, 30)) AS y FROM stays),
+scores0 AS (SELECT stay_id, n_lines AS x, y, subject_id % 10 < 8 AS train,
+                   ln((SELECT avg(y) FROM labelled WHERE subject_id % 10 < 8)) AS s FROM labelled),
+{",".join(_round_sql(k, power, rate) for k in range(1, rounds + 1))}
+SELECT stay_id, round(exp(s), 6) AS prediction FROM scores{rounds} WHERE NOT train"""
+
+
+def _boosted(spark, d, rounds, setting):
+    train, test = learn.split_by_subject(_labelled(spark, d), "subject_id")
+    encoder = learn.encoder(["n_lines"], []).fit(train)
+    model = boost.boost(encoder.transform(train), ["n_lines"], [setting], rounds)[0]
+    return rounded(boost.predict(encoder.transform(test), model).select("stay_id", "prediction"), 6, "prediction")
+
+
+@query(_boosted_sql(1, 1.5, 1.0))
+def tweedie_split(spark, d):
+    """One tree of one split under the Tweedie loss, with whole Newton steps."""
+    return _boosted(spark, d, 1, boost.Setting(1, 1.0, 1.5))
+
+
+@query(_boosted_sql(2, 1.3, 0.1))
+def tweedie_two_rounds(spark, d):
+    """Two rounds of one split, at another power and rate."""
+    return _boosted(spark, d, 2, boost.Setting(1, 0.1, 1.3))
+
+
+@query()
+def tree_importance(spark, d):
+    """Increase of the trees' error on the validation digit when one column is shuffled; all 500 trees, five repeats."""
+    f = _fitted(spark, d)
+    rest, validation = learn.validation_split(f.train)
+    return learn.tree_permutation_importance(fit_trees(rest, f.names), validation, "stay_id")
+
+
+@query()
+def trees_selected(spark, d):
+    """Error on the test side of the trees refitted on the features with positive importance on the validation digit."""
+    f = _fitted(spark, d)
+    _, model, kept = refit_on_important(f, "stay_id")
+    return evaluate.metrics(boost.predict(learn.select_slots(f.test, f.names, kept), model), "selected")

@@ -7,7 +7,8 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from stayloom.operators import evaluate, learn
-from stayloom.plans.training import add_derived_vitals, compare_models, encode_split, refit_on_important
+from stayloom.operators.boost import Setting
+from stayloom.plans.training import add_derived_vitals, compare_models, encode_split, refit_on_important, tree_search
 
 
 @pytest.fixture(scope="module")
@@ -101,51 +102,48 @@ def test_search_chooses_the_smallest_error(fitted):
     scores = table.collect()
     assert [r["mae_log"] for r in scores] == sorted(r["mae_log"] for r in scores)
     assert best[estimator.regParam] == .01
-    trees = learn.boosted_trees(3)
-    assert len(learn.tree_grid(trees)) == 27
+
+
+SMALL = Setting(3, 0.3, 1.5)
 
 
 def test_models_refit_and_saving(spark, fitted, tmp_path):
-    table = compare_models(fitted, trees=5, depth=3).collect()
+    table = compare_models(fitted, trees=8, setting=SMALL).collect()
     assert {r["model"] for r in table} == {"median", "ridge", "tweedie", "trees"}
     worst = {r["model"]: r["mae"] for r in table}
     assert worst["ridge"] < worst["median"] and worst["trees"] < worst["median"]
-    importance, refit, kept = refit_on_important(fitted, fitted.models["trees"], "ICUSTAY_ID", learn.boosted_trees(3, depth=3))
+    importance, refit, kept = refit_on_important(fitted, "ICUSTAY_ID", SMALL, 5)
     assert kept and set(kept) <= set(fitted.names) and importance.count() == len(fitted.names)
-    native = learn.native_importance(fitted.models["trees"], fitted.names, spark).collect()
-    assert sum(r["importance"] for r in native) == pytest.approx(1)
-    learn.save_model(fitted.models["trees"], str(tmp_path / "model"))
+    assert refit.names == kept and len(refit.trees) == 5
+    table, final = tree_search(fitted, 3, 4, [SMALL, Setting(2, 0.1, 1.3)])
+    assert table.count() == 2 and len(final.trees) == 4
     learn.save_model(fitted.encoder, str(tmp_path / "encoder"))
-    from pyspark.ml.regression import GBTRegressionModel
-    loaded = GBTRegressionModel.load(str(tmp_path / "model"))
-    assert rows(loaded.transform(fitted.test).agg(F.sum("prediction"))) == rows(
-        fitted.models["trees"].transform(fitted.test).agg(F.sum("prediction")))
 
 
 def test_registered_tree_queries_run_the_full_setting(spark, monkeypatch):
-    """Trees, rate, depth and settings asked for, without fitting them."""
-    from pyspark.ml.regression import GBTRegressor
+    """Trees, rate, depth and settings asked for, with few trees fitted."""
+    from stayloom.operators import boost
+    from stayloom.plans import training
     from stayloom.plans.catalog import learning
 
-    asked, fit = [], GBTRegressor.fit
+    asked, fit = [], boost.boost
 
-    def small(self, df, params=None):
-        full = self.copy(params or {})
-        asked.append((full.getMaxIter(), full.getStepSize(), full.getMaxDepth(), full.getMaxBins()))
-        return fit(full, df, {full.maxIter: 1, full.maxDepth: 1})
+    def small(train, names, settings, trees, *rest):
+        asked.append((trees, *settings))
+        return fit(train, names, settings, 2, *rest)
 
-    monkeypatch.setattr(GBTRegressor, "fit", small)
+    monkeypatch.setattr(training, "boost", small)
+    monkeypatch.setattr(learn, "boost", small)
 
     def settings(name):
         asked.clear()
-        table = learning.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
-        return table, set(asked)
-
-    whole = (500, 0.05, 6, 32)
-    grid = {(300, rate, depth, bins) for rate in (0.03, 0.05, 0.1) for depth in (5, 6, 7) for bins in (16, 32, 64)}
-    assert settings("gbt_metrics")[1] == {whole} and settings("native_importance")[1] == {whole}
-    table, found = settings("all_models")
-    assert found == {whole} and {r["model"] for r in table} == {"median", "ridge", "tweedie", "trees"}
-    table, found = settings("tree_search")
-    assert found == grid and len(table) == 27 and len(asked) == 27
-    assert settings("final_metrics")[1] == grid and len(asked) == 28
+        return learning.QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+
+    whole = [(500, Setting(6, 0.05, 1.5))]
+    grid = (300, *[Setting(d, r, p) for d in (5, 6, 7) for r in (0.03, 0.05, 0.1) for p in (1.3, 1.5, 1.7)])
+    for name in ("gbt_metrics", "native_importance", "tree_importance"):
+        assert settings(name) and asked == whole
+    assert {r["model"] for r in settings("all_models")} == {"median", "ridge", "tweedie", "trees"} and asked == whole
+    assert settings("trees_selected") and asked == whole * 2
+    assert len(settings("tree_search")) == 27 and asked == [grid]
+    assert settings("final_metrics") and asked[0] == grid and len(asked) == 2 and asked[1][0] == 500
