@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tails import chi2_sf_column, correlation_p_column, rank_sum_p_column
+from ..session import written
 from .ranks import add_cells, long_values, percent_rank_average, present, quantile_values, value_ranks
 from .skew import HOT_ROWS, hot_threshold, lookup_join, split_join
 
@@ -200,33 +203,35 @@ def mutual_information(df: DataFrame, features: Sequence[str], target: str, bins
 def spearman_matrix(df: DataFrame, id_column: str, features: Sequence[str]) -> DataFrame:
     """``(feature_a, feature_b, rho)`` of every ordered pair, pairwise complete; undefined is 0.
 
-    Columns without NULLs are ranked once and correlated as vectors (features x features sums per
-    task). Only pairs with an incomplete column are ranked pair by pair.
+    A column is ranked once, with one rank for each set of rows that a partner leaves: all rows, for partners without
+    NULLs, and the rows where an incomplete partner is present. A row then holds all its ranks, and no row is repeated
+    by pair: complete columns are correlated as vectors, pairs with an incomplete column by sums over the rows of a task.
     """
     features = list(features)
     spark = df.sparkSession
     df = df.select(id_column, *[F.nanvl(F.col(f).cast("double"), F.lit(None)).alias(f) for f in features])
     holes = df.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in features]).first()
     complete = [f for f in features if holes[f] == 0]
+    open_ = [f for f in features if holes[f] > 0]
     values: list[tuple[str, str, float]] = []
+    rows = df.count()
+    celled = add_cells(df, features).withColumns({f"__has{i}": F.col(f).isNotNull() for i, f in enumerate(open_)})
+    flags = [f"__has{i}" for i in range(len(open_))]
+    long = long_values(celled, features, [id_column, *flags])
+    joined = _join_ranks(long.drop("cell", *flags), partner_ranks(long, flags), ["feature", "value"], rows * len(features))
+    wide = joined.groupBy(id_column).pivot("feature", features).agg(F.first("centred"))
+    if open_:
+        wide = written(wide, "partner-ranks")
     if len(complete) > 1:
-        rows = df.count()
-        long = long_values(add_cells(df.select(id_column, *complete), complete), complete, [id_column])
-        ranks = value_ranks(long, ["feature"])
-        centred = (F.col("avg_rank") - (F.col("n") + 1) / 2).alias("centred")
-        joined = _join_ranks(long.drop("cell"), ranks.select("feature", "value", "cnt", centred),
-                             ["feature", "value"], rows * len(complete))
-        wide = joined.groupBy(id_column).pivot("feature", complete).agg(F.first("centred"))
-        vectors = VectorAssembler(inputCols=complete, outputCol="v").transform(wide).select("v")
+        whole = wide.select(*[F.get(F.col(f), F.lit(0)).alias(f) for f in complete])
+        vectors = VectorAssembler(inputCols=complete, outputCol="v").transform(whole).select("v")
         matrix = Correlation.corr(vectors, "v", "pearson").first()[0].toArray()
         values = [(a, b, float(matrix[i][j]))
                   for i, a in enumerate(complete) for j, b in enumerate(complete) if i != j]
     result = spark.createDataFrame(values, "feature_a string, feature_b string, rho double")
-    loose = [(a, b) for a, b in combinations(features, 2) if not (a in complete and b in complete)]
+    loose = [(a, b) for a, b in combinations(features, 2) if a in open_ or b in open_]
     if loose:
-        named = [(f"{i}", a, b) for i, (a, b) in enumerate(loose)]
-        names = spark.createDataFrame(named, "feature string, a string, b string")
-        rho = spearman_of(ranked_pairs(df, named)).join(F.broadcast(names), "feature", "right")
+        rho = partner_correlations(wide, features, open_, loose)
         for x, y in (("a", "b"), ("b", "a")):
             result = result.unionByName(rho.select(
                 F.col(x).alias("feature_a"), F.col(y).alias("feature_b"), "rho"))
@@ -234,6 +239,57 @@ def spearman_matrix(df: DataFrame, id_column: str, features: Sequence[str]) -> D
     return result.unionByName(same).withColumn("rho", F.coalesce(F.nanvl("rho", F.lit(0.0)), F.lit(0.0)))
 
 
+def partner_ranks(long: DataFrame, flags: Sequence[str]) -> DataFrame:
+    """``feature, value, cnt, centred``: the ranks of each distinct value, less their mean, among the rows of each set.
+
+    The first set is all rows with the feature, the others those where a flag holds too. One pass over the counted
+    values gives them all, as running sums of one column a set.
+    """
+    sets = range(len(flags) + 1)
+    counts = long.groupBy("feature", "cell", "value").agg(
+        F.count(F.lit(1)).alias("c0"), *[F.count_if(F.col(f)).alias(f"c{i}") for i, f in enumerate(flags, 1)])
+    inside = Window.partitionBy("feature", "cell").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    # At most MAX_CELLS rows per feature.
+    cells = counts.groupBy("feature", "cell").agg(*[F.sum(f"c{i}").alias(f"t{i}") for i in sets])
+    before = Window.partitionBy("feature").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cells.select(
+        "feature", "cell", *[F.coalesce(F.sum(f"t{i}").over(before), F.lit(0)).alias(f"b{i}") for i in sets],
+        *[F.sum(f"t{i}").over(Window.partitionBy("feature")).alias(f"n{i}") for i in sets])
+    placed = counts.select("*", *[F.coalesce(F.sum(f"c{i}").over(inside), F.lit(0)).alias(f"i{i}") for i in sets])
+    rank = lambda i: F.col(f"i{i}") + F.col(f"b{i}") + (F.col(f"c{i}") - F.col(f"n{i}")) / F.lit(2.0)
+    return placed.join(totals, ["feature", "cell"]).select(
+        "feature", "value", F.col("c0").alias("cnt"), F.array(*[rank(i) for i in sets]).alias("centred"))
+
+
+def partner_correlations(wide: DataFrame, features: Sequence[str], open_: Sequence[str],
+                         pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """``(a, b, rho)`` from rows that hold each feature's ranks (or NULL) by set of rows; sums are made within tasks."""
+    place = {f: i for i, f in enumerate(features)}
+    of = {f: i for i, f in enumerate(open_, 1)}
+    left, right = (np.array([place[p[k]] for p in pairs]) for k in (0, 1))
+    left_set, right_set = (np.array([of.get(p[1 - k], 0) for p in pairs]) for k in (0, 1))
+    sets = len(open_) + 1
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((3, len(pairs)))
+        for batch in batches:
+            x = np.full((len(batch), len(features), sets), np.nan)
+            for i, f in enumerate(features):
+                have = batch[f].notna().to_numpy()
+                if have.any():
+                    x[have, i] = np.stack(batch[f][have].to_numpy())
+            for rows in np.array_split(x, -(-len(x) * len(pairs) // 1_000_000) or 1):
+                p, q = rows[:, left, left_set], rows[:, right, right_set]
+                p, q = np.where(np.isnan(q), 0.0, p), np.where(np.isnan(p), 0.0, q)
+                p, q = np.nan_to_num(p), np.nan_to_num(q)
+                total += [(p * q).sum(axis=0), (p * p).sum(axis=0), (q * q).sum(axis=0)]
+        yield pd.DataFrame({"a": [a for a, _ in pairs], "b": [b for _, b in pairs], "xy": total[0], "xx": total[1], "yy": total[2]})
+
+    sums = wide.select(*features).mapInPandas(summed, "a string, b string, xy double, xx double, yy double")
+    return sums.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("xy", "xx", "yy")]).select(
+        "a", "b", (F.col("xy") / F.nullif(F.sqrt("xx") * F.sqrt("yy"), F.lit(0.0))).alias("rho"))
+
+
 def redundant_pairs(matrix: DataFrame, limit: float = 0.7) -> DataFrame:
     """Each unordered pair with |rho| above the limit, once."""
     return matrix.filter((F.col("feature_a") < F.col("feature_b")) & (F.abs("rho") > limit))

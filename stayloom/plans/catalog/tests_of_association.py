@@ -71,11 +71,14 @@ adjusted AS (SELECT * EXCLUDE (place, m), least(1.0, min(p * m / place) OVER (
 NODES_SQL = "nodes AS (SELECT i / 20000.0 AS part, CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM range(20001) AS t(i))"
 
 
-@query(f"""WITH {RHO_SQL}, {NODES_SQL},
+P_SQL = f"""{RHO_SQL}, {NODES_SQL},
 tested AS (
   SELECT feature, rho, n, (pi() / 2 - asin(abs(rho))) * sum(w * pow(cos(asin(abs(rho)) + (pi() / 2 - asin(abs(rho))) * part), n - 3))
          / (pi() / 2 * sum(w * pow(cos(pi() / 2 * part), n - 3))) AS p
-  FROM rho CROSS JOIN nodes WHERE n >= 30 GROUP BY feature, rho, n), {FDR_SQL}
+  FROM rho CROSS JOIN nodes WHERE n >= 30 GROUP BY feature, rho, n), {FDR_SQL}"""
+
+
+@query(f"""WITH {P_SQL}
 SELECT feature, round(rho, 8) AS rho, n, round(p, 7) AS p_value, round(adj, 7) AS p_adj, adj <= 0.05 AS significant FROM adjusted""")
 def spearman_p_values(spark, d):
     """Tail probabilities against quadrature of Student's density, with false-discovery control."""
@@ -250,11 +253,10 @@ def redundant_pairs(spark, d):
     return rounded(assoc.redundant_pairs(matrix, 0.7), 8, "rho")
 
 
-@query(f"""WITH {RHO_SQL} SELECT feature, round(rho, 8) AS rho FROM rho
-WHERE abs(rho) > 0.05 AND feature <> 'avg_qty' ORDER BY abs(rho) DESC, feature LIMIT 50""")
+@query(f"""WITH {P_SQL} SELECT feature, round(rho, 8) AS rho FROM adjusted
+WHERE abs(rho) > 0.05 AND adj <= 0.05 ORDER BY abs(rho) DESC, feature LIMIT 50""")
 def strong_features(spark, d):
-    """Features kept by strength and significance; the second is given here, as SQL has no tail probability."""
-    table = assoc.spearman_with_target(_gaps(spark, d), NUMBERS, "los").withColumn(
-        "significant", F.col("feature") != "avg_qty")
+    """Features kept by strength and by significance under false-discovery control."""
+    table = assoc.fdr_bh(assoc.spearman_with_target(_gaps(spark, d), NUMBERS, "los"))
     names = assoc.strong_features(table)
     return rounded(table.filter(F.col("feature").isin(names)).select("feature", "rho"), 8, "rho")

@@ -154,6 +154,29 @@ def test_matrix_is_pairwise_complete(table, request, small):
     assert assoc.redundant_pairs(matrix.withColumn("rho", F.lit(-.8))).count() == 3
 
 
+def test_wide_matrix_with_many_incomplete_columns(spark, tiny_limits):
+    """50 columns, ten of them with NULLs, some of those never together; no row is repeated by pair."""
+    rng = np.random.default_rng(8)
+    n, names = 300, [f"f{i:02d}" for i in range(50)]
+    base = rng.normal(size=(n, 50)).cumsum(axis=1)
+    pdf = pd.DataFrame(np.round(base, 1), columns=names).assign(id=range(n))
+    for i in range(10):
+        pdf.loc[rng.random(n) < 0.3, names[5 * i]] = np.nan
+    pdf.loc[:150, "f00"] = np.nan
+    pdf.loc[151:, "f05"] = np.nan
+    df = spark.createDataFrame(pdf).repartition(3)
+    got = {(r[0], r[1]): r[2] for r in assoc.spearman_matrix(df, "id", names).collect()}
+    ranked = pdf[names]
+    assert len(got) == 2500 and got["f00", "f05"] == 0.0
+    for a in names[::3] + ["f05", "f10"]:
+        for b in names:
+            if a != b and {a, b} != {"f00", "f05"}:
+                both = ranked[[a, b]].dropna()
+                assert got[a, b] == pytest.approx(rank_corr(both), abs=1e-9)
+    plan = assoc.spearman_matrix(df, "id", names)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+
+
 def test_ranking_and_selection(table):
     _, df = table
     rho = assoc.fdr_bh(assoc.spearman_with_target(df, list("abcd"), "y"))
