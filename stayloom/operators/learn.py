@@ -19,11 +19,13 @@ from ..session import written
 from .boost import Setting, boost, error_curve, shuffled_errors
 from .boost import Model as TreeModel
 from .boost import predict as predict_trees
+from .gradient import ridge_by_gradients
 from .ranks import dense_index, quantile_values
 from .skew import spread
 
 # Split rule, target cap, learner settings and search grid of the original models.
 SPLIT_BUCKETS = 10
+NORMAL_SLOTS = 4096  # the most that Spark's normal solver takes
 TRAIN_BUCKETS = 8
 VALIDATION_BUCKET = 7
 TARGET_CAP_DAYS = 30.0
@@ -87,10 +89,13 @@ def median_baseline(train: DataFrame, test: DataFrame, label: str = "label", out
 
 
 def ridge(train: DataFrame, alpha: float = RIDGE_ALPHA, label: str = "label", features: str = "features"):
-    """Least squares with penalty alpha * |w|^2.
+    """Least squares with penalty alpha * |w|^2: in closed form up to NORMAL_SLOTS slots, by gradient steps beyond.
 
     The normal solver scales the label by its deviation and the loss by the rows, hence the factor.
     """
+    slots = len(vector_names(train, features))
+    if slots > NORMAL_SLOTS:
+        return ridge_by_gradients(train, slots, alpha, label, features)
     s = train.agg(F.count(label).alias("n"), F.stddev_pop(label).alias("sd")).first()
     return LinearRegression(
         featuresCol=features, labelCol=label, elasticNetParam=0.0, standardization=False,

@@ -115,17 +115,19 @@ def grouped_quantiles(
     probabilities: Mapping[str, float],
     group_rows: int | None = None,
     cell_rows: int | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """Exact interpolated quantiles per group, one column per named probability.
 
     The built-in aggregate keeps every distinct value of a group in one buffer, so it is used only
-    after the largest group was measured (action); beyond ``group_rows`` the ranks give the result.
+    after the largest group was measured (action, unless ``largest`` says how many rows it has at most); beyond
+    ``group_rows`` the ranks give the result.
     """
     keys = list(keys)
     limit = BUILTIN_GROUP_ROWS if group_rows is None else group_rows
     rows = df.filter(present(F.col(value).cast("double"))).select(
         *keys, F.col(value).cast("double").alias("value"))
-    if largest_group(rows, keys) <= limit:
+    if (largest_group(rows, keys) if largest is None else largest) <= limit:
         return rows.groupBy(*keys).agg(
             *[F.percentile("value", F.lit(float(p))).alias(n) for n, p in probabilities.items()])
     celled = add_cells(rows, ["value"], cell_rows).withColumnRenamed("value__cell", "cell")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import hours_between, ratio
+from ..session import measured
 from .ranks import BUILTIN_GROUP_ROWS, grouped_quantiles, largest_group
 from .skew import lookup_join
 
@@ -28,13 +29,18 @@ def dose_events(
     start: str = "INTIME", end: str = "OUTTIME",
 ) -> DataFrame:
     """Dose rows with item label, category and the length of their stay in hours."""
-    stays = stays.select(c.stay, hours_between(F.col(end), F.col(start)).alias("LOS_hours"))
-    labels = items.select(*[x for x in (c.item, c.label, "CATEGORY") if x in items.columns])
-    return lookup_join(lookup_join(inputs, labels, [c.item], "left"), stays, [c.stay], "left")
+    # Both lookups are stored, and measured as they are.
+    stays, stays_size, _ = measured(stays.select(c.stay, hours_between(F.col(end), F.col(start)).alias("LOS_hours")), "stay-hours")
+    labels, labels_size, _ = measured(items.select(*[x for x in (c.item, c.label, "CATEGORY") if x in items.columns]), "labels")
+    labelled = lookup_join(inputs, labels, [c.item], "left", small_size=labels_size)
+    return lookup_join(labelled, stays, [c.stay], "left", small_size=stays_size)
 
 
-def dose_stats_stay(events: DataFrame, c: DoseColumns = DoseColumns()) -> DataFrame:
-    """Level 1. Rows with a NULL key are left out; the sum of no amount is 0."""
+def dose_stats_stay(events: DataFrame, c: DoseColumns = DoseColumns(), largest: int | None = None) -> DataFrame:
+    """Level 1. Rows with a NULL key are left out; the sum of no amount is 0.
+
+    ``largest`` is the most rows that a stay has of an item, if it was measured on the inputs, before the lookups.
+    """
     keys = [c.subject, c.admission, c.stay, c.item, c.label]
     rows = events.dropna(subset=keys)
     a = F.col(c.amount)
@@ -48,7 +54,7 @@ def dose_stats_stay(events: DataFrame, c: DoseColumns = DoseColumns()) -> DataFr
         # One stay has one length, so any non-null value is the first.
         F.max("LOS_hours").alias("LOS_hours"),
     ]
-    if largest_group(rows, [c.stay, c.item]) <= BUILTIN_GROUP_ROWS:
+    if (largest_group(rows, [c.stay, c.item]) if largest is None else largest) <= BUILTIN_GROUP_ROWS:
         # Groups are small, so the middle rows are found in the same partitioning the sums need.
         place = F.row_number().over(Window.partitionBy(*keys).orderBy(a.asc_nulls_last()))
         filled = F.count(a).over(Window.partitionBy(*keys))

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import Measure, row_bytes
+
 BROADCAST_BYTES = 32 * 1024 * 1024
 HOT_ROWS = 2_000_000
 MAX_HOT_KEYS = 100_000
@@ -23,21 +25,13 @@ NULL_SPLITS = 1024
 
 def measured_bytes(df: DataFrame) -> int:
     """Row payload of ``df`` in bytes (action; one partial aggregate per task)."""
-    fixed = 0
-    variable = F.lit(0)
-    for field in df.schema.fields:
-        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
-            variable = variable + F.coalesce(F.octet_length(F.col(field.name)), F.lit(0))
-        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            variable = variable + F.length(F.to_json(F.struct(field.name)))
-        else:
-            fixed += 8
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(variable.cast("long")).alias("b")).first()
+    fixed, variable = row_bytes(df)
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(variable).alias("b")).first()
     return row["n"] * (fixed + 16) + (row["b"] or 0)
 
 
-def fits_broadcast(df: DataFrame, max_bytes: int | None = None) -> bool:
-    return measured_bytes(df) <= (BROADCAST_BYTES if max_bytes is None else max_bytes)
+def fits_broadcast(df: DataFrame, max_bytes: int | None = None, known: Measure | None = None) -> bool:
+    return (known.bytes if known else measured_bytes(df)) <= (BROADCAST_BYTES if max_bytes is None else max_bytes)
 
 
 def hot_threshold(rows: int) -> int:
@@ -98,20 +92,56 @@ def lookup_join(
     keys: Sequence[str],
     how: str = "inner",
     max_bytes: int | None = None,
+    small_size: Measure | None = None,
+    big_rows: int | None = None,
 ) -> DataFrame:
     """Join a long table to a lookup side: broadcast if measured small, else shuffle with hot keys split.
 
-    ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``.
+    ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``. Sizes that are known, as from ``session.measured``, are
+    not measured again.
     """
     keys = list(keys)
-    if fits_broadcast(small, max_bytes):
+    if fits_broadcast(small, max_bytes, small_size):
         return big.join(F.broadcast(small), keys, how)
-    rows = big.count()
+    rows = big.count() if big_rows is None else big_rows
     if rows <= HOT_ROWS:
         return big.join(small, keys, how)
     return split_join(big, small, keys, hot_keys(big, keys, rows), how)
 
 
+def grid_join(left: DataFrame, right: DataFrame, keys: Sequence[str], max_bytes: int | None = None) -> DataFrame:
+    """Inner equi-join in which a key may hold many rows on both sides.
+
+    A hot key is cut on both sides: its rows of one side go to one of ``m`` strips, those of the other to one of ``n``, and
+    each of the ``m * n`` tasks meets one strip of either. A task holds about a threshold's rows of both sides; a row
+    is sent once for each strip of the other side. Rows that are all equal stay together, as in ``split_join``.
+    """
+    keys = list(keys)
+    if fits_broadcast(right, max_bytes):
+        return left.join(F.broadcast(right), keys)
+    rows = max(left.count(), right.count())
+    if rows <= HOT_ROWS:
+        return left.join(right, keys)
+    met = [*keys, "__m_strip", "__n_strip"]
+    cut_left, cut_right = grid_sides(left, right, keys, rows)
+    return cut_left.join(cut_right, met).drop("__m_strip", "__n_strip")
+
+
+def grid_sides(left: DataFrame, right: DataFrame, keys: Sequence[str], rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the strips they meet in; ``rows`` of the larger one set the threshold."""
+    hot = [hot_keys(side, keys, rows).withColumnRenamed("__splits", name) for side, name in ((left, "__m"), (right, "__n"))]
+    # At most 2 * MAX_HOT_KEYS rows.
+    cut = F.broadcast(hot[0].join(hot[1], keys, "full").fillna(1, ["__m", "__n"]))
+
+    def strips(side: DataFrame, own: str, other: str) -> DataFrame:
+        number = lambda c: F.coalesce(F.col(c), F.lit(1))
+        cell = F.explode(F.sequence(F.lit(0), number(other) - 1))
+        return side.join(cut, keys, "left").withColumn(f"{own}_strip", F.pmod(row_hash(side), number(own)).cast("int")).withColumn(
+            f"{other}_strip", cell).drop("__m", "__n")
+
+    return strips(left, "__m", "__n"), strips(right, "__n", "__m")
+
+
 def left_join_many(one: DataFrame, many: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join of a table with one row per key to one with many.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .skew import lookup_join
+from .skew import grid_join, lookup_join
 
 
 def add_window_end(df: DataFrame, start: str, hours: int = 24, name: str = "END_FIRST_24H") -> DataFrame:
@@ -61,7 +61,8 @@ def filter_by_windows(
     Windows are sorted into classes by length, each twice as long as the one before, and laid out over time buckets
     as long as their class: every window, however long, lies in at most two buckets. Events look into one bucket
     of each class that occurs (one small action finds them) and join on ``(key, class, bucket)``, so a key with many
-    events and many windows does not pair all of them. One output row per (event, window) pair.
+    events and many windows does not pair all of them; a bucket with many of both is cut on both sides. One output row per
+    (event, window) pair.
     """
     if drop_null_values and value:
         events = events.filter(F.col(value).isNotNull())
@@ -82,7 +83,7 @@ def filter_by_windows(
         .withColumn("__level", F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>")))
         .withColumn("__bucket", bucket(F.col(time), F.col("__level")))
     )
-    joined = lookup_join(left, right, [key, "__level", "__bucket"], "inner", max_bytes)
+    joined = grid_join(left, right, [key, "__level", "__bucket"], max_bytes)
     return joined.filter(F.col(time).between(F.col(start), F.col(end))).drop("__level", "__bucket")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...operators import rollup, timeline
+from ...operators.ranks import largest_group
 from ...session import load, written
 from .base import events, rounded
 
@@ -61,11 +62,12 @@ def _doses(spark, d):
         F.min("o_orderdate").alias("INTIME"), F.max(F.greatest("l_shipdate", "o_orderdate")).alias("OUTTIME"))
     items = load(spark, d, "part").select(
         F.col("p_partkey").alias("item"), F.col("p_name").alias("label"), F.col("p_type").alias("CATEGORY"))
-    return rollup.dose_events(inputs.drop("o_orderdate", "l_shipdate"), items, stays, C)
+    return inputs, rollup.dose_events(inputs.drop("o_orderdate", "l_shipdate"), items, stays, C)
 
 
 def _stay(spark, d):
-    return rollup.dose_stats_stay(_doses(spark, d), C)
+    inputs, doses = _doses(spark, d)
+    return rollup.dose_stats_stay(doses, C, largest_group(inputs, [C.stay, C.item]))
 
 
 @query(f"""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ...functions.numbers import log_target
 from ...operators import boost, evaluate, learn
+from ...operators.gradient import ridge_by_gradients
 from ...session import written
 from ..training import compare_models, encode_split, fit_trees, refit_on_important
 from ..training import tree_search as search_trees
@@ -270,6 +271,16 @@ def tweedie_two_rounds(spark, d):
     return _boosted(spark, d, 2, boost.Setting(1, 0.1, 1.3))
 
 
+@query(f"""WITH {RIDGE_SQL}
+SELECT stay_id, round(my + wa * (a - ma) + wb * (b - mb), 6) AS prediction FROM labelled, w WHERE subject_id % 10 >= 8""")
+def ridge_gradients(spark, d):
+    """Ridge without the matrix of the normal equations, against the closed form."""
+    train, test = learn.split_by_subject(_labelled(spark, d), "subject_id")
+    encoder = learn.encoder(["avg_price", "avg_discount"], []).fit(train)
+    model = ridge_by_gradients(encoder.transform(train), 2, learn.RIDGE_ALPHA)
+    return rounded(model.transform(encoder.transform(test)).select("stay_id", "prediction"), 6, "prediction")
+
+
 @query()
 def tree_importance(spark, d):
     """Increase of the trees' error on the validation digit when one column is shuffled; all 500 trees, five repeats."""

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ...operators import profile
-from ...session import load
+from ...operators import carried, profile
+from ...session import load, written
 from .base import rounded
 
 QUERIES: dict = {}
@@ -137,3 +137,22 @@ def shuffled_rows(spark, d):
     """Row order within partitions is random, the rows are the same."""
     line = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
     return profile.shuffled_within_partitions(line)
+
+
+@query("""
+SELECT feature, count(*) AS n, count(*) - count(x) AS nulls, round(avg(x), 8) AS mean, round(stddev_samp(x), 8) AS std,
+       min(x) AS low, max(x) AS high
+FROM (SELECT 'l_quantity' AS feature, nullif(l_quantity, 1)::DOUBLE AS x FROM lineitem
+      UNION ALL SELECT 'l_extendedprice', l_extendedprice FROM lineitem UNION ALL SELECT 'l_tax', nullif(l_tax, 0) FROM lineitem)
+GROUP BY 1""")
+def profile_carried(spark, d):
+    """Counts, moments and range of seven loads, one for each year of shipping, from their stored states alone."""
+    rows = load(spark, d, "lineitem").select(
+        F.nullif("l_quantity", F.lit(1)).alias("l_quantity"), "l_extendedprice", F.nullif("l_tax", F.lit(0)).alias("l_tax"), F.year("l_shipdate").alias("year"))
+    columns = ["l_quantity", "l_extendedprice", "l_tax"]
+    years = sorted(r[0] for r in rows.select("year").distinct().collect())
+    state = written(carried.profile_state(rows.filter(F.col("year") == years[0]), columns), "state")
+    for year in years[1:]:
+        load_state = carried.profile_state(rows.filter(F.col("year") == year), columns)
+        state = written(carried.merged_state(state.unionByName(load_state)), "state")
+    return rounded(carried.read_profile(state).select("feature", "n", "nulls", "mean", "std", "low", "high"), 8, "mean", "std")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from ...operators import codemap, features, learn, profile
 from ...session import load, shared_dir
 from ...sources import readers, writers
-from ..cohort import build_cohort, stay_windows, windowed_events
+from ...streaming.features import follow
+from ..cohort import build_cohort, extract_in_windows, stay_windows, windowed_events
 from .base import EVENTS_SQL, events, rounded
 from .learning import RIDGE_SQL, _labelled
 
@@ -35,6 +37,13 @@ def table_name() -> str:
     return f"roundtrip_{uuid.uuid4().hex}"
 
 
+def unlisted(spark: SparkSession, name: str) -> DataFrame:
+    """A table stored under a path of its own, taken out of the catalogue again; its files stay."""
+    df = readers.read_table(spark, name)
+    spark.sql(f"DROP TABLE {name}")
+    return df
+
+
 ORDERS = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
 ORDERS_SQL = """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate,
        o_orderpriority FROM orders"""
@@ -46,10 +55,13 @@ def as_text(df: DataFrame) -> DataFrame:
 
 @query(ORDERS_SQL)
 def csv_file(spark, d):
-    """One CSV file with declared types."""
+    """CSV files with declared types, each scanned by its own path."""
     path = folder(spark, "csv-file")
-    writers.write_csv(load(spark, d, "orders").coalesce(1), path)
-    return as_text(readers.read_csv(spark, path, ORDERS))
+    writers.write_csv(load(spark, d, "orders").repartition(3, "o_orderkey"), path)
+    # One name per part.
+    files = [r[0] for r in spark.read.text(path).select(F.input_file_name()).distinct().collect()]
+    scans = [as_text(readers.read_csv(spark, f, ORDERS)) for f in sorted(files)]
+    return reduce(DataFrame.unionByName, scans)
 
 
 @query("SELECT o_orderkey, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate FROM orders")
@@ -95,10 +107,10 @@ def first_available(spark, d):
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_nationkey < 5")
 def table_replaced(spark, d):
     """A catalogue table written twice: the second write replaces the first."""
-    customer, name = load(spark, d, "customer"), table_name()
-    writers.write_table(customer, name)
-    writers.write_table(customer.filter("c_nationkey < 5"), name)
-    return readers.read_table(spark, name).select("c_custkey", "c_name", "c_acctbal")
+    customer, name, path = load(spark, d, "customer"), table_name(), folder(spark, "table")
+    writers.write_table(customer, name, path)
+    writers.write_table(customer.filter("c_nationkey < 5"), name, path)
+    return unlisted(spark, name).select("c_custkey", "c_name", "c_acctbal")
 
 
 @query("""
@@ -110,13 +122,53 @@ def window_tables(spark, d):
     rows = load(spark, d, "events").select(F.col("user_id").alias("ICUSTAY_ID"), "ts", "value", F.lit(1).alias("ITEMID"))
     stays = rows.groupBy("ICUSTAY_ID").agg(F.min("ts").alias("INTIME"))
     windows, inside = table_name(), table_name()
-    writers.write_table(stay_windows(stays), windows)
-    hits = windowed_events(rows.withColumnsRenamed({"ts": "CHARTTIME", "value": "VALUENUM"}), readers.read_table(spark, windows))
-    writers.write_events_table(hits, inside, "ICUSTAY_ID", 4)
-    return readers.read_table(spark, inside).groupBy("ICUSTAY_ID").agg(
+    writers.write_table(stay_windows(stays), windows, folder(spark, "windows"))
+    hits = windowed_events(rows.withColumnsRenamed({"ts": "CHARTTIME", "value": "VALUENUM"}), unlisted(spark, windows))
+    writers.write_events_table(hits, inside, "ICUSTAY_ID", 4, folder(spark, "inside"))
+    return unlisted(spark, inside).groupBy("ICUSTAY_ID").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("VALUENUM"), 6).alias("total"))
 
 
+def _extract(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Events as charted ones, and a window of each user: the day after the first purchase above 300, if there is one."""
+    rows = load(spark, d, "events")
+    stays = rows.filter("event_type = 'purchase' AND value > 300").groupBy(F.col("user_id").alias("ICUSTAY_ID")).agg(
+        F.min("ts").cast("timestamp").alias("INTIME"))
+    charted = rows.select(F.col("user_id").alias("ICUSTAY_ID"), F.col("ts").cast("timestamp").alias("CHARTTIME"),
+                          F.col("value").alias("VALUENUM"))
+    return charted, stay_windows(stays)
+
+
+EXTRACT_SQL = """
+WITH ref AS (SELECT user_id, min(ts) AS s FROM events WHERE event_type = 'purchase' AND value > 300 GROUP BY 1)
+SELECT e.user_id AS "ICUSTAY_ID", count(*) AS n, round(sum(value), 6) AS total
+FROM events e JOIN ref r ON e.user_id = r.user_id WHERE ts BETWEEN s AND s + INTERVAL 24 HOUR GROUP BY 1"""
+
+
+def _per_stay(hits: DataFrame) -> DataFrame:
+    return hits.groupBy("ICUSTAY_ID").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("VALUENUM"), 6).alias("total"))
+
+
+@query(EXTRACT_SQL)
+def dated_extract(spark, d):
+    """An extract stored by day, of which only the days of the windows are read."""
+    charted, windows = _extract(spark, d)
+    path = folder(spark, "dated")
+    writers.write_dated(charted, path, "CHARTTIME")
+    return _per_stay(extract_in_windows(path, windows))
+
+
+@query(EXTRACT_SQL)
+def bucketed_join(spark, d):
+    """Events and windows stored in buckets of the same ids, joined bucket by bucket."""
+    charted, windows = _extract(spark, d)
+    names = table_name(), table_name()
+    for df, name in zip((charted, windows), names):
+        writers.write_events_table(df, name, "ICUSTAY_ID", 8, folder(spark, "bucketed"))
+    hits = unlisted(spark, names[0]).join(unlisted(spark, names[1]).hint("merge"), "ICUSTAY_ID")
+    return _per_stay(hits.filter("CHARTTIME BETWEEN INTIME AND END_FIRST_24H"))
+
+
 @query("""
 SELECT p_type AS diagnosis, max_by(p_name, p_partkey) AS category FROM part GROUP BY 1""")
 def appended_answers(spark, d):
@@ -129,6 +181,34 @@ def appended_answers(spark, d):
     return profile.keep_last(spark.read.parquet(path), "diagnosis", "seq").drop("seq")
 
 
+@query("""
+SELECT p_type AS diagnosis, max_by(p_name, p_partkey) AS category FROM part GROUP BY 1""")
+def upserted_answers(spark, d):
+    """Answers of three loads kept with one row per text; a load that comes late changes no newer answer."""
+    path = folder(spark, "upserted")
+    part = load(spark, d, "part").select(
+        F.col("p_type").alias("diagnosis"), F.col("p_name").alias("category"), F.col("p_partkey").alias("seq"))
+    for k in (0, 2, 1):
+        writers.upsert_answers(part.filter(F.col("seq") % 3 == k), path, "diagnosis", "seq", 8)
+    return spark.read.parquet(path).select("diagnosis", "category")
+
+
+@query("""
+SELECT user_id, event_type, count(*) AS num, count(value) AS count, round(sum(value), 6) AS sum, min(value) AS min, max(value) AS max,
+       arg_max(value, {'t': ts, 'v': value}) AS latest
+FROM events GROUP BY 1, 2""")
+def streamed_features(spark, d):
+    """Events as files that come in two lots, the second with old events and a file that was there before; then one table."""
+    source, target, state = (folder(spark, n) for n in ("stream-in", "stream-out", "stream-state"))
+    rows = load(spark, d, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+    lot = F.pmod(F.xxhash64("event_id"), F.lit(3))
+    schema = "event_id long, user_id long, event_type string, ts timestamp, value double"
+    for lots in ((0, 1), (1, 2)):
+        rows.filter(lot.isin(*lots)).write.mode("append").parquet(source)
+        table = follow(spark, source, schema, target, state, ["user_id", "event_type"], "event_id", "ts", "value", "60 days")
+    return rounded(table, 6, "sum")
+
+
 def _dictionary(spark, d) -> DataFrame:
     path = folder(spark, "dictionary")
     part = load(spark, d, "part").select(

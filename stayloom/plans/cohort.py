@@ -6,11 +6,12 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..fixed_values import CHART_SEARCH, DATED_SEARCH, INPUT_SEARCH, LAB_SEARCH, OUTPUT_SEARCH
 from ..operators.codemap import keyword_map
 from ..operators.features import attach_feature_tables, numeric_feature_table, occurrence_feature_table
-from ..operators.skew import left_join_many
+from ..operators.skew import left_join_many, lookup_join
 from ..operators.windows import add_window_end, filter_by_window, filter_by_windows, time_reference
 from ..session import written
 
@@ -65,6 +66,20 @@ def windowed_events(events: DataFrame, windows: DataFrame, value: str = "VALUENU
     return hits.select("ICUSTAY_ID", "ITEMID", "CHARTTIME", value)
 
 
+def extract_in_windows(path: str, windows: DataFrame, key: str = "ICUSTAY_ID", time: str = "CHARTTIME", start: str = "INTIME",
+                       end: str = "END_FIRST_24H", day: str = "day") -> DataFrame:
+    """Events of an extract stored by day (``write_dated``) that lie in their stay's window; one window per stay.
+
+    Windows are joined once for each day they touch. Where they are few enough to be broadcast, Spark reads the folders
+    of their days only (dynamic partition pruning).
+    """
+    spark = windows.sparkSession
+    days = windows.dropna(subset=[key, start, end]).filter(F.col(start) <= F.col(end)).select(
+        key, start, end, F.explode(F.sequence(F.to_date(start), F.to_date(end))).alias(day))
+    hits = lookup_join(spark.read.parquet(path), days, [key, day])
+    return hits.filter(F.col(time).between(F.col(start), F.col(end))).drop(day)
+
+
 def feature_table(events: DataFrame, preset: Preset, reference: DataFrame, features) -> DataFrame:
     """Window filter, code map, aggregation and pivot of one event table; one row per stay."""
     columns = [c for c in dict.fromkeys([preset.key, "ITEMID", preset.time, preset.value])]

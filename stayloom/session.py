@@ -7,9 +7,12 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PACKAGE = "stayloom"
 
@@ -93,5 +96,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@dataclass(frozen=True)
+class Measure:
+    """What was seen while a table was written: its rows, and their payload in bytes."""
+
+    rows: int
+    bytes: int
+
+
+def measured(df: DataFrame, name: str, **aggregates: Column) -> tuple[DataFrame, Measure, dict]:
+    """As ``written``, with the size of the table and further aggregates taken in the same pass over the rows."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    fixed, variable = row_bytes(df)
+    sizes = [F.count(F.lit(1)).alias("__rows"), F.sum(variable).alias("__bytes")]
+    stored = written(df.observe(seen, *sizes, *[c.alias(n) for n, c in aggregates.items()]), name)
+    found = dict(seen.get)
+    rows, payload = found.pop("__rows"), found.pop("__bytes") or 0
+    return stored, Measure(rows, rows * (fixed + 16) + payload), found
+
+
+def row_bytes(df: DataFrame) -> tuple[int, Column]:
+    """Bytes of the columns of fixed width, and a column with those of the others."""
+    fixed, variable = 0, F.lit(0)
+    for field in df.schema.fields:
+        c = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            variable = variable + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            variable = variable + F.length(F.to_json(F.struct(c)))
+        else:
+            fixed += 8
+    return fixed, variable.cast("long")
+
+
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
