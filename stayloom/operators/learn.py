@@ -181,17 +181,19 @@ def search(estimator: Estimator, grid: list[dict], train: DataFrame, validation:
 def permutation_importance(
     model: Model, test: DataFrame, id_column: str, names: Sequence[str], label: str = "label",
     features: str = "features", repeats: int = PERMUTATION_REPEATS, seed: int = SEED,
+    steps: Sequence[tuple[int, int]] | None = None,
 ) -> DataFrame:
     """``(feature, importance, std)``: mean increase of the absolute error when a feature is shuffled.
 
-    Rows are numbered in hash order and repeat r pairs row i with row (i * a + b) mod n, a bijection.
+    Rows are numbered in hash order and repeat r pairs row i with row (i * a + b) mod n, a bijection; ``steps`` may name
+    the pairs (a, b), a prime to the number of rows.
     One equi-join on the row number brings the partner's vector for all features, and the features
     are swapped in row by row after it; nothing is ranked or sorted per feature.
     """
     # Each row's own error goes with it, so that a slot without effect gives exactly 0.
     scored = model.transform(test).select(
         id_column, label, features, F.abs(F.col(label) - F.col("prediction")).alias("base"))
-    paired = paired_rows(scored, id_column, label, features, repeats, seed)
+    paired = paired_rows(scored, id_column, label, features, repeats, seed, steps)
     slots = F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("slot")
     swapped = paired.select(label, "base", "repeat", "own", "other", slots).select(
         label, "base", "repeat", "slot",
@@ -212,17 +214,17 @@ def tree_permutation_importance(
     return over_repeats(shuffled_errors(paired, model, label), model.names)
 
 
-def paired_rows(rows: DataFrame, id_column: str, label: str, features: str, repeats: int, seed: int) -> DataFrame:
+def paired_rows(rows: DataFrame, id_column: str, label: str, features: str, repeats: int, seed: int,
+                steps: Sequence[tuple[int, int]] | None = None) -> DataFrame:
     """Each row ``repeats`` times, with ``repeat``, its slots ``own`` and those of its partner, ``other``."""
     indexed = written(dense_index(rows, [id_column], "__i", seed=seed).drop(id_column), "importance")
     n = indexed.count()
     if n < 2:
         raise ValueError("two rows are needed to shuffle")
-    steps = _coprime_steps(n, repeats, seed)
     moves = F.array(*[
         F.struct(F.lit(r).alias("repeat"),
                  F.pmod(F.col("__i") * F.lit(a) + F.lit(b), F.lit(n)).alias("__j"))
-        for r, (a, b) in enumerate(steps)
+        for r, (a, b) in enumerate(steps or _coprime_steps(n, repeats, seed))
     ])
     kept = [c for c in indexed.columns if c not in ("__i", features)]
     moved = indexed.select(*kept, vector_to_array(features).alias("own"), F.explode(moves).alias("m"))

@@ -177,15 +177,21 @@ def percent_rank_average(column: str, over: Window | None = None) -> Column:
                   (F.rank().over(ordered) - nulls + (ties - 1) / F.lit(2.0)) / filled)
 
 
+def md5_number(*columns: Column) -> Column:
+    """Number from 0 to 2^60 - 1: the first 15 digits of the MD5 of the columns' text, joined by colons."""
+    digest = F.md5(F.concat_ws(":", *[c.cast("string") for c in columns]))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def dense_index(df: DataFrame, keys: Sequence[str], name: str = "row_index",
                 cell_rows: int | None = None, seed: int = 0) -> DataFrame:
-    """Number the rows 0, 1, 2, … in the order of a hash of ``keys`` (which must be unique).
+    """Number the rows 0, 1, 2, … in the order of an MD5 of seed and ``keys`` (which must be unique), then of the keys.
 
-    Rows are numbered inside hash cells; the cells' offsets are a table of at most MAX_HASH_CELLS rows.
+    Rows are numbered inside cells of neighbouring hashes; the cells' offsets are a table of at most MAX_HASH_CELLS rows.
     """
     cells = cell_count(df.count(), cell_rows, MAX_HASH_CELLS)
-    hashed = df.withColumn("__h", F.xxhash64(F.lit(seed), *keys)).withColumn(
-        "__cell", F.pmod(F.col("__h"), F.lit(cells)).cast("int"))
+    hashed = df.withColumn("__h", md5_number(F.lit(seed), *[F.col(k) for k in keys])).withColumn(
+        "__cell", F.expr(f"__h div {-(-2**60 // cells)}").cast("int"))
     inside = F.row_number().over(Window.partitionBy("__cell").orderBy("__h", *keys)) - 1
     before = Window.partitionBy(F.lit(0)).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = hashed.groupBy("__cell").agg(F.count(F.lit(1)).alias("__n")).select(

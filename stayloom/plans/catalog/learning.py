@@ -155,6 +155,112 @@ def tweedie_one_column(spark, d):
     return rounded(model.transform(encoder.transform(test)).select("stay_id", "prediction"), 4, "prediction")
 
 
+LIKELIHOOD_STEPS = """
+fit(p, k, a, b) AS (
+  SELECT p, 0, (SELECT ln(avg(y)) FROM data), 0.0::DOUBLE FROM powers
+  UNION ALL
+  SELECT p, k + 1, (sxx * sz - sx * sxz) / (s * sxx - sx * sx), (s * sxz - sx * sz) / (s * sxx - sx * sx)
+  FROM (SELECT p, k, sum(w) AS s, sum(w * x) AS sx, sum(w * x * x) AS sxx, sum(w * z) AS sz, sum(w * x * z) AS sxz
+        FROM (SELECT p, k, x, exp((2 - p) * (a + b * x)) AS w, a + b * x + (y - exp(a + b * x)) / exp(a + b * x) AS z FROM fit, data)
+        GROUP BY p, k)
+  WHERE k < 25)"""
+
+
+@query(f"""WITH RECURSIVE {STAY_SQL},
+labelled AS (SELECT *, ln(1 + least(los, 30)) AS y, avg_price AS x FROM stays),
+data AS (SELECT x, y FROM labelled WHERE subject_id % 10 < 7),
+powers AS (SELECT * FROM (VALUES (0, 1.3::DOUBLE), (1, 1.5::DOUBLE), (2, 1.7::DOUBLE)) AS v(i, p)), {LIKELIHOOD_STEPS},
+errors AS (
+  SELECT i, p, avg(abs(y - exp(a + b * x))) AS log, avg(abs((exp(y) - 1) - (exp(exp(a + b * x)) - 1))) AS days
+  FROM labelled, fit JOIN powers USING (p) WHERE subject_id % 10 = 7 AND k = 25 GROUP BY i, p)
+SELECT i AS setting, 'variancePower=' || p || ', regParam=0.0' AS parameters, round(log, 6) AS mae_log, round(days, 6) AS mae_days,
+       row_number() OVER (ORDER BY log, i) = 1 AS best FROM errors""")
+def likelihood_search(spark, d):
+    """Three powers of the likelihood model on one column by validation error, and the best of them."""
+    train, _ = learn.split_by_subject(_labelled(spark, d), "subject_id")
+    rest, validation = learn.validation_split(train, "subject_id")
+    encoder = learn.encoder(["avg_price"], []).fit(rest)
+    estimator = learn.tweedie().setTol(1e-13).setMaxIter(60)
+    grid = learn.tweedie_grid(estimator, penalties=(0.0,))
+    table, best = learn.search(estimator, grid, encoder.transform(rest), encoder.transform(validation))
+    return rounded(table, 6, "mae_log", "mae_days").withColumn("best", F.col("setting") == grid.index(best))
+
+
+@query(f"""WITH RECURSIVE {STAY_SQL},
+labelled AS (SELECT *, ln(1 + least(los, 30)) AS y, avg_price AS x FROM stays),
+data AS (SELECT x, y FROM labelled WHERE subject_id % 10 < 8),
+powers AS (SELECT 1.5::DOUBLE AS p), {LIKELIHOOD_STEPS},
+scored AS (SELECT y, exp(a + b * x) AS p FROM labelled, fit WHERE subject_id % 10 >= 8 AND k = 25)
+{METRICS_SQL.format(name="'tweedie'").replace(", 9)", ", 5)").replace(", 6)", ", 4)")}""")
+def tweedie_column_metrics(spark, d):
+    """All error measures of the likelihood model on one column."""
+    train, test = learn.split_by_subject(_labelled(spark, d), "subject_id")
+    encoder = learn.encoder(["avg_price"], []).fit(train)
+    model = learn.tweedie().setTol(1e-13).setMaxIter(60).fit(encoder.transform(train))
+    return _coarse_metrics(evaluate.metrics(model.transform(encoder.transform(test)), "tweedie"))
+
+
+# Rows in the order of MD5s, each paired with the rows one to five places on.
+ROTATIONS = [(1, r) for r in range(1, learn.PERMUTATION_REPEATS + 1)]
+IMPORTANCE_SQL = f"""{STAY_SQL},
+labelled AS (SELECT *, ln(1 + least(los, 30)) AS y, avg_price AS a, avg_discount AS b FROM stays WHERE subject_id % 10 < 8),
+rest AS (SELECT * FROM labelled WHERE subject_id % 10 < 7),
+m AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) * count(*) + 1 AS saa, var_pop(b) * count(*) + 1 AS sbb,
+             covar_pop(a, b) * count(*) AS sab, covar_pop(a, y) * count(*) AS say, covar_pop(b, y) * count(*) AS sby FROM rest),
+w AS (SELECT (say * sbb - sby * sab) / (saa * sbb - sab * sab) AS wa,
+             (sby * saa - say * sab) / (saa * sbb - sab * sab) AS wb, ma, mb, my FROM m),
+placed AS (
+  SELECT y, a, b, row_number() OVER (ORDER BY md5('{learn.SEED}:' || stay_id)[:15], stay_id) - 1 AS i, count(*) OVER () AS n
+  FROM labelled WHERE subject_id % 10 = 7),
+pairs AS (
+  SELECT r, o.y, o.a, o.b, p.a AS oa, p.b AS ob FROM placed o CROSS JOIN range(1, {learn.PERMUTATION_REPEATS + 1}) AS t(r)
+  JOIN placed p ON p.i = (o.i + r) % o.n),
+deltas AS (
+  SELECT r, avg(abs(y - (my + wa * (oa - ma) + wb * (b - mb))) - abs(y - (my + wa * (a - ma) + wb * (b - mb)))) AS da,
+            avg(abs(y - (my + wa * (a - ma) + wb * (ob - mb))) - abs(y - (my + wa * (a - ma) + wb * (b - mb)))) AS db
+  FROM pairs, w GROUP BY r),
+importance AS (
+  SELECT 'avg_price' AS feature, avg(da) AS importance, stddev_samp(da) AS std FROM deltas
+  UNION ALL SELECT 'avg_discount', avg(db), stddev_samp(db) FROM deltas)"""
+
+
+def _ridge_importance(spark, d):
+    train, test = learn.split_by_subject(_labelled(spark, d), "subject_id")
+    rest, validation = learn.validation_split(train, "subject_id")
+    encoder = learn.encoder(["avg_price", "avg_discount"], []).fit(train)
+    model = learn.ridge(encoder.transform(rest))
+    table = learn.permutation_importance(
+        model, encoder.transform(validation), "stay_id", ["avg_price", "avg_discount"], steps=ROTATIONS)
+    return encoder.transform(train), encoder.transform(test), table
+
+
+@query(f"""WITH {IMPORTANCE_SQL}
+SELECT feature, round(importance, 6) AS importance, round(std, 6) AS std FROM importance""")
+def ridge_importance(spark, d):
+    """Permutation importance of two columns on the validation digit, with the partners given."""
+    return rounded(_ridge_importance(spark, d)[2], 6, "importance", "std")
+
+
+@query(f"""WITH {IMPORTANCE_SQL},
+kept AS (SELECT bool_or(feature = 'avg_price' AND importance > 0) AS ka, bool_or(feature = 'avg_discount' AND importance > 0) AS kb FROM importance),
+every AS (SELECT *, ln(1 + least(los, 30)) AS y, avg_price AS a, avg_discount AS b FROM stays),
+m2 AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) * count(*) + 1 AS saa, var_pop(b) * count(*) + 1 AS sbb,
+              covar_pop(a, b) * count(*) AS sab, covar_pop(a, y) * count(*) AS say, covar_pop(b, y) * count(*) AS sby
+       FROM every WHERE subject_id % 10 < 8),
+w2 AS (SELECT CASE WHEN ka AND kb THEN (say * sbb - sby * sab) / (saa * sbb - sab * sab) WHEN ka THEN say / saa ELSE 0 END AS wa,
+              CASE WHEN ka AND kb THEN (sby * saa - say * sab) / (saa * sbb - sab * sab) WHEN kb THEN sby / sbb ELSE 0 END AS wb,
+              ma, mb, my FROM m2, kept),
+scored AS (SELECT y, my + wa * (a - ma) + wb * (b - mb) AS p FROM every, w2 WHERE subject_id % 10 >= 8)
+{METRICS_SQL.format(name="'selected'").replace(", 9)", ", 5)").replace(", 6)", ", 4)")}""")
+def ridge_selected(spark, d):
+    """Error measures after a refit on the columns of positive importance."""
+    train, test, table = _ridge_importance(spark, d)
+    names = ["avg_price", "avg_discount"]
+    kept = learn.kept_features(table)
+    model = learn.ridge(learn.select_slots(train, names, kept))
+    return _coarse_metrics(evaluate.metrics(model.transform(learn.select_slots(test, names, kept)), "selected"))
+
+
 @query()
 def grid_search(spark, d):
     """Settings by validation error, chosen without the test side."""

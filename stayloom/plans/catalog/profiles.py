@@ -156,3 +156,24 @@ def profile_carried(spark, d):
         load_state = carried.profile_state(rows.filter(F.col("year") == year), columns)
         state = written(carried.merged_state(state.unionByName(load_state)), "state")
     return rounded(carried.read_profile(state).select("feature", "n", "nulls", "mean", "std", "low", "high"), 8, "mean", "std")
+
+
+@query("""
+SELECT column_name AS feature, CASE WHEN column_type IN ('BIGINT', 'INTEGER', 'DOUBLE') OR column_type LIKE 'DECIMAL%' THEN 'numeric'
+       WHEN column_type = 'VARCHAR' THEN 'category' ELSE 'other' END AS kind, (SELECT count(*) FROM orders) AS n
+FROM (DESCRIBE orders)""")
+def columns_by_type(spark, d):
+    """Kinds of the columns of a table, each with its number of rows with a value."""
+    orders = load(spark, d, "orders")
+    kind = {c: "numeric" for c in profile.numeric_columns(orders)} | {c: "category" for c in profile.categorical_columns(orders)}
+    entries = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(kind.get(c, "other")).alias("kind"), F.count(c).alias("n")) for c in orders.columns])
+    return orders.agg(entries.alias("e")).select(F.explode("e").alias("e")).select("e.*")
+
+
+@query("SELECT least(5, count(*)) AS n_rows, least(5, count(*)) AS n_known FROM lineitem")
+def preview_rows(spark, d):
+    """Any five rows, all of them rows of the table."""
+    lines = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    some = written(profile.preview(lines, 5), "preview")
+    known = lines.join(F.broadcast(some), ["l_orderkey", "l_linenumber", "l_extendedprice"], "left_semi")  # five rows
+    return some.agg(F.count(F.lit(1)).alias("n_rows")).join(F.broadcast(known.agg(F.count(F.lit(1)).alias("n_known"))))
