@@ -8,7 +8,6 @@ the first one only. Leaves send back link counts and a star per local component,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import lookup_join
 from ..session import written
 from .common import draw
 from .components import components
@@ -23,10 +23,15 @@ from .vectors import matrix, usable
 
 TREES = 6
 LEAF = 256
-DEEPEST = 16
-SAMPLE = 8192
+LARGE = 4  # times LEAF: leaves above are split again
+DEEP = 8  # levels of one round of splits
+SAMPLE = 8192  # vectors that borders are fitted on, of each label, and of each leaf that is split again
+GROUP = 16_384  # vectors that one task places together
+ROUNDS = 6  # of splits: 48 levels
+CROWDED = 0.6  # share of a leaf's vectors that go down one side all the way: splitting does not help there
 BLOCK = 1024
 SPILL = 0.5  # overlap on each side of a border, in standard deviations of a threshold pair's difference
+PATH, FINAL = 56, 1 << 55  # a code is the tree, whether the leaf is final, and the path from the root with a one before it
 
 
 @dataclass
@@ -36,19 +41,23 @@ class Forest:
     borders: np.ndarray
     depth: int
     spill: float
-    seed: int
+    seed: list[int]
 
     def direction(self, tree: int, level: int, dim: int) -> np.ndarray:
         """Random directions of all nodes of a level, made anew from the seed where they are needed."""
-        random = np.random.default_rng([self.seed, tree, level, dim])
+        random = np.random.default_rng([*self.seed, tree, level, dim])
         d = random.standard_normal((2**level, dim))
         return d / np.linalg.norm(d, axis=1, keepdims=True)
 
 
-def fit_forest(sample: np.ndarray, depth: int, threshold: float, trees: int = TREES, seed: int = 23) -> Forest:
+def overlap(threshold: float, dim: int) -> float:
+    return SPILL * float(np.sqrt(2 - 2 * threshold) / np.sqrt(dim))
+
+
+def fit_forest(sample: np.ndarray, depth: int, threshold: float, trees: int = TREES, seed: tuple[int, ...] = (23,)) -> Forest:
     """Borders at the medians of a bounded sample of unit vectors; zero where the sample has run out."""
     dim = sample.shape[1] if sample.size else 1
-    forest = Forest(np.zeros((trees, max(2**depth - 1, 1))), depth, SPILL * float(np.sqrt(2 - 2 * threshold) / np.sqrt(dim)), seed)
+    forest = Forest(np.zeros((trees, max(2**depth - 1, 1))), depth, overlap(threshold, dim), list(seed))
     for t in range(trees):
         at = np.zeros(len(sample), dtype=np.int64)
         for level in range(depth):
@@ -60,22 +69,110 @@ def fit_forest(sample: np.ndarray, depth: int, threshold: float, trees: int = TR
     return forest
 
 
-def leaves(unit: np.ndarray, forest: Forest) -> list[np.ndarray]:
-    """Sorted codes of the leaves of each vector over all trees."""
-    n, dim = unit.shape
+def descend(unit: np.ndarray, forest: Forest, tree: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and the leaves they reach, a row once for each."""
+    who, at = np.arange(len(unit)), np.zeros(len(unit), dtype=np.int64)
+    for level in range(forest.depth):
+        directions = forest.direction(tree, level, unit.shape[1])
+        z = np.einsum("ij,ij->i", unit[who], directions[at]) - forest.borders[tree, 2**level - 1 + at]
+        low, high = z < forest.spill, z >= -forest.spill
+        who, at = np.r_[who[low], who[high]], np.r_[2 * at[low], 2 * at[high] + 1]
+    return who, at
+
+
+def codes_below(unit: np.ndarray, forest: Forest, leaf: int) -> list[np.ndarray]:
+    """Codes of the leaves of each vector: of all trees from their roots (``leaf`` 0), or below one leaf."""
     row, code = [], []
     for t in range(len(forest.borders)):
-        who, at = np.arange(n), np.zeros(n, dtype=np.int64)
-        for level in range(forest.depth):
-            directions = forest.direction(t, level, dim)
-            z = np.einsum("ij,ij->i", unit[who], directions[at]) - forest.borders[t, 2**level - 1 + at]
-            low, high = z < forest.spill, z >= -forest.spill
-            who, at = np.r_[who[low], who[high]], np.r_[2 * at[low], 2 * at[high] + 1]
+        who, at = descend(unit, forest, t)
         row.append(who)
-        code.append(at + (t << 32))
+        code.append((((leaf or (t << PATH) | 1) << forest.depth) & ((1 << PATH) - 1)) + at + ((leaf >> PATH or t) << PATH))
     rows, codes = np.concatenate(row), np.concatenate(code)
     order = np.lexsort((codes, rows))
-    return np.split(codes[order], np.cumsum(np.bincount(rows, minlength=n))[:-1])
+    return np.split(codes[order], np.cumsum(np.bincount(rows, minlength=len(unit)))[:-1])
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two, so that their squares neither overflow nor vanish; nothing is rounded."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
+def units(rows) -> np.ndarray:
+    x = scaled(matrix(rows))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def split(rows: DataFrame, sizes: DataFrame, threshold: float, trees: int, leaf: int, turn: int) -> DataFrame:
+    """Add ``codes``, the leaves below its own of each row of ``(label, dim, leaf, …, embedding)``.
+
+    ``sizes`` has the rows ``n`` of each ``(label, dim, leaf)``. Each is fitted on a sample of its own, in one task, and placed
+    in tasks of GROUP rows. A leaf that no split would thin out, as in a dense cluster, becomes final.
+    """
+    key = ["label", "dim", "leaf"]
+    label = rows.schema["label"].dataType.simpleString()
+    sizes = written(sizes, "leaf-sizes")
+    sized = written(lookup_join(rows, sizes, key), "splitting")
+    sample = sized.filter(draw(f"forest{turn}", F.col("rep")) <= F.lit(float(2**60 * SAMPLE)) / F.col("n"))
+
+    def fitted(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rep", kind="stable").head(2 * SAMPLE)
+        depth = min(DEEP, max(0, int(np.ceil(np.log2(max(rows["n"].iloc[0], 1) / leaf)))))
+        forest = fit_forest(x := units(rows["embedding"]), depth, threshold, trees, (23, turn))
+        if turn and np.bincount(descend(x, forest, 0)[1]).max() > CROWDED * len(x):
+            depth = 0
+        return pd.DataFrame({"label": [key[0]], "dim": [key[1]], "leaf": [key[2]], "depth": [depth], "borders": [forest.borders.tobytes()]})
+
+    borders = written(sample.select(*key, "rep", "n", "embedding").groupBy(*key).applyInPandas(
+        fitted, f"label {label}, dim int, leaf long, depth int, borders binary"), "borders")
+    parts = F.ceil(F.col("n") / GROUP).cast("int")
+    columns = [c for c in sized.columns if c != "n"]
+
+    def placed(key: tuple, rows: pd.DataFrame, borders: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame(columns=[*columns, "codes"])
+        code, x = int(key[2]), units(rows["embedding"])
+        depth = int(borders["depth"].iloc[0]) if len(borders) else 0
+        if not depth:
+            own = [np.array([code | FINAL if code else 1])] * len(rows)
+        else:
+            table = np.frombuffer(borders["borders"].iloc[0]).reshape(trees, -1)
+            own = codes_below(x, Forest(table, depth, overlap(threshold, x.shape[1]), [23, turn]), code)
+        out = rows[columns].copy()
+        out["codes"] = pd.Series(own, index=out.index, dtype=object)
+        return out
+
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sized.schema.fields if f.name != "n")
+    left = sized.withColumn("task", F.pmod(F.xxhash64("rep"), parts).cast("int")).groupBy(*key, "task")
+    right = lookup_join(borders, sizes, key).withColumn("task", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n").groupBy(*key, "task")
+    return left.cogroup(right).applyInPandas(placed, f"{types}, codes array<bigint>")
+
+
+def routed_classes(classes: DataFrame, threshold: float, trees: int, leaf: int) -> DataFrame:
+    """``classes`` with ``leaves``, the sorted codes of the leaves of each vector over all trees.
+
+    Labels of at most ``leaf`` vectors are one leaf. In other labels every tree is split by a forest of the label's own;
+    leaves that are still large after that are split again by themselves.
+    """
+    own = ["label", "dim"]
+    groups = written(classes.groupBy(*own).agg(F.count(F.lit(1)).alias("n")), "labels")
+    whole = classes.withColumn("leaf", F.lit(0).cast("long"))
+    large = groups.filter(F.col("n") > leaf).withColumn("leaf", F.lit(0).cast("long"))
+    one = lookup_join(classes, written(groups.filter(F.col("n") <= leaf).drop("n"), "small-labels"), own)
+    routed = split(whole, large, threshold, trees, leaf, 0).drop("leaf").withColumnRenamed("codes", "leaves").unionByName(
+        one.withColumn("leaves", F.array(F.lit(1).cast("long"))))
+    routed = written(routed.select(*classes.columns, "leaves"), "routed")
+    for turn in range(1, ROUNDS):
+        sizes = routed.select(*own, F.explode("leaves").alias("leaf")).groupBy(*own, "leaf").agg(F.count(F.lit(1)).alias("n"))
+        again = written(sizes.filter((F.col("n") > LARGE * leaf) & (F.col("leaf").bitwiseAND(FINAL) == 0)), "large-leaves")
+        if not again.limit(1).count():
+            break
+        rows = routed.select(*own, "h1", "h2", "rep", "embedding", F.explode("leaves").alias("leaf"))
+        new = split(rows, again, threshold, 1, leaf, turn).groupBy("label", "h1", "h2").agg(
+            F.flatten(F.collect_list("codes")).alias("codes"), F.collect_list("leaf").alias("gone"))
+        rest = F.array_except("leaves", F.coalesce("gone", F.array().cast("array<long>")))
+        moved = F.array_sort(F.array_distinct(F.concat(rest, F.coalesce("codes", F.array().cast("array<long>")))))
+        routed = written(routed.join(new, ["label", "h1", "h2"], "left").withColumn("leaves", moved).select(*classes.columns, "leaves"), "routed")
+    return routed
 
 
 def first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -88,7 +185,7 @@ def first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def compare(rows: pd.DataFrame, leaf: int, left: int, right: int, threshold: float) -> pd.DataFrame:
     """Links between two blocks of a leaf (or within one): per vector the copies linked, and its local root."""
     rows = rows.sort_values("rep", kind="stable")
-    x = matrix(rows["embedding"])
+    x = scaled(matrix(rows["embedding"]))
     norm = np.sqrt(np.einsum("ij,ij->i", x, x))
     block = rows["block"].to_numpy()
     a, b = np.flatnonzero(block == left), np.flatnonzero(block == right)
@@ -134,9 +231,8 @@ def link(embeddings: DataFrame, threshold: float = 0.98, trees: int = TREES, lea
     Only vectors of one label and one length are compared. Rows without label, unusable vectors (null, empty, zero,
     with null or non-finite components) and rows without id link with nothing and are their own component. Equal
     vectors are one class, linked among themselves; repeated rows count as copies. An empty table gives an empty one.
-    The forest is fitted on at most ``SAMPLE`` vectors; every vector is indexed.
+    Every label has a forest of its own, fitted on a sample of some ``SAMPLE`` vectors; every vector is indexed.
     """
-    spark = embeddings.sparkSession
     joined = (F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit("second"), "embedding").alias("h2"))
     able = usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     base = embeddings.select("vec_id", "label", "embedding")
@@ -144,30 +240,8 @@ def link(embeddings: DataFrame, threshold: float = 0.98, trees: int = TREES, lea
         base.filter(able).select("vec_id", "label", "embedding", *joined).groupBy("label", "h1", "h2")
         .agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding"))
         .withColumn("dim", F.size("embedding")), "classes")
-    groups = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
-    largest = groups.agg(F.max("n")).first()[0] or 0
-    depth = min(DEEPEST, max(0, int(np.ceil(np.log2(max(largest, 1) / leaf)))))
-    forests = {}
-    for dim in [r["dim"] for r in groups.select("dim").distinct().orderBy("dim").collect()]:
-        some = classes.filter(F.col("dim") == dim).orderBy(draw("forest", F.col("rep")), "rep").limit(SAMPLE)
-        x = matrix(r["embedding"] for r in some.select("embedding").collect())
-        forests[dim] = fit_forest(x / np.linalg.norm(x, axis=1, keepdims=True), depth, threshold, trees)
-    shared = spark.sparkContext.broadcast(forests)
-
-    @F.pandas_udf("array<long>")
-    def placed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            out = pd.Series([None] * len(batch), dtype=object)
-            sizes = batch.map(len)
-            for dim in sizes.unique():
-                at = np.flatnonzero(sizes.to_numpy() == dim)
-                x = matrix(batch.iloc[at])
-                for i, own in zip(at, leaves(x / np.linalg.norm(x, axis=1, keepdims=True), shared.value[dim])):
-                    out.iat[i] = own
-            yield out
-
     key = ["label", "dim", "leaf"]
-    routed = written(classes.withColumn("leaves", placed("embedding")), "routed")
+    routed = routed_classes(classes, threshold, trees, leaf)
     rows = routed.select("label", "dim", "rep", "copies", "embedding", "leaves", F.explode("leaves").alias("leaf"))
     sizes = routed.select("label", "dim", F.explode("leaves").alias("leaf")).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     several = sizes.filter("n > 1").select(*key, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))

@@ -132,3 +132,40 @@ def test_one_huge_norm_beside_unit_vectors(spark, monkeypatch):
     for huge in (1e12, 1e30):
         rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(601, (x[5] * np.float32(huge)).tolist(), 0)]
         assert asked(spark, rows, 7) == brute_nearest(rows, range(0, 600, 10), 7)
+
+
+def test_narrow_and_wide_labels_and_leaves_split_again(spark, monkeypatch):
+    """One label in a small corner of the sphere beside wide ones; first trees so shallow that leaves are split again."""
+    monkeypatch.setattr(neighbours, "LARGE", 1)
+    r = np.random.default_rng(5)
+    corner = (r.normal(size=16) + r.normal(size=(900, 16)) * 0.5).astype(np.float32)
+    rows = [(i, x.tolist(), "wide") for i, x in enumerate(clustered(900))] + [(5000 + i, x.tolist(), "corner") for i, x in enumerate(corner)]
+    rows += [(9000 + i, x.tolist(), "few") for i, x in enumerate(clustered(9, seed=4))]
+    schema = SCHEMA.replace("label int", "label string")
+    near = brute_links(rows)
+    pairs = sum(map(len, near.values()))
+    frame_ = spark.createDataFrame([(*x, 9, 9.0) for x in rows], schema)
+    got = {x["vec_id"]: x for x in neighbours.link(frame_, leaf=60).collect()}
+    assert pairs > 200 and sum(x["n_links"] for x in got.values()) >= 0.95 * pairs
+    assert all(x["n_links"] <= len(near.get(i, ())) for i, x in got.items())
+
+
+def test_codes_of_leaves_below_leaves():
+    r = np.random.default_rng(1)
+    x = r.normal(size=(400, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    forest = neighbours.fit_forest(x, 3, 0.98, 2)
+    codes = neighbours.codes_below(x, forest, 0)
+    paths = {int(c) & ((1 << neighbours.PATH) - 1) for own in codes for c in own}
+    assert {int(c) >> neighbours.PATH for own in codes for c in own} == {0, 1} and paths <= set(range(8, 16))
+    leaf = next(int(c) for own in codes for c in own if c >> neighbours.PATH == 1)
+    below = neighbours.codes_below(x, neighbours.fit_forest(x, 2, 0.98, 1, (23, 1)), leaf)
+    path = leaf & ((1 << neighbours.PATH) - 1)
+    assert {int(c) for own in below for c in own} == {(1 << neighbours.PATH) | (path << 2 | k) for k in range(4)}
+
+
+def test_vectors_of_any_length_are_linked(spark):
+    rows = [(1, [1e200, 2e200], 1), (2, [3e-200, 6e-200], 1), (3, [1.0, 2.0], 1), (4, [2.0, -1.0], 1), (5, [1.0, 2.1], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neighbours.link(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (0, 4), 5: (3, 1)}
