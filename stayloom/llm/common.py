@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.skew import lookup_join
+from ..session import written
+
 WORD = r"[^\x20\x09-\x0D]+"
 HELD_OUT_MOD = 5
 BATCH_BYTES = 4 * 1024 * 1024
@@ -19,8 +25,23 @@ def give_back() -> None:
         trim(0)
 
 
+def giving_back(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same function of batches, which returns its memory once the last batch is done: idle workers then hold no tables."""
+
+    @functools.wraps(work)
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        give_back()
+
+    return wrapped
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Hand texts to Python in batches of at most BATCH_BYTES (or one text), so that workers stay small."""
+    """Hand texts to Python in batches of at most BATCH_BYTES (or one text), so that workers stay small.
+
+    A setting of the session, read when a plan is made. Every operator of this subpackage that ships texts sets it to the same
+    value and leaves it so: its result is planned only after it has returned.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
@@ -41,22 +62,28 @@ def labelled_sample(labels: DataFrame, label: str, docs: DataFrame, per_class: i
     Rows without id or label and held-out ids are left out; of repeated ids the largest label counts. Only ids
     and labels move; a class is cut first within salted parts, so that a hot class is never in one task.
     """
+    known = learnable(labels, label, docs).withColumn("draw", draw(seed, F.col("doc_id"))).withColumn("part", F.col("draw") % 64)
+    return first_rows(known, "label", per_class).select("doc_id", "label")
+
+
+def learnable(labels: DataFrame, label: str, docs: DataFrame) -> DataFrame:
+    """``(doc_id, label)`` of the documents that may be learned from, one row each."""
     ids = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct()
-    known = (
+    return (
         labels.select("doc_id", F.col(label).alias("label"))
         .filter(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max("label").alias("label"))
         .join(ids, "doc_id", "left_semi")
-        .withColumn("draw", draw(seed, F.col("doc_id")))
-        .withColumn("part", F.col("draw") % 64)
     )
-    return first_rows(known, "label", per_class).select("doc_id", "label")
+
+
+def class_sizes(labels: DataFrame, label: str, docs: DataFrame) -> dict:
+    """Documents of each class among those that may be learned from; held-out labels do not count."""
+    return {r["label"]: r["count"] for r in learnable(labels, label, docs).groupBy("label").count().collect()}
 
 
 def first_rows(keyed: DataFrame, group: str, rows: int) -> DataFrame:
     """The ``rows`` rows of each group with the smallest ``draw``; ``part`` splits the first cut."""
-    from pyspark.sql import Window as W
-
     by_part = W.partitionBy(group, "part").orderBy("draw", "doc_id")
     by_group = W.partitionBy(group).orderBy("draw", "doc_id")
     cut = keyed.withColumn("place", F.row_number().over(by_part)).filter(F.col("place") <= rows)
@@ -64,21 +91,15 @@ def first_rows(keyed: DataFrame, group: str, rows: int) -> DataFrame:
 
 
 def sample_texts(docs: DataFrame, sample: DataFrame, max_chars: int, seed: str) -> DataFrame:
-    """``(label, text)`` of the sampled documents, at most ``max_chars`` characters of each class.
+    """``(label, text)`` of the sampled documents: of each class whole documents in random order, until ``max_chars`` characters are reached.
 
-    Whole documents in random order; one longer than a twentieth of the bound is not fitted on. The sample is
-    bounded by rows, so it may be broadcast.
+    Lengths play no part: the document that reaches the bound is the last, so a class has at least one.
     """
-    from pyspark.sql import Window as W
-
-    from ..session import written
-
     chars = F.length("text")
     texts = (
-        docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-        .filter(F.col("text").isNotNull() & (chars <= max_chars // 20))
+        lookup_join(docs.select("doc_id", "text").filter(F.col("text").isNotNull()), written(sample, "sampled-ids"), ["doc_id"])
         .withColumn("draw", draw(seed, F.col("doc_id"), F.col("text")))
     )
-    so_far = W.partitionBy("label").orderBy("draw").rowsBetween(W.unboundedPreceding, 0)
-    return written(texts, "sample").withColumn("chars", F.sum(chars).over(so_far)).filter(
-        F.col("chars") <= max_chars).select("label", "text")
+    so_far = W.partitionBy("label").orderBy("draw").rowsBetween(W.unboundedPreceding, -1)
+    return written(texts, "sample").withColumn("before", F.coalesce(F.sum(chars).over(so_far), F.lit(0))).filter(
+        F.col("before") < max_chars).select("label", "text")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, sample_texts
+from .common import class_sizes, giving_back, labelled_sample, sample_texts, small_batches
 
 PER_CLASS = 2500
 MAX_CHARS = 5_000_000
@@ -146,10 +146,14 @@ def fit(texts: list[str], labels: np.ndarray, importance: np.ndarray, cost: floa
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS,
           max_chars: int = MAX_CHARS) -> Model:
-    """Fit on at most ``per_class`` documents and ``max_chars`` characters of each class, never on held-out ids."""
+    """Fit on at most ``per_class`` documents of each class, and no more once they reach ``max_chars`` characters.
+
+    Held-out ids count nowhere, neither in the sample nor in the classes' shares. Of a repeated id the largest label counts; labels
+    without a document or without value, and null texts, do not. Without anything to learn from the model scores all texts alike.
+    """
     sample = labelled_sample(labels, label, docs, per_class, "quality-sample")
     rows = sample_texts(docs, sample, max_chars, "quality-order").toPandas()
-    shares = {r["label"]: r["count"] for r in labels.select(F.col(label).alias("label")).groupBy("label").count().collect()}
+    shares = class_sizes(labels, label, docs)
     if rows.empty:
         return Model({}, 0.0, 0.0, 0.0)
     taken = rows["label"].value_counts()
@@ -170,9 +174,11 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     A null text is scored like an empty one, which has no indicator and so the score of the intercept alone.
     Columns of these names are replaced, all others kept.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
+    @giving_back
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         forms, own = Forms(), shared.value
         for batch in batches:

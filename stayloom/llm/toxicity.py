@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, sample_texts
+from .common import class_sizes, giving_back, labelled_sample, sample_texts, small_batches
 
 PER_CLASS = 2500
 MAX_CHARS = 5_000_000
@@ -135,10 +135,14 @@ def sentence_scores(text: str, weight: WordWeights, bias: float) -> tuple[list[t
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS,
           max_chars: int = MAX_CHARS) -> Model:
-    """Fit on at most ``per_class`` documents and ``max_chars`` characters of each class, never on held-out ids."""
+    """Fit on at most ``per_class`` documents of each class, and no more once they reach ``max_chars`` characters.
+
+    Held-out ids count nowhere, neither in the sample nor in the classes' shares. Of a repeated id the largest label counts; labels
+    without a document or without value, and null texts, do not. Without anything to learn from the model scores all texts alike.
+    """
     sample = labelled_sample(labels, label, docs, per_class, "toxic-sample")
     rows = sample_texts(docs, sample, max_chars, "toxic-order").toPandas()
-    shares = {r["label"]: r["count"] for r in labels.select(F.col(label).alias("label")).groupBy("label").count().collect()}
+    shares = class_sizes(labels, label, docs)
     if rows.empty:
         return Model({}, -40.0)
     y = (rows["label"].to_numpy() == 1).astype(int)
@@ -154,9 +158,11 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     ``threshold`` themselves, or in a document that reaches it only in sum, the highest one. Texts that are null,
     empty or without letters have no sentence and score 0. Columns of these names are replaced, all others kept.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("score double, starts array<int>, stops array<int>")
+    @giving_back
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         weight, bias = WordWeights(shared.value), shared.value.bias
         for batch in batches:

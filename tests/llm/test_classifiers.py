@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from llm_fixtures import docs_of  # noqa: F401
 from stayloom.llm import language, quality, toxicity
-from stayloom.llm.common import held_out, labelled_sample
+from stayloom.llm.common import held_out, labelled_sample, sample_texts
 
 LARGE = "/root/testdata/sf0.1"
 
@@ -160,3 +160,51 @@ def test_language_edges(docs_of):
     got = {r["doc_id"]: r for r in language.predict(docs, language.train(docs)).collect()}
     assert [got[i]["lang_pred"] for i in (100, 101, 102, 103, 104, None)] == ["und", "und", "und", "x", "y", "y"]
     assert got[101]["score"] == 0 and all(got[i]["lang_pred"] == r[3] for i, r in enumerate(rows))
+
+
+def test_numbers_that_count_as_word_characters_are_no_letters():
+    assert language.words_of("²abc ½cup Ⅷ x²y ABC") == ["▁abc", "▁cup", "▁x", "▁y", "▁abc"]
+    assert language.words_of("² ½ Ⅷ 12") == []
+
+
+def test_blocks_of_words_are_bounded_in_letters_and_languages():
+    words = ["ab"] * 50 + ["abcd"] * 7 + ["x" * 5000]
+    blocks = list(language.by_length(words, languages=2, cells=60))
+    assert sorted(i for b in blocks for i in b) == list(range(58))
+    assert all(len({len(words[i]) for i in b}) == 1 and (len(b) == 1 or len(b) * (len(words[b[0]]) + 1) * 2 <= 60) for b in blocks)
+
+
+def test_texts_with_any_letter_have_a_language(docs_of):
+    rows = [(i, "aa aba ab aa" if i % 2 else "cc bcb cb", "s", "x" if i % 2 else "y") for i in range(60)]
+    docs = docs_of([*rows, (100, "²aba"), (101, "½cc"), (102, "²Ⅷ")])
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs, language.train(docs)).collect()}
+    assert [got[i] for i in (100, 101, 102)] == ["x", "y", "und"]
+
+
+def test_a_class_of_long_documents_is_learned(docs_of, spark):
+    docs = docs_of([(i, "aa aba ab aa " * (1 if i % 2 else 9000), "s", "x") for i in range(30)]
+                   + [(i, "cc bcb cb " * 10_500, "s", "zz") for i in range(100, 140)])
+    assert language.train(docs).languages == ["x", "zz"]
+    sample = spark.createDataFrame([(i, "zz") for i in range(100, 140)] + [(i, "x") for i in range(30)], "doc_id long, label string")
+    chars = {}
+    for r in sample_texts(docs, sample, 300_000, "s").collect():
+        chars.setdefault(r["label"], []).append(len(r["text"]))
+    assert all(sum(c) - max(c) < 300_000 for c in chars.values()) and len(chars["zz"]) == 3
+    assert {r["label"] for r in sample_texts(docs, sample, 10, "s").collect()} == {"x", "zz"}
+
+
+@pytest.mark.parametrize("operator, label", [(toxicity, "toxic"), (quality, "quality")])
+def test_held_out_labels_leave_the_scores_alone(spark, operator, label):
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
+    docs, labels = read("documents"), read("labels").select("doc_id", label)
+    other = labels.withColumn(label, F.when(held_out(F.col("doc_id")), 1 - F.col(label)).otherwise(F.col(label)))
+    strange = other.unionByName(spark.createDataFrame([(-5, 1), (None, 1), (7, None)], f"doc_id long, {label} long").withColumn(label, F.col(label).cast(other.schema[label].dataType)))
+    scores = [{r["doc_id"]: r["score"] for r in operator.score(docs, operator.train(docs, x)).collect()} for x in (labels, other, strange)]
+    assert scores[0] == scores[1] == scores[2]
+
+
+def test_held_out_languages_leave_the_predictions_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    other = docs.withColumn("lang", F.when(held_out(F.col("doc_id")), F.lit("other")).otherwise(F.col("lang")))
+    found = [sorted(map(tuple, language.predict(docs, language.train(x)).select("doc_id", "lang_pred", "score").collect())) for x in (docs, other)]
+    assert found[0] == found[1]
