@@ -12,6 +12,7 @@ import gc
 import hashlib
 import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, small_batches
+from .common import give_back, giving_back, small_batches
 
 VOCABULARY = "byte_bpe_50k.json"
 CACHE = 200_000
@@ -246,18 +247,15 @@ class Bpe:
             start = end
 
 
-_LOADED: dict[str, Bpe] = {}
-
-
-def loaded(path: str) -> Bpe:
-    """One encoder for each worker and file."""
-    if path not in _LOADED:
-        give_back()
-        _LOADED[path] = Bpe(path)
-        # The tables and the words known stay for good and hold no cycles: collect less often.
-        gc.freeze()
-        gc.set_threshold(200_000, 50, 100)
-    return _LOADED[path]
+@contextmanager
+def loaded(path: str) -> Iterator[Bpe]:
+    """An encoder for one task. Its tables and known words hold no cycles, so meanwhile cycles are looked for less often."""
+    usual = gc.get_threshold()
+    gc.set_threshold(200_000, 50, 100)
+    try:
+        yield Bpe(path)
+    finally:
+        gc.set_threshold(*usual)
 
 
 def vocabulary_path(path: str | None) -> str:
@@ -278,16 +276,17 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("ids array<int>, round_trip boolean")
+    @giving_back
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        bpe = loaded(path)
-        for batch in batches:
-            texts, ids, same = batch.tolist(), [], []
-            for text, entries in zip(texts, bpe.encode_texts(texts)):
-                ids.append(np.fromstring(",".join([e[1] for e in entries]), dtype=np.int32, sep=","))
-                same.append(b"".join([e[2] for e in entries]) == (text or "").encode())
-            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "round_trip": pd.Series(same, dtype=bool)})
-            texts, ids, same = [], [], []
-            give_back()
+        with loaded(path) as bpe:
+            for batch in batches:
+                texts, ids, same = batch.tolist(), [], []
+                for text, entries in zip(texts, bpe.encode_texts(texts)):
+                    ids.append(np.fromstring(",".join([e[1] for e in entries]), dtype=np.int32, sep=","))
+                    same.append(b"".join([e[2] for e in entries]) == (text or "").encode())
+                yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "round_trip": pd.Series(same, dtype=bool)})
+                texts, ids, same = [], [], []
+                give_back()
 
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("ids", "round_trip", "__encoded")]
     return docs.withColumn("__encoded", encoded("text")).select(*kept, "__encoded.ids", "__encoded.round_trip")
@@ -300,31 +299,40 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """
     path = vocabulary_path(path)
 
+    small_batches(encoded.sparkSession)
+
     @F.pandas_udf("string")
+    @giving_back
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = loaded(path)
-        for batch in batches:
-            yield pd.Series([bpe.decode([] if ids is None else list(ids)).decode("utf-8", "replace") for ids in batch], dtype=object)
+        with loaded(path) as bpe:
+            for batch in batches:
+                yield pd.Series([bpe.decode([] if ids is None else list(ids)).decode("utf-8", "replace") for ids in batch], dtype=object)
 
     kept = [F.col(f"`{c}`") for c in encoded.columns if c != "decoded"]
     return encoded.select(*kept, decoded("ids").alias("decoded"))
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Add ``n_tokens, ids_sha256, decoded_sha256``: digests of the ids joined by commas and of the text decoded from them."""
+    """Add ``n_tokens, ids_sha256, decoded_sha256``: digests of the ids joined by commas and of the text decoded from them.
+
+    Null and empty texts have no tokens and the digests of an empty string. Columns of these names are replaced, all others kept;
+    rows are judged one by one, and an empty table gives an empty one.
+    """
     path = vocabulary_path(path)
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @giving_back
     def digested(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        bpe = loaded(path)
-        for batch in batches:
-            out = []
-            for entries in bpe.encode_texts(batch.tolist()):
-                ids = ",".join([e[1] for e in entries])
-                text = b"".join([e[2] for e in entries]).decode("utf-8", "replace")
-                out.append((sum([e[0] for e in entries]), hashlib.sha256(ids.encode()).hexdigest(),
-                            hashlib.sha256(text.encode()).hexdigest()))
-            yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        with loaded(path) as bpe:
+            for batch in batches:
+                out = []
+                for entries in bpe.encode_texts(batch.tolist()):
+                    ids = ",".join([e[1] for e in entries])
+                    text = b"".join([e[2] for e in entries]).decode("utf-8", "replace")
+                    out.append((sum([e[0] for e in entries]), hashlib.sha256(ids.encode()).hexdigest(),
+                                hashlib.sha256(text.encode()).hexdigest()))
+                yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     added = ["n_tokens", "ids_sha256", "decoded_sha256"]
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in added and c != "__digest"]

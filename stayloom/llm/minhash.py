@@ -14,17 +14,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import lookup_join
 from ..session import written
-from .common import give_back, small_batches
+from .common import give_back, giving_back, small_batches
 from .components import components
 
 BANDS, ROWS = 32, 5
 PLACES = BANDS * ROWS
 BLOCK = 512
+BLOCK_BYTES = 8_000_000  # of the full sets on either side of a block
 SLICE_BYTES = 1_000_000
 REPLAY = 8  # from this step on the permutations of the few shingles left are kept whole
 MISS = 0.13  # an estimate this far below the threshold rules a pair out: more than four standard deviations
@@ -151,6 +152,7 @@ def sign(docs: DataFrame, size: int) -> DataFrame:
     """``doc_id, n_shingles, digest, signature``; equal sets have equal digests."""
 
     @F.pandas_udf("n long, digest binary, signature binary")
+    @giving_back
     def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         powers = Powers()
         for batch in batches:
@@ -192,6 +194,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, size: int, repeated: bool) -> Dat
     """
 
     @F.pandas_udf("binary")
+    @giving_back
     def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         powers = Powers()
         for batch in batches:
@@ -276,20 +279,21 @@ def late_links(placed: DataFrame, classes: DataFrame, docs: DataFrame, size: int
         strays.select(F.col("main").alias("component")).distinct(), "component").select(
         F.col("component").alias("main"), "rep", "component", F.lit(False).alias("stray"))
     sides = strays.unionByName(members).join(classes.select("rep", "n", "signature"), "rep")
-    likely = blocks(sides, block_counts(sides)).groupBy("main", "left", "right").applyInPandas(
+    likely = blocks(sides, block_counts(sides, F.lit(0))).groupBy("main", "left", "right").applyInPandas(
         lambda rows: marked(rows, percent, least), "main long, rep long").distinct()
     likely = written(likely, "likely")
     sets = full_sets(docs, likely.select(F.col("rep").alias("doc_id")).distinct(), size, repeated).withColumnRenamed("doc_id", "rep")
     open_sides = sides.join(likely, ["main", "rep"])
-    return blocks(open_sides, block_counts(open_sides)).join(sets, "rep").groupBy("main", "left", "right").applyInPandas(
+    return blocks(open_sides, block_counts(open_sides, 8 * F.col("n"))).join(sets, "rep").groupBy("main", "left", "right").applyInPandas(
         lambda rows: linked(rows, percent, least), "u long, v long").distinct()
 
 
-def block_counts(sides: DataFrame) -> DataFrame:
-    """Number of blocks of strays and of all rows of each main component."""
-    per = lambda n: F.ceil(F.greatest(n, F.lit(1)) / BLOCK).cast("int")
+def block_counts(sides: DataFrame, size: Column) -> DataFrame:
+    """Number of blocks of strays and of all rows of each main component: by rows, and by ``size``, the bytes of a row's set."""
+    per = lambda n, of: F.ceil(F.greatest(n / BLOCK, F.coalesce(F.sum(of), F.lit(0)) / BLOCK_BYTES, F.lit(1.0))).cast("int")
+    stray = F.col("stray")
     return written(sides.groupBy("main").agg(
-        per(F.count(F.when(F.col("stray"), 1))).alias("lefts"), per(F.count(F.lit(1))).alias("rights")), "blocks")
+        per(F.count(F.when(stray, 1)), F.when(stray, size)).alias("lefts"), per(F.count(F.lit(1)), size).alias("rights")), "blocks")
 
 
 def blocks(sides: DataFrame, sizes: DataFrame) -> DataFrame:
