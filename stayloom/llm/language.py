@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, labelled_sample, sample_texts, small_batches
+from .common import give_back, giving_back, labelled_sample, sample_texts, small_batches
 
 VOCABULARY = "piece_bpe_32k.model"
 PER_LANGUAGE = 1500
@@ -29,6 +29,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 ROUNDS = 4
 ADDED = 0.02  # count added to every piece
 CACHE = 150_000
+BLOCK = 20_000
+CELLS = 4_000_000
 SLICE_CHARS = 4_000_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 LOW = 0.01  # quantile of the log-likelihoods a letter of a language's own documents
@@ -102,11 +104,12 @@ class Lattice:
                     yield start, end, rows, piece
 
 
-def by_length(words: list[str], most: int = 20_000) -> Iterator[list[int]]:
-    """Indices of words of one length, in blocks of at most ``most`` words."""
+def by_length(words: list[str], languages: int = 1, cells: int = CELLS) -> Iterator[list[int]]:
+    """Indices of words of one length, in blocks of at most BLOCK words and ``cells`` numbers, one for each letter and language, or one word."""
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
     block: list[int] = []
     for i in order:
+        most = min(BLOCK, cells // ((len(words[i]) + 1) * max(languages, 1)))
         if block and (len(words[block[0]]) != len(words[i]) or len(block) >= most):
             yield block
             block = []
@@ -118,7 +121,7 @@ def by_length(words: list[str], most: int = 20_000) -> Iterator[list[int]]:
 def log_likelihoods(words: list[str], lattice: Lattice, probability: np.ndarray) -> np.ndarray:
     """Log probability of each word in each language, summed over all segmentations. ``probability``: pieces x languages."""
     out = np.zeros((len(words), probability.shape[1]))
-    for block in by_length(words):
+    for block in by_length(words, probability.shape[1]):
         own = [words[i] for i in block]
         length = len(own[0])
         forward = np.zeros((length + 1, len(own), probability.shape[1]))
@@ -195,7 +198,10 @@ def least_fit(texts: list[str], lattice: Lattice) -> tuple[float, float]:
 
 def words_of(text: str) -> list[str]:
     """Lower-case runs of letters, each with the word mark."""
-    return [MARK + w for w in LETTERS.findall(text.lower()) if w[0].isalpha()]
+    found = LETTERS.findall(text.lower())
+    if not all(map(str.isalpha, found)):  # numbers such as a raised two are no letters
+        found = "".join([c if c.isalpha() else " " for c in " ".join(found)]).split()
+    return [MARK + w for w in found]
 
 
 @dataclass
@@ -219,7 +225,8 @@ def train(docs: DataFrame, path: str | None = None, per_language: int = PER_LANG
     """Fit each language in a task of its own, on at most ``per_language`` documents and ``max_chars`` characters of it.
 
     Learns from ``text`` and non-null ``lang`` of documents that are not held out; of a repeated id the last
-    language in order counts. What comes back is one number per language and vocabulary piece.
+    language in order counts. What comes back to the driver and goes to the executors is one number per language and vocabulary
+    piece, some 250 kB a language: the number of languages must be one that fits there. An empty table gives a model without languages.
     """
     path = vocabulary_path(path)
     sample = labelled_sample(docs, "lang", docs, per_language, "lang-sample")
@@ -233,7 +240,8 @@ def train(docs: DataFrame, path: str | None = None, per_language: int = PER_LANG
         return pd.DataFrame({"label": [key[0]], "probability": [probability], "added": [added], "floor": [floor], "spread": [spread]})
 
     rows = texts.groupBy("label").applyInPandas(
-        fitted, "label string, probability array<double>, added double, floor double, spread double").orderBy("label").collect()
+        fitted, "label string, probability array<double>, added double, floor double, spread double").collect()
+    rows.sort(key=lambda r: r["label"])
     if not rows:
         return Model(path, [], np.zeros((1, 0)), np.zeros(0), np.zeros(0))
     probability = np.array([r["probability"] for r in rows]).T.copy()
@@ -322,6 +330,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
+    @giving_back
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         words = Words(shared.value)
         for batch in batches:
@@ -354,6 +363,7 @@ def judge(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, fits boolean, lang_fits boolean")
+    @giving_back
     def found(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         words = Words(shared.value)
         for text, lang in batches:

@@ -73,6 +73,16 @@ def test_stages_bear_nulls_and_empty_tables(spark):
         docs.collect()
 
 
+def test_stages_drop_other_columns_even_if_they_clash(spark):
+    """Columns named like those that stages add are not mistaken for them; a stage returns the columns of documents."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").filter("doc_id < 300")
+    odd = docs.withColumns({c: F.lit(-1) for c in ("score", "predicted", "lang_pred", "fits", "kept", "size", "copies", "ids", "draw", "label")})
+    for name, stage in pipeline.STAGES:
+        plain, clashing = (stage(spark, x, FOLDER) for x in (docs, odd))
+        assert clashing.columns == plain.columns and (name == "tokens" or clashing.columns == pipeline.COLUMNS)
+        assert sorted(map(str, clashing.collect())) == sorted(map(str, plain.collect()))
+
+
 def test_language_rejects_what_was_not_learned(spark):
     """Planted texts beside clean rows: an unlearned script, unlearned languages, gibberish, a wrong and a missing lang."""
     import random
