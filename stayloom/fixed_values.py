@@ -157,14 +157,6 @@ DATED_SEARCH = {
     "chest_tube_insert": ["chest tube insertion date"],
 }
 
-# Diagnosis categories.
-DIAGNOSIS_CATEGORIES = [
-    "cardiovascular", "respiratory", "infectious", "neurological", "gastrointestinal", "renal",
-    "endocrine_metabolic", "hematologic", "oncology", "trauma_injury", "musculoskeletal", "psychiatric",
-    "pregnancy_obstetric", "genitourinary", "dermatologic", "hepatobiliary", "toxicology_poisoning",
-    "postoperative_surgical", "symptoms_unspecified", "other",
-]
-
 # Specimen types and organisms of interest.
 SPECIMEN_TYPES = [
     "BLOOD CULTURE", "URINE", "SPUTUM", "BRONCHOALVEOLAR LAVAGE", "WOUND SWAB", "CATHETER TIP-IV",
@@ -246,6 +238,5 @@ ZERO_IMPUTE = [
 
 # Columns left as they are, and columns that never reach a model.
 DO_NOT_IMPUTE = ["EXPIRE_FLAG"]
-DROP_FROM_TRAINING = ["SUBJECT_ID"]
 NOT_FEATURES = ["LOS", "ICUSTAY_ID", "SUBJECT_ID", "DOB", "ADMITTIME", "INTIME", "END_FIRST_24H"]
 CATEGORICAL_FEATURES = ["GENDER", "ADMISSION_TYPE", "FIRST_CAREUNIT", "DIAGNOSIS"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ...operators import assoc
 from ...operators.ranks import percent_rank_average
 from ...session import load, written
+from ..statistics import association_report, select_and_fence
 from .base import STAY_SQL, rounded, stays
 
 QUERIES: dict = {}
@@ -260,3 +261,23 @@ def strong_features(spark, d):
     table = assoc.fdr_bh(assoc.spearman_with_target(_gaps(spark, d), NUMBERS, "los"))
     names = assoc.strong_features(table)
     return rounded(table.filter(F.col("feature").isin(names)).select("feature", "rho"), 8, "rho")
+
+
+@query(f"""WITH {P_SQL}
+SELECT feature, round(rho, 8) AS rho, n, round(p, 7) AS p_value, round(adj, 7) AS p_adj, adj <= 0.05 AS significant FROM adjusted""")
+def reported_associations(spark, d):
+    """The numeric table of the whole report, which takes its columns by type."""
+    df = _gaps(spark, d).select("los", *NUMBERS, *CATEGORIES)
+    return rounded(rounded(association_report(df, "los").numeric, 8, "rho"), 7, "p_value", "p_adj")
+
+
+@query(f"""WITH {STAY_SQL},
+fence AS (SELECT greatest(0, quantile_cont(los, 0.25) - 1.5 * (quantile_cont(los, 0.75) - quantile_cont(los, 0.25))) AS lo,
+                 quantile_cont(los, 0.99) AS hi FROM stays)
+SELECT stay_id, n_lines, avg_price, round(los, 9) AS los, round(ln(1 + los), 9) AS los_log FROM stays, fence WHERE los BETWEEN lo AND hi""")
+def selected_and_fenced(spark, d):
+    """The job after the report: wanted columns that exist, rows within the fence, the log target."""
+    clean, missing = select_and_fence(stays(spark, d), ["stay_id", "n_lines", "avg_price", "los", "lactate_latest"], "los")
+    if missing != ["lactate_latest"]:
+        raise ValueError(f"columns not found: {missing}")
+    return rounded(clean, 9, "los", "los_log")
