@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 VOCABULARY = "word_bpe_49k.json"
 HUGE = 32_768
 CHUNK = 16_384
@@ -125,9 +127,10 @@ def vocabulary_path(path: str | None) -> str:
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 2048) -> DataFrame:
     """Add ``n_bytes, n_tokens, over_limit`` to documents with ``text``; a null text counts as empty.
 
-    Columns of these names are replaced, all others kept.
+    Columns of these names are replaced, all others kept; rows are judged one by one, and an empty table gives an empty one.
     """
     path = vocabulary_path(path)
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

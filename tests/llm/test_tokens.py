@@ -79,3 +79,17 @@ def test_count_tokens_on_tables(docs_of):
     got = sorted((r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in tokens.count_tokens(docs).collect())
     assert got == [(1, 0, 0, False), (2, 0, 0, False), (3, 7, 2, False), (4, 15000, 3000, True), (4, 15000, 3000, True)]
     assert tokens.count_tokens(docs.limit(0)).count() == 0
+
+
+def test_most_bytes_in_huge_texts(spark, docs_of):
+    """Documents joined to texts of a megabyte, which all go by overlapping chunks, beside small ones."""
+    own = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").limit(1500).collect() if r["text"]]
+    whole = "\n".join(own)
+    huge = [whole[k:k + 1_000_000] for k in range(0, min(len(whole), 3_000_000), 1_000_000)] + ["x" * 400_000, ("wort" * 200 + " ") * 600]
+    rows = [(i, t) for i, t in enumerate(huge + own[:50])]
+    assert sum(len(t) for t in huge) > 10 * sum(len(t) for t in own[:50]) and all(len(t) > tokens.HUGE for t in huge)
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    library.no_padding()
+    library.no_truncation()
+    got = {r["doc_id"]: r["n_tokens"] for r in tokens.count_tokens(docs_of(rows)).collect()}
+    assert got == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in rows}
