@@ -51,6 +51,7 @@ lvl3 AS (
 
 
 def _doses(spark, d):
+    """Stored dose rows, and the same with their lookups."""
     orders = load(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate")
     lines = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_shipdate")
     # The clinical tables are stored; here the dose rows are stored once, as stays and doses both read them.
@@ -123,7 +124,7 @@ WITH {DOSE_SQL}
 SELECT subject, count(DISTINCT admission) AS N_Admissions, count(DISTINCT stay) AS N_ICU_Stays_All
 FROM doses GROUP BY subject""")
 def person_totals(spark, d):
-    return rollup.person_totals(_doses(spark, d), C)
+    return rollup.person_totals(_doses(spark, d)[1], C)
 
 
 # --- timeline of a stay: users play stays, 30 days play the day ------------------------------
