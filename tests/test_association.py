@@ -184,3 +184,33 @@ def test_ranking_and_selection(table):
     scores = [r["score"] for r in ranking.collect()]
     assert scores == sorted(scores, reverse=True) and 0 < scores[-1] <= scores[0] <= 1
     assert assoc.strong_features(rho)[0] in ("a", "c")
+
+
+def test_target_is_ranked_and_sent_once_for_all_features(spark, monkeypatch, tiny_limits):
+    """Each feature sent the rows and ranked the target again, and joined its own ranks back to them."""
+    r = np.random.default_rng(5)
+    x = r.integers(0, 9, (400, 4)).astype(float)
+    y = np.round(x[:, 0] + r.normal(size=400), 1)
+    pdf = pd.DataFrame(x, columns=list("abcd")).assign(y=y)
+    pdf.loc[::3, "b"], pdf.loc[1::7, "c"], pdf.loc[::11, "y"], pdf["d"] = np.nan, np.nan, np.nan, 2.0
+    df = spark.createDataFrame(pdf).withColumns({c: F.nanvl(c, F.lit(None)) for c in "ab"})
+    found = assoc.rank_correlations(df, list("abcd"), "y")
+    by_pairs = assoc.spearman_of(assoc.ranked_pairs(df, [(f, f, "y") for f in "abcd"]))
+    old = {r["feature"]: (r["rho"], r["n"]) for r in by_pairs.collect()}
+    got = {r["feature"]: (r["rho"], r["n"]) for r in found.collect()}
+    assert set(got) == set(old) == set("abcd") and got["d"] == old["d"] and got["d"][0] is None
+    for f in "abc":
+        assert got[f] == (pytest.approx(old[f][0]), old[f][1])
+    monkeypatch.setattr(assoc, "ranked_pairs", None)
+    assert {r["feature"] for r in assoc.spearman_with_target(df, list("abcd"), "y").collect()} == set("abcd")
+
+
+def test_bins_are_counted_without_sending_rows(spark):
+    """Rows were joined to the ranks of both columns; now a row's bins come from the bins' first values."""
+    r = np.random.default_rng(6)
+    pdf = pd.DataFrame({"a": r.normal(size=500), "b": r.integers(0, 3, 500).astype(float), "c": np.full(500, 1.0)})
+    df = spark.createDataFrame(pdf.assign(y=np.round(pdf["a"] + r.normal(size=500), 1)))
+    found = assoc.mutual_information(df, list("abc"), "y")
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    old = dict(rows(assoc.binned_information(assoc.ranked_pairs(df, [(f, f, "y") for f in "abc"]))))
+    assert dict(rows(found)) == pytest.approx(old)
