@@ -177,6 +177,23 @@ def test_wide_matrix_with_many_incomplete_columns(spark, tiny_limits):
     assert "Generate" not in plan
 
 
+def test_matrix_takes_more_tasks_for_more_rows(spark, table, monkeypatch):
+    """1500 ranks in tasks of 50: the wide rows lie in more parts than the session's 8, and its settings come back."""
+    from stayloom import session
+
+    _, df = table
+    names = ["a", "b", "c", "d", "y"]
+    want = sorted(map(tuple, assoc.spearman_matrix(df, "id", names).collect()))
+    parts = []
+    stored = assoc.written
+    monkeypatch.setattr(session, "TASK_ROWS", 50)
+    monkeypatch.setattr(assoc, "written", lambda wide, name: [out := stored(wide, name), parts.append(len(out.inputFiles()))][0])
+    got = sorted(map(tuple, assoc.spearman_matrix(df, "id", names).collect()))
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=1e-12)
+    assert parts and min(parts) > 8 and spark.conf.get("spark.sql.shuffle.partitions") == "8"
+
+
 def test_ranking_and_selection(table):
     _, df = table
     rho = assoc.fdr_bh(assoc.spearman_with_target(df, list("abcd"), "y"))
