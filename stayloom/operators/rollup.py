@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import hours_between, ratio
-from ..session import measured
-from .ranks import BUILTIN_GROUP_ROWS, grouped_quantiles, largest_group
+from ..session import by_rows, measured, widened
+from .ranks import BUILTIN_GROUP_ROWS, group_sizes, grouped_quantiles
 from .skew import lookup_join
 
 
@@ -26,20 +26,22 @@ class DoseColumns:
 
 def dose_events(
     inputs: DataFrame, items: DataFrame, stays: DataFrame, c: DoseColumns = DoseColumns(),
-    start: str = "INTIME", end: str = "OUTTIME",
+    start: str = "INTIME", end: str = "OUTTIME", rows: int | None = None,
 ) -> DataFrame:
-    """Dose rows with item label, category and the length of their stay in hours."""
+    """Dose rows with item label, category and the length of their stay in hours. ``rows`` of the inputs, if known, are not counted."""
     # Both lookups are stored, and measured as they are.
-    stays, stays_size, _ = measured(stays.select(c.stay, hours_between(F.col(end), F.col(start)).alias("LOS_hours")), "stay-hours")
+    with widened(inputs.sparkSession, rows or 0):
+        stays, stays_size, _ = measured(
+            stays.select(c.stay, hours_between(F.col(end), F.col(start)).alias("LOS_hours")), "stay-hours")
     labels, labels_size, _ = measured(items.select(*[x for x in (c.item, c.label, "CATEGORY") if x in items.columns]), "labels")
-    labelled = lookup_join(inputs, labels, [c.item], "left", small_size=labels_size)
-    return lookup_join(labelled, stays, [c.stay], "left", small_size=stays_size)
+    labelled = lookup_join(inputs, labels, [c.item], "left", small_size=labels_size, big_rows=rows)
+    return lookup_join(labelled, stays, [c.stay], "left", small_size=stays_size, big_rows=rows)
 
 
-def dose_stats_stay(events: DataFrame, c: DoseColumns = DoseColumns(), largest: int | None = None) -> DataFrame:
+def dose_stats_stay(events: DataFrame, c: DoseColumns = DoseColumns(), sizes: tuple[int, int] | None = None) -> DataFrame:
     """Level 1. Rows with a NULL key are left out; the sum of no amount is 0.
 
-    ``largest`` is the most rows that a stay has of an item, if it was measured on the inputs, before the lookups.
+    ``sizes`` are the most rows that a stay has of an item and all rows, if measured on the inputs, before the lookups.
     """
     keys = [c.subject, c.admission, c.stay, c.item, c.label]
     rows = events.dropna(subset=keys)
@@ -54,12 +56,13 @@ def dose_stats_stay(events: DataFrame, c: DoseColumns = DoseColumns(), largest:
         # One stay has one length, so any non-null value is the first.
         F.max("LOS_hours").alias("LOS_hours"),
     ]
-    if (largest_group(rows, [c.stay, c.item]) if largest is None else largest) <= BUILTIN_GROUP_ROWS:
+    largest, total = sizes or group_sizes(rows, [c.stay, c.item])
+    if largest <= BUILTIN_GROUP_ROWS:
         # Groups are small, so the middle rows are found in the same partitioning the sums need.
         place = F.row_number().over(Window.partitionBy(*keys).orderBy(a.asc_nulls_last()))
         filled = F.count(a).over(Window.partitionBy(*keys))
         middle = F.col("__place").between(F.floor((F.col("__n") + 1) / 2), F.floor((F.col("__n") + 2) / 2))
-        table = rows.withColumns({"__place": place, "__n": filled}).groupBy(*keys).agg(
+        table = by_rows(rows, total, c.stay, c.item).withColumns({"__place": place, "__n": filled}).groupBy(*keys).agg(
             *stats, F.avg(F.when(middle, a)).alias("Median_Dose"))
     else:
         medians = grouped_quantiles(rows, keys, c.amount, {"Median_Dose": 0.5})
@@ -67,10 +70,10 @@ def dose_stats_stay(events: DataFrame, c: DoseColumns = DoseColumns(), largest:
     return table.withColumn("Amount_per_LOS_hour", ratio(F.col("Total_Amount"), F.col("LOS_hours")))
 
 
-def dose_stats_admission(stay_stats: DataFrame, c: DoseColumns = DoseColumns()) -> DataFrame:
-    """Level 2, from level 1. Level 1 has one row per stay, so counting rows counts stays."""
+def dose_stats_admission(stay_stats: DataFrame, c: DoseColumns = DoseColumns(), rows: int | None = None) -> DataFrame:
+    """Level 2, from level 1. Level 1 has one row per stay, so counting rows counts stays. ``rows`` at most set the number of tasks."""
     t = F.col("Total_Amount")
-    return stay_stats.groupBy(c.subject, c.admission, c.item, c.label).agg(
+    return by_rows(stay_stats, rows, c.admission, c.item).groupBy(c.subject, c.admission, c.item, c.label).agg(
         F.sum(t).alias("Total_Amount_Admission"),
         F.avg(t).alias("Mean_Per_Stay"),
         F.stddev_samp(t).alias("Std_Per_Stay"),
@@ -79,10 +82,10 @@ def dose_stats_admission(stay_stats: DataFrame, c: DoseColumns = DoseColumns())
     )
 
 
-def dose_stats_person(admission_stats: DataFrame, c: DoseColumns = DoseColumns()) -> DataFrame:
+def dose_stats_person(admission_stats: DataFrame, c: DoseColumns = DoseColumns(), rows: int | None = None) -> DataFrame:
     """Level 3, from level 2."""
     t = F.col("Total_Amount_Admission")
-    return admission_stats.groupBy(c.subject, c.item, c.label).agg(
+    return by_rows(admission_stats, rows, c.subject, c.item).groupBy(c.subject, c.item, c.label).agg(
         F.sum(t).alias("Total_Amount_All"),
         F.avg(t).alias("Mean_Per_Admission"),
         F.stddev_samp(t).alias("Std_Per_Admission"),
@@ -94,9 +97,10 @@ def dose_stats_person(admission_stats: DataFrame, c: DoseColumns = DoseColumns()
 
 def compute_statistics(inputs: DataFrame, items: DataFrame, stays: DataFrame,
                        c: DoseColumns = DoseColumns()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    stay = dose_stats_stay(dose_events(inputs, items, stays, c), c)
-    admission = dose_stats_admission(stay, c)
-    return stay, admission, dose_stats_person(admission, c)
+    rows = inputs.count()
+    stay = dose_stats_stay(dose_events(inputs, items, stays, c, rows=rows), c)
+    admission = dose_stats_admission(stay, c, rows)
+    return stay, admission, dose_stats_person(admission, c, rows)
 
 
 def person_totals(events: DataFrame, c: DoseColumns = DoseColumns()) -> DataFrame:

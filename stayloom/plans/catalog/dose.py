@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...operators import rollup, timeline
-from ...operators.ranks import largest_group
-from ...session import load, written
+from ...operators.ranks import group_sizes
+from ...session import load, measured, widened
 from .base import events, rounded
 
 QUERIES: dict = {}
@@ -51,24 +51,28 @@ lvl3 AS (
 
 
 def _doses(spark, d):
-    """Stored dose rows, and the same with their lookups."""
+    """Stored dose rows, the same with their lookups, and their number."""
     orders = load(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate")
     lines = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_shipdate")
     # The clinical tables are stored; here the dose rows are stored once, as stays and doses both read them.
-    inputs = written(lines.join(orders, "l_orderkey").select(
-        F.col("o_custkey").alias("subject"), F.col("l_orderkey").alias("admission"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("stay"),
-        F.col("l_partkey").alias("item"), F.col("l_quantity").alias("amount"), "o_orderdate", "l_shipdate"), "doses")
+    with widened(spark, lines.count()):
+        inputs, size, _ = measured(lines.join(orders, "l_orderkey").select(
+            F.col("o_custkey").alias("subject"), F.col("l_orderkey").alias("admission"),
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("stay"),
+            F.col("l_partkey").alias("item"), F.col("l_quantity").alias("amount"), "o_orderdate", "l_shipdate"), "doses")
     stays = inputs.groupBy("stay").agg(
         F.min("o_orderdate").alias("INTIME"), F.max(F.greatest("l_shipdate", "o_orderdate")).alias("OUTTIME"))
     items = load(spark, d, "part").select(
         F.col("p_partkey").alias("item"), F.col("p_name").alias("label"), F.col("p_type").alias("CATEGORY"))
-    return inputs, rollup.dose_events(inputs.drop("o_orderdate", "l_shipdate"), items, stays, C)
+    return inputs, rollup.dose_events(inputs.drop("o_orderdate", "l_shipdate"), items, stays, C, rows=size.rows), size.rows
 
 
 def _stay(spark, d):
-    inputs, doses = _doses(spark, d)
-    return rollup.dose_stats_stay(doses, C, largest_group(inputs, [C.stay, C.item]))
+    """Level 1, and the number of dose rows, which no level exceeds."""
+    inputs, doses, rows = _doses(spark, d)
+    with widened(spark, rows):
+        sizes = group_sizes(inputs, [C.stay, C.item])
+    return rollup.dose_stats_stay(doses, C, sizes), rows
 
 
 @query(f"""
@@ -77,18 +81,20 @@ SELECT subject, admission, stay, item, label, Total_Amount, round(Mean_Dose, 6)
        round(Std_Dose, 6) AS Std_Dose, Min_Dose, Max_Dose, Event_Count, LOS_hours,
        round(Total_Amount / nullif(LOS_hours, 0), 9) AS Amount_per_LOS_hour FROM lvl1""")
 def dose_stats_line(spark, d):
-    return rounded(rounded(_stay(spark, d), 6, "Mean_Dose", "Std_Dose"), 9, "Amount_per_LOS_hour")
+    return rounded(rounded(_stay(spark, d)[0], 6, "Mean_Dose", "Std_Dose"), 9, "Amount_per_LOS_hour")
 
 
 @query(f"""
 WITH {DOSE_SQL}
 SELECT * REPLACE (round(Mean_Per_Stay, 6) AS Mean_Per_Stay, round(Std_Per_Stay, 6) AS Std_Per_Stay) FROM lvl2""")
 def dose_stats_order(spark, d):
-    return rounded(rollup.dose_stats_admission(_stay(spark, d), C), 6, "Mean_Per_Stay", "Std_Per_Stay")
+    stay, rows = _stay(spark, d)
+    return rounded(rollup.dose_stats_admission(stay, C, rows), 6, "Mean_Per_Stay", "Std_Per_Stay")
 
 
 def _person(spark, d):
-    return rollup.dose_stats_person(rollup.dose_stats_admission(_stay(spark, d), C), C)
+    stay, rows = _stay(spark, d)
+    return rollup.dose_stats_person(rollup.dose_stats_admission(stay, C, rows), C, rows)
 
 
 @query(f"""

@@ -43,6 +43,21 @@ def test_three_levels(doses, request, small):
     assert total(stay, "Total_Amount") == total(admission, "Total_Amount_Admission") == total(person, "Total_Amount_All")
 
 
+def test_dose_levels_take_more_tasks_for_more_rows(doses, monkeypatch):
+    """70 copies of the rows in tasks of 10: each level lies in more parts than the session's 8, with the same results."""
+    from stayloom import session
+
+    inputs, items, stays = doses
+    many = inputs.crossJoin(inputs.sparkSession.range(70).withColumnRenamed("id", "copy")).select(
+        (F.col("SUBJECT_ID") + 10 * F.col("copy")).alias("SUBJECT_ID"), (F.col("HADM_ID") + 1000 * F.col("copy")).alias("HADM_ID"),
+        "ICUSTAY_ID", "ITEMID", "AMOUNT")
+    want = [sorted(map(str, df.collect())) for df in rollup.compute_statistics(many, items, stays)]
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    levels = rollup.compute_statistics(many, items, stays)
+    assert [sorted(map(str, df.collect())) for df in levels] == want
+    assert min(df.rdd.getNumPartitions() for df in levels) > 8
+
+
 def test_top_items_and_totals(doses):
     _, _, person = rollup.compute_statistics(*doses)
     assert rows(rollup.top_items(person, 1).select("SUBJECT_ID", "ITEMID", "item_rank"), "SUBJECT_ID") == [(1, 7, 1), (2, 8, 1)]
