@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ...operators import rollup, timeline
 from ...operators.ranks import group_sizes
-from ...session import load, measured, widened
+from ...session import load, measured, row_count, widened
 from .base import events, rounded
 
 QUERIES: dict = {}
@@ -55,7 +55,7 @@ def _doses(spark, d):
     orders = load(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate")
     lines = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_shipdate")
     # The clinical tables are stored; here the dose rows are stored once, as stays and doses both read them.
-    with widened(spark, lines.count()):
+    with widened(spark, row_count(lines)):
         inputs, size, _ = measured(lines.join(orders, "l_orderkey").select(
             F.col("o_custkey").alias("subject"), F.col("l_orderkey").alias("admission"),
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("stay"),
