@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import give_back, giving_back, small_batches
 
 VOCABULARY = "byte_bpe_50k.json"
-CACHE = 200_000
+CACHE = 60_000
 LONG_RUN = 1000
 SLICE_CHARS = 1_000_000
 NEVER = np.iinfo(np.int64).max

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,22 +17,27 @@ from ..session import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 HELD_OUT_MOD = 5
-BATCH_BYTES = 4 * 1024 * 1024
+BATCH_BYTES = 1024 * 1024
 
 
 def give_back() -> None:
-    """Return freed memory of a Python worker to the machine, where the C library can: workers live on for other stages."""
+    """Return freed memory of a Python worker to the machine, Arrow's and the C library's: workers live on for other stages."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
 
 
 def giving_back(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """The same function of batches, which returns its memory once the last batch is done: idle workers then hold no tables."""
+    """The same function of batches, which returns its memory once the last batch is done: idle workers then hold no tables.
+
+    Cycles are looked for first, else what they hold stays. A worker takes turns with all others of its executor, so none is ever ended.
+    """
 
     @functools.wraps(work)
     def wrapped(batches: Iterator) -> Iterator:
         yield from work(batches)
+        gc.collect()
         give_back()
 
     return wrapped

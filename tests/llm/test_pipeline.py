@@ -111,3 +111,32 @@ def test_language_rejects_what_was_not_learned(spark):
         long = [x for x in clean if len(x[1]) > 100]
         assert sum(x[0] in stay for x in long if x[2] == lang) <= 0.02 * sum(x[2] == lang for x in long)
         assert all(x[0] in stay for x in long if x[2] != lang)
+
+
+def test_workers_keep_nothing_after_the_last_batch():
+    """What a finished task holds in cycles goes with it, not at some later collection of an idle worker."""
+    import gc
+    import weakref
+
+    from stayloom.llm.common import giving_back
+
+    class Table:
+        pass
+
+    held = []
+
+    @giving_back
+    def work(batches):
+        table = Table()
+        table.own = table
+        held.append(weakref.ref(table))
+        yield from batches
+
+    usual = gc.isenabled()
+    gc.disable()
+    try:
+        assert list(work(iter([1, 2]))) == [1, 2]
+        assert held[0]() is None
+    finally:
+        if usual:
+            gc.enable()
