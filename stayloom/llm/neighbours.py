@@ -1,6 +1,7 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
-Each tree splits the unit sphere again and again at the sample's median along a random direction. Vectors close to
+Each tree splits the unit sphere again and again near the sample's median along a random direction, beside dense
+clusters rather than through them. Vectors close to
 a border go down both sides (spill), so that a near pair rarely parts, and several trees make up for the rest. Pairs
 are compared only within a leaf, exactly and in double precision; a pair that meets in several leaves counts in
 the first one only. Leaves send back link counts and a star per local component, never the pairs.
@@ -28,8 +29,13 @@ DEEP = 8  # levels of one round of splits
 SAMPLE = 8192  # vectors that borders are fitted on, of each label, and of each leaf that is split again
 GROUP = 16_384  # vectors that one task places together
 ROUNDS = 6  # of splits: 48 levels
-CROWDED = 0.6  # share of a leaf's vectors that go down one side all the way: splitting does not help there
-BLOCK = 1024
+CROWDED = 0.6  # share of a leaf's vectors that go down one side all the way, or of a node's that go down both: splitting does not help there
+CUTS = [0.5, 0.4, 0.6, 0.3, 0.7]  # shares of a node's sample that may lie below its border
+CLEAR = 0.2  # share of a node's sample that goes down both sides of a border that needs no better one
+PLACED = 2048  # vectors that go down a tree together
+BLOCK = 4096
+PART = 256  # vectors of a block that are compared with another block at a time
+CELLS = 4_000_000  # of a table of vectors by leaves
 SPILL = 0.5  # overlap on each side of a border, in standard deviations of a threshold pair's difference
 PATH, FINAL = 56, 1 << 55  # a code is the tree, whether the leaf is final, and the path from the root with a one before it
 
@@ -54,8 +60,20 @@ def overlap(threshold: float, dim: int) -> float:
     return SPILL * float(np.sqrt(2 - 2 * threshold) / np.sqrt(dim))
 
 
+def border(z: np.ndarray, spill: float) -> float:
+    """The first cut that sends few of a node's sample down both sides, else that which sends fewest; infinite, so that all go one
+    way, if even these are most of it.
+
+    Cut at the median, a dense cluster goes down both sides of node after node, and each of its vectors ends in hundreds of leaves.
+    """
+    cuts = np.quantile(z, CUTS)
+    both = [np.mean((z - c < spill) & (z - c >= -spill)) for c in cuts]
+    best = next((k for k, share in enumerate(both) if share <= CLEAR), int(np.argmin(both)))
+    return float(cuts[best]) if both[best] <= CROWDED else np.inf
+
+
 def fit_forest(sample: np.ndarray, depth: int, threshold: float, trees: int = TREES, seed: tuple[int, ...] = (23,)) -> Forest:
-    """Borders at the medians of a bounded sample of unit vectors; zero where the sample has run out."""
+    """Borders from a bounded sample of unit vectors; zero where the sample has run out."""
     dim = sample.shape[1] if sample.size else 1
     forest = Forest(np.zeros((trees, max(2**depth - 1, 1))), depth, overlap(threshold, dim), list(seed))
     for t in range(trees):
@@ -64,7 +82,7 @@ def fit_forest(sample: np.ndarray, depth: int, threshold: float, trees: int = TR
             directions = forest.direction(t, level, dim)
             z = np.einsum("ij,ij->i", sample, directions[at]) if len(sample) else np.empty(0)
             for node in np.unique(at):
-                forest.borders[t, 2**level - 1 + node] = np.median(z[at == node])
+                forest.borders[t, 2**level - 1 + node] = border(z[at == node], forest.spill)
             at = 2 * at + (z >= forest.borders[t, 2**level - 1 + at])
     return forest
 
@@ -136,7 +154,8 @@ def split(rows: DataFrame, sizes: DataFrame, threshold: float, trees: int, leaf:
             own = [np.array([code | FINAL if code else 1])] * len(rows)
         else:
             table = np.frombuffer(borders["borders"].iloc[0]).reshape(trees, -1)
-            own = codes_below(x, Forest(table, depth, overlap(threshold, x.shape[1]), [23, turn]), code)
+            forest = Forest(table, depth, overlap(threshold, x.shape[1]), [23, turn])
+            own = [c for k in range(0, len(x), PLACED) for c in codes_below(x[k:k + PLACED], forest, code)]
         out = rows[columns].copy()
         out["codes"] = pd.Series(own, index=out.index, dtype=object)
         return out
@@ -175,51 +194,69 @@ def routed_classes(classes: DataFrame, threshold: float, trees: int, leaf: int)
     return routed
 
 
-def first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest code in both rows of two tables of codes padded with -1."""
-    big = np.iinfo(np.int64).max
-    same = (a[:, :, None] == b[:, None, :]).any(axis=2) & (a >= 0)
-    return np.where(same, a, big).min(axis=1)
+def meets_before(codes: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For rows ``a`` by rows ``b``, whether any code is in both; some codes after the other, so that little is held."""
+    size = np.array([len(c) for c in codes])
+    both = np.intersect1d(np.concatenate([codes[i] for i in a]), np.concatenate([codes[i] for i in b]))
+    met = np.zeros((len(a), len(b)), dtype=bool)
+    some = max(1, CELLS // (len(a) + len(b)))
+    for k in range(0, len(both), some):
+        part = both[k:k + some]
+
+        def holds(rows: np.ndarray) -> np.ndarray:
+            flat, row = np.concatenate([codes[i] for i in rows]), np.repeat(np.arange(len(rows)), size[rows])
+            at = np.minimum(np.searchsorted(part, flat), len(part) - 1)
+            known = part[at] == flat
+            table = np.zeros((len(rows), len(part)), dtype=np.float32)
+            table[row[known], at[known]] = 1
+            return table
+
+        met |= holds(a) @ holds(b).T > 0
+    return met
+
+
+def joined(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Roots after ``p`` and ``q`` are linked, the smallest row of each component."""
+    while True:
+        a, b = root[p], root[q]
+        differ = a != b
+        if not differ.any():
+            return root
+        p, q, a, b = p[differ], q[differ], a[differ], b[differ]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
 
 
 def compare(rows: pd.DataFrame, leaf: int, left: int, right: int, threshold: float) -> pd.DataFrame:
-    """Links between two blocks of a leaf (or within one): per vector the copies linked, and its local root."""
+    """Links between two blocks of a leaf (or within one): per vector the copies linked, and its local root.
+
+    A pair that also meets in a leaf of smaller code is left to that one.
+    """
     rows = rows.sort_values("rep", kind="stable")
     x = scaled(matrix(rows["embedding"]))
     norm = np.sqrt(np.einsum("ij,ij->i", x, x))
     block = rows["block"].to_numpy()
     a, b = np.flatnonzero(block == left), np.flatnonzero(block == right)
-    width = max(map(len, rows["leaves"]))
-    codes = np.full((len(rows), width), -1, dtype=np.int64)
-    for i, own in enumerate(rows["leaves"]):
-        codes[i, :len(own)] = own
+    before = [np.asarray(own)[np.asarray(own) < leaf] for own in rows["leaves"]]
     copies = rows["copies"].to_numpy()
     links, root = np.zeros(len(rows), dtype=np.int64), np.arange(len(rows))
-    for part in np.array_split(a, max(1, len(a) // 256)):
+    for part in np.array_split(a, max(1, -(-len(a) // PART))):
         if not len(part) or not len(b):
             continue
-        cos = (x[part] @ x[b].T) / (norm[part][:, None] * norm[b][None, :])
-        p, q = np.nonzero(cos >= threshold)
-        p, q = part[p], b[q]
-        once = p < q if left == right else np.ones(len(p), dtype=bool)
-        p, q = p[once], q[once]
-        for k in range(0, len(p), 20_000):
-            pp, qq = p[k:k + 20_000], q[k:k + 20_000]
-            here = first_shared(codes[pp], codes[qq]) == leaf
-            pp, qq = pp[here], qq[here]
-            np.add.at(links, pp, copies[qq])
-            np.add.at(links, qq, copies[pp])
-            while True:  # smaller roots spread until both ends of every pair agree
-                low = np.minimum(root[pp], root[qq])
-                if (root[pp] == low).all() and (root[qq] == low).all():
-                    break
-                np.minimum.at(root, root[pp], low)
-                np.minimum.at(root, root[qq], low)
-                np.minimum.at(root, pp, low)
-                np.minimum.at(root, qq, low)
-                root = root[root]
-    while (root[root] != root).any():
-        root = root[root]
+        cos = x[part] @ x[b].T
+        cos /= norm[part][:, None] * norm[b][None, :]
+        near = cos >= threshold
+        if left == right:
+            near &= part[:, None] < b[None, :]
+        some, other = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+        if not len(some):
+            continue
+        one, two = part[some], b[other]
+        near = near[some][:, other] & ~meets_before(before, one, two)
+        p, q = np.nonzero(near)
+        links += np.bincount(one[p], copies[two[q]], len(rows)).astype(np.int64) + np.bincount(two[q], copies[one[p]], len(rows)).astype(np.int64)
+        root = joined(root, one[p], two[q])
     rep = rows["rep"].to_numpy()
     found = links > 0
     return pd.DataFrame({"rep": rep[found], "links": links[found], "root": rep[root[found]]})

@@ -68,6 +68,40 @@ def test_large_groups_of_near_copies_in_blocks(spark, monkeypatch):
     assert {(x["n_links"], x["component_id"]) for x in got} == {(89, 10)} and sum(x["kept"] for x in got) == 1
 
 
+def test_vectors_in_many_leaves_are_compared_in_little_memory():
+    """All pairs of codes of 20,000 pairs were held at once: 340 MB for vectors in 120 leaves."""
+    import tracemalloc
+
+    import pandas as pd
+
+    r = np.random.default_rng(4)
+    x = (r.normal(size=16) + r.normal(size=(300, 16)) * 0.05).astype(np.float32)
+    leaves = [np.r_[np.sort(r.choice(3000, 100, replace=False)), 5000, 7000 + i] for i in range(300)]
+    table = pd.DataFrame({"rep": range(300), "embedding": list(x), "copies": r.integers(1, 4, 300), "leaves": leaves, "block": np.arange(300) % 2})
+    tracemalloc.start()
+    found = [neighbours.compare(table, 5000, *pair, 0.98).set_index("rep")["links"] for pair in ((0, 0), (0, 1), (1, 1))]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 30_000_000
+    d = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = [sum(table["copies"][j] for j in range(300) if j != i and d[i] @ d[j] >= 0.98 and not set(leaves[i][:100]) & set(leaves[j][:100])) for i in range(300)]
+    assert sum(want) > 300 and sum(f.reindex(range(300), fill_value=0) for f in found).tolist() == want
+
+
+def test_a_dense_cluster_stays_in_few_leaves():
+    """Borders through the middle of a cluster sent its vectors down both sides of node after node."""
+    r = np.random.default_rng(5)
+    x = np.r_[r.normal(size=(400, 32)) / 32 ** 0.5, r.normal(size=32) / 32 ** 0.5 + r.normal(size=(400, 32)) * 0.008]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    codes = neighbours.codes_below(x, neighbours.fit_forest(x, 6, 0.98), 0)
+    sizes = np.array([len(c) for c in codes])
+    assert sizes[400:].mean() < 30 and max(map(len, (set(c) for c in codes[:400]))) < 64
+    alone = neighbours.fit_forest(x[400:], 3, 0.98)
+    assert np.isinf(alone.borders).any() and all(len(c) == neighbours.TREES for c in neighbours.codes_below(x[400:500], alone, 0))
+    shared = [set(codes[i]) & set(codes[j]) for i in range(400, 480) for j in range(i) if x[i] @ x[j] >= 0.98]
+    assert len(shared) > 3000 and np.mean([bool(s) for s in shared]) > 0.99
+
+
 def test_link_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(5, [1.0, 0.0], 1), (3, [1.0, 0.0], 1), (4, [2.0, 0.0], 1), (9, [1.0, 0.0], 2), (6, [1.0, 0.0], None), (7, None, 1), (8, [], 1),
